@@ -471,8 +471,11 @@ def scan_by_symbol(df: DataFrame, state_type: str, step: State, outputs: dict[st
     ).select(*names, *outputs)
 
 
-def with_supertrend(df: DataFrame, out: str = "st", mult: float = 3.0) -> DataFrame:
-    """Ratcheted bands; starts bearish. Adds ``{out}_line`` and ``{out}_dir`` (1 / -1)."""
+def with_supertrend(df: DataFrame, out: str = "st", mult: float = 3.0, state: bool = False) -> DataFrame:
+    """Ratcheted bands; starts bearish. Adds ``{out}_line`` and ``{out}_dir`` (1 / -1).
+
+    ``state`` also keeps the bands and their mean range, to continue the series later.
+    """
     tr0 = F.greatest(
         _c("high") - _c("low"),
         F.abs(_c("high") - F.coalesce(lag("close"), _c("close"))),
@@ -503,8 +506,11 @@ def with_supertrend(df: DataFrame, out: str = "st", mult: float = 3.0) -> DataFr
         df,
         "struct<upper:double,lower:double,line:double,dir:int>",
         step,
-        {f"{out}_line": "line", f"{out}_dir": "dir"},
+        {f"{out}_line": "line", f"{out}_dir": "dir"}
+        | ({f"{out}_upper": "upper", f"{out}_lower": "lower"} if state else {}),
     )
+    if state:
+        df = df.withColumn(f"{out}_atr", F.col("_st_atr"))
     return df.drop("_tr0", "_pc", "_st_atr", "_ub", "_lb")
 
 

@@ -49,9 +49,12 @@ def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one output column each."""
+    if not keys:
+        whole = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles)
+        return whole.drop("_all")
     ranks = value_ranks(df, keys, value)
     totals = ranks.groupBy(*keys).agg(F.sum("n_equal").alias("_total"))
-    joined = ranks.join(totals, list(keys)) if keys else ranks.crossJoin(F.broadcast(totals))
+    joined = ranks.join(totals, list(keys))
     first, last = F.col("below"), F.col("below") + F.col("n_equal") - 1
     picks = []
     for out, q in quantiles.items():
@@ -80,6 +83,8 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str)
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with the t-approximation of its p-value statistic."""
+    if not keys:
+        return spearman(df.withColumn("_all", F.lit(0)), ["_all"], x, y).drop("_all")
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     ranked = with_average_rank(with_average_rank(both, keys, x, "_rx"), keys, y, "_ry")
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))

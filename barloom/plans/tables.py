@@ -76,3 +76,51 @@ def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with the row-number layout the indicators need."""
     return with_row_number(daily_bars(spark, sf_dir))
+
+
+def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_row_number(index_bars(spark, sf_dir))
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of reference data per supplier: ratios, holdings, flags.
+
+    Values are spread deterministically from the key and the account balance.
+    """
+    k = F.col("s_suppkey")
+    cents = F.abs(F.round(F.col("s_acctbal") * 100).cast("long"))
+    known = k % 11 != 0
+    sectors = ("Financial Services", "Technology", "Energy", "Healthcare", "Industrials")
+    sector = F.element_at(F.array(*[F.lit(s) for s in sectors]), (F.col("s_nationkey") % 5 + 1).cast("int"))
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    return read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S"), k.cast("string")).alias("symbol"),
+        F.when(known, cents % 3500 / 100.0 - 5.0).alias("roe"),
+        F.when(known, k * 37 % 500 / 100.0).alias("debt_equity"),
+        F.when(known, cents % 410 / 10.0 - 8.0).alias("net_margin"),
+        F.when(known, cents % 593 / 10.0 - 20.0).alias("revenue_growth"),
+        F.when(known & (k % 4 != 0), cents % 701 / 10.0 - 25.0).alias("earnings_growth"),
+        sector.alias("sector"),
+        F.when(k % 7 == 0, "Banks - Regional").otherwise("General").alias("industry"),
+        (k * 17 % 70).cast("double").alias("promoter_pledged"),
+        (k * 13 % 80 / 10.0 - 4.0).alias("promoter_change"),
+        (k * 19 % 90 / 10.0 - 4.5).alias("fii_change"),
+        (k * 23 % 60 / 10.0 - 3.0).alias("dii_change"),
+        F.when(known, k * 41 % 400 / 10.0).alias("roce"),
+        F.when(k % 9 != 0, k * 29 % 1000 / 10.0).alias("delivery_pct"),
+        (k % 6 == 0).alias("oi_spurt"),
+        (k % 10 == 0).alias("banned"),
+        (k % 8 == 0).alias("bulk_deal"),
+        pick(3, "BULLISH", "BEARISH", "NEUTRAL").alias("fii_signal"),
+        pick(5, "BUY", "SELL", "NEUTRAL", "NEUTRAL", "NEUTRAL").alias("retail_signal"),
+        F.lit(None).cast("double").alias("_unused"),
+    ).drop("_unused")
+
+
+def index_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regime, index position and volatility per session."""
+    from barloom.functions.market import regime_series
+
+    df = regime_series(index_series(spark, sf_dir))
+    vix = 10.0 + F.pmod((F.col("volume") / 100).cast("long"), F.lit(2000)) / 100.0
+    return df.select("date", "regime", "above_200", "above_50", vix.alias("vix"), (vix > 25).alias("vix_high"))
