@@ -11,7 +11,7 @@ from barloom.catalog.indicators import BREAKOUT, TECH, T1, T2, T3, T4, T5, T6, T
 from barloom.catalog.oracle import BARS, INDEX, W, lag, query, roll, select, span, tail
 from barloom.functions import indicators as ind, market
 from barloom.functions.outcomes import valid_bar_tolerant
-from barloom.functions.windows import frame_array, lag as wlag, lead, roll as wroll, tail as wtail
+from barloom.functions.windows import Long, frame_array, lag as wlag, lead, roll as wroll, tail as wtail
 from barloom.plans.tables import INDEX_SYMBOL, bars, daily_bars, index_series, read
 
 
@@ -206,22 +206,21 @@ def fund_features(df):
             "_turn": c("close") * c("volume"),
         }
     )
+    df = df.withColumns({"_okn": F.when(c("valid"), 1).otherwise(0), "_ph": wlag("high")})
+    df = ind.compose(df, {"long": [Long("_vol", "_ret", 252, "sd"), Long("_yh", "_ph", 252, "max"), Long("_ok", "_okn", 253, "avg", False)]})
     mid = F.sort_array("_t20")
     strength = (wlag("close", 21) / wlag("close", 126) - 1.0 + wlag("close", 21) / wlag("close", 252) - 1.0) / 2.0
     df = df.select(
         "*",
-        wtail(F.sum, F.when(c("valid"), 1).otherwise(0), 253).alias("_ok"),
         F.when(F.count("close").over(ind.by_symbol().rowsBetween(-19, 0)) == 20, frame_array(c("_turn"), 20)).alias("_t20"),
-        (wroll(F.stddev_samp, "_ret", 252) * F.sqrt(F.lit(252.0))).alias("_vol"),
-        wroll(F.max, wlag("high"), 1).alias("_ph"),
     )
     df = df.withColumn("turnover", (F.element_at(mid, 10) + F.element_at(mid, 11)) / 2.0)
     return df.select(
         "symbol", "date", "rn", "close", "high", "low", "open", "volume", "valid",
-        ((c("_ok") == 253) & (c("close") >= 10) & (c("turnover") >= 1e5)).alias("eligible"),
+        ((c("_ok") == 1.0) & (c("rn") >= 252) & (c("close") >= 10) & (c("turnover") >= 1e5)).alias("eligible"),
         (c("valid") & (c("high") > c("low"))).alias("tradable"),
-        (strength / F.nullif("_vol", F.lit(0.0))).alias("momentum"),
-        (c("close") / wroll(F.max, "_ph", 252)).alias("year_high"),
+        (strength / F.nullif(c("_vol") * F.sqrt(F.lit(252.0)), F.lit(0.0))).alias("momentum"),
+        (c("close") / c("_yh")).alias("year_high"),
         "turnover",
     )
 
@@ -262,10 +261,10 @@ def ml_features(df):
     df = ind.compose(
         df, ind.emas(9, 21, 50, 200), ind.rsi(), ind.macd(), ind.atr(14), ind.obv(), ind.cci(), ind.adx(), ind.bollinger(), ind.volume_average(),
         {
-            "a": {
-                "chi252": wroll(F.max, "close", 252), "clo252": wroll(F.min, "close", 252),
-                "vsd20": wroll(F.stddev_samp, "volume", 20), "vsd252": wroll(F.stddev_samp, "volume", 252),
-            },
+            "long": [
+                Long("chi252", "close", 252, "max"), Long("clo252", "close", 252, "min"),
+                Long("vsd20", "volume", 20, "sd"), Long("vsd252", "volume", 252, "sd"),
+            ],
             "c": {"obv_norm": c("obv") / F.nullif(wroll(F.stddev_samp, "obv", 20), F.lit(0.0))},
         },
     )
@@ -320,10 +319,12 @@ def _pullback_trend(spark, sf):
     df = df.withColumns({"_valid": valid_bar_tolerant(), "_turn": c("close") * c("volume")})
     w20 = ind.by_symbol().rowsBetween(-19, 0)
     mid = F.sort_array("_t20")
-    df = df.select("*", wtail(F.sum, F.when(c("_valid"), 1).otherwise(0), 220).alias("_ok"), F.when(F.count("close").over(w20) == 20, frame_array(c("_turn"), 20)).alias("_t20"))
+    df = df.withColumn("_okn", F.when(c("_valid"), 1).otherwise(0))
+    df = ind.compose(df, {"long": [Long("_ok", "_okn", 220, "avg", False)]})
+    df = df.select("*", F.when(F.count("close").over(w20) == 20, frame_array(c("_turn"), 20)).alias("_t20"))
     hit = (
         (c("close") > c("s50")) & (c("s50") > c("s200")) & (c("s200") > wlag("s200", 20)) & (c("close") / wlag("close", 3) - 1.0 < 0)
-        & (c("_ok") == 220) & (c("close") >= 10) & ((F.element_at(mid, 10) + F.element_at(mid, 11)) / 2.0 >= 1e5)
+        & (c("_ok") == 1.0) & (c("rn") >= 219) & (c("close") >= 10) & ((F.element_at(mid, 10) + F.element_at(mid, 11)) / 2.0 >= 1e5)
     )
     return tidy(df.select("symbol", "date", F.coalesce(hit, F.lit(False)).alias("hit")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.windows import (
     Ema,
+    Long,
     by_symbol,
     first_seen,
     frame_array,
@@ -22,29 +23,31 @@ from barloom.functions.windows import (
     roll,
     running,
     span,
-    tail,
     wilder,
     with_ema,
+    with_long,
 )
 
-STAGES = ("a", "b", "means", "c", "d", "means2", "e", "f", "g")
-Layer = dict[str, "dict[str, Column] | list[Ema]"]
+STAGES = ("long", "a", "b", "means", "c", "d", "means2", "e", "f", "g")
+Layer = dict[str, "dict[str, Column] | list[Ema] | list[Long]"]
 
 
 def compose(df: DataFrame, *layers: Layer) -> DataFrame:
+    have = set(df.columns)
     for stage in STAGES:
-        if stage.startswith("means"):
-            means = {m.out: m for layer in layers for m in layer.get(stage, [])}
-            means = [m for m in means.values() if m.out not in df.columns]
-            if means:
-                df = with_ema(df, means)
+        if stage.startswith("means") or stage == "long":
+            items = {m.out: m for layer in layers for m in layer.get(stage, []) if m.out not in have}
+            if items:
+                df = (with_long if stage == "long" else with_ema)(df, list(items.values()))
+                have.update(items)
             continue
         cols: dict[str, Column] = {}
         for layer in layers:
             cols.update(layer.get(stage, {}))
-        cols = {k: v for k, v in cols.items() if k not in df.columns}
+        cols = {k: v for k, v in cols.items() if k not in have}
         if cols:
             df = df.select("*", *[v.alias(k) for k, v in cols.items()])
+            have.update(cols)
     return df
 
 
@@ -57,7 +60,7 @@ def emas(*spans: int) -> Layer:
 
 
 def smas(*sizes: int) -> Layer:
-    return {"a": {f"s{n}": roll(F.avg, "close", n) for n in sizes}}
+    return {"long": [Long(f"s{n}", "close", n, "avg") for n in sizes]}
 
 
 def _tr() -> Column:
@@ -250,11 +253,11 @@ def keltner() -> Layer:
 
 
 def highs(*sizes: int) -> Layer:
-    return {"a": {f"hh{n}": roll(F.max, "high", n) for n in sizes}}
+    return {"long": [Long(f"hh{n}", "high", n, "max") for n in sizes]}
 
 
 def lows(*sizes: int) -> Layer:
-    return {"a": {f"ll{n}": roll(F.min, "low", n) for n in sizes}}
+    return {"long": [Long(f"ll{n}", "low", n, "min") for n in sizes]}
 
 
 def cmf() -> Layer:
@@ -294,7 +297,7 @@ def pivots() -> Layer:
 
 def year_range() -> Layer:
     return {
-        "a": {"high_52w": tail(F.max, "high", 252), "low_52w": tail(F.min, "low", 252)},
+        "long": [Long("high_52w", "high", 252, "max", False), Long("low_52w", "low", 252, "min", False)],
         "b": {
             "near_high_pct": (_c("close") - _c("high_52w")) / _c("high_52w") * 100.0,
             "near_low_pct": (_c("close") - _c("low_52w")) / _c("low_52w") * 100.0,

@@ -68,6 +68,15 @@ def _mins(stage: str, out: str, source: str, n: int) -> ind.Layer:
     return {stage: {out: roll(F.min, source, n)}}
 
 
+def _width_low() -> ind.Layer:
+    """Lowest band width of 126 bars, from 16-bar minima 16 bars apart."""
+    steps = [*range(0, 126 - 16, 16), 126 - 16]
+    return {
+        "c": {"width_low16": roll(F.min, "bb_width", 16)},
+        "d": {"width_min126": F.when(lag("width_low16", 110).isNotNull(), F.least(*[lag("width_low16", k) for k in steps]))},
+    }
+
+
 def _near_high() -> ind.Layer:
     return {**ind.highs(252), "b": {"from_high": (c("close") / c("hh252") - 1.0) * 100.0}}
 
@@ -264,7 +273,7 @@ def _volatility_rules() -> None:
             lambda: (lag("bb_width") == lag("width_min126"))
             & (c("close") > c("bb_upper"))
             & (c("bb_width") > lag("bb_width")),
-            lambda: [ind.bollinger(), _mins("c", "width_min126", "bb_width", 126)],
+            lambda: [ind.bollinger(), _width_low()],
         ),
     )
     add_rule(

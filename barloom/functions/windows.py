@@ -82,6 +82,65 @@ def cross_up(a: Column, b: Column, a_prev: Column, b_prev: Column) -> Column:
     return (a > b) & (a_prev <= b_prev)
 
 
+@dataclass(frozen=True)
+class Long:
+    """A trailing max, min, avg or sd over ``n`` rows of a column.
+
+    ``full`` makes it null until ``n`` values are there.
+    """
+
+    out: str
+    source: str
+    n: int
+    kind: str
+    full: bool = True
+
+
+STRIDE = 16
+
+
+def with_long(df: DataFrame, specs: Sequence[Long]) -> DataFrame:
+    """Add trailing aggregates whose cost per row does not grow with ``n``.
+
+    Extremes of a long frame are the extremes of 16-row frames taken 16 rows
+    apart; means and deviations are differences of running sums.  Short
+    frames use a plain sliding window.
+    """
+    first, outs = {}, []
+    pick = {"max": F.max, "min": F.min, "avg": F.avg, "sd": F.stddev_samp}
+    w = by_symbol()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    for s in specs:
+        x = F.col(s.source)
+        if s.n <= 2 * STRIDE:
+            outs.append((roll if s.full else tail)(pick[s.kind], x, s.n).alias(s.out))
+            continue
+        n_all = f"_n_{s.source}"
+        first[n_all] = F.count(x).over(upto)
+        seen = F.col(n_all) - F.coalesce(F.lag(n_all, s.n).over(w), F.lit(0))
+        if s.kind in ("max", "min"):
+            short = f"_{s.kind}_{s.source}"
+            first[short] = pick[s.kind](x).over(w.rowsBetween(-(STRIDE - 1), 0))
+            steps = [*range(0, s.n - STRIDE, STRIDE), s.n - STRIDE]
+            both = F.greatest if s.kind == "max" else F.least
+            value = both(*[F.lag(short, k).over(w) for k in steps])
+        else:
+            total = f"_s_{s.source}"
+            first[total] = F.sum(x).over(upto)
+            part = F.col(total) - F.coalesce(F.lag(total, s.n).over(w), F.lit(0.0))
+            value = part / seen
+            if s.kind == "sd":
+                square = f"_q_{s.source}"
+                first[square] = F.sum(x * x).over(upto)
+                sq = F.col(square) - F.coalesce(F.lag(square, s.n).over(w), F.lit(0.0))
+                value = F.sqrt(F.greatest(F.lit(0.0), sq - part * part / seen) / (seen - 1))
+        outs.append((F.when(seen == s.n, value) if s.full else value).alias(s.out))
+    if not first:
+        return df.select("*", *outs)
+    kept = df.columns
+    return df.select("*", *[c.alias(k) for k, c in first.items()]).select(*kept, *outs)
+
+
 @dataclass(frozen=True)
 class Ema:
     """One recursive mean ``E = alpha*x + (1-alpha)*E_prev``.
