@@ -2,3 +2,4 @@ from barloom.catalog.base import ORACLES, QUERIES  # noqa: F401
 from barloom.catalog import indicators  # noqa: F401
 from barloom.catalog import rules  # noqa: F401
 from barloom.catalog import market  # noqa: F401
+from barloom.catalog import scores  # noqa: F401
