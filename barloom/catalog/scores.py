@@ -76,7 +76,7 @@ q3 AS (SELECT *, early + CASE WHEN vol_ratio>1.5 THEN sign(early) ELSE 0 END + C
    + CASE WHEN stoch_k<20 THEN 1 WHEN stoch_k>80 THEN -1 ELSE 0 END + CASE WHEN k_prev<stoch_d AND stoch_k>stoch_d AND stoch_k<50 THEN 1 ELSE 0 END
    + CASE WHEN psar_dir=1 AND sar_prev=-1 THEN 2 WHEN psar_dir=-1 AND sar_prev=1 THEN -2 ELSE 0 END
    + CASE ichimoku_signal WHEN 'BULLISH' THEN 2 WHEN 'WEAK_BULL' THEN 1 WHEN 'BEARISH' THEN -2 WHEN 'WEAK_BEAR' THEN -1 ELSE 0 END
-   + CASE WHEN srsi_k<20 THEN 1 WHEN srsi_k>80 THEN -1 ELSE 0 END + CASE WHEN sk_prev<srsi_d AND srsi_k>srsi_d AND srsi_k<50 THEN 1 ELSE 0 END
+   + CASE WHEN srsi_k<20 THEN 1 WHEN srsi_k>80 THEN -1 ELSE 0 END + CASE WHEN srsi_d-sk_prev>1e-9 AND srsi_k-srsi_d>1e-9 AND srsi_k<50 THEN 1 ELSE 0 END
    + CASE WHEN williams_r< -80 THEN 1 WHEN williams_r> -20 THEN -1 ELSE 0 END + CASE obv_trend WHEN 'RISING' THEN 1 WHEN 'FALLING' THEN -1 ELSE 0 END
    + CASE WHEN breakout_watch THEN 1 ELSE 0 END + CASE WHEN rs_vs_index>10 THEN 2 WHEN rs_vs_index>0 THEN 1 WHEN rs_vs_index< -10 THEN -2 WHEN rs_vs_index<0 THEN -1 ELSE 0 END
    + CASE WHEN composite_rs>=80 THEN 1 ELSE 0 END + CASE weekly_trend WHEN 'BULLISH' THEN 1 WHEN 'BEARISH' THEN -1 ELSE 0 END
@@ -88,7 +88,7 @@ q3 AS (SELECT *, early + CASE WHEN vol_ratio>1.5 THEN sign(early) ELSE 0 END + C
      CASE WHEN nh> -3 THEN 'near_high' END, CASE WHEN nl<5 THEN 'near_low' END,
      CASE WHEN psar_dir=1 AND sar_prev=-1 THEN 'sar_flip_up' WHEN psar_dir=-1 AND sar_prev=1 THEN 'sar_flip_down' WHEN psar_dir=1 AND sar_prev=1 THEN 'sar_up' WHEN psar_dir=-1 AND sar_prev=-1 THEN 'sar_down' END,
      CASE ichimoku_signal WHEN 'BULLISH' THEN 'ichimoku_bullish' WHEN 'WEAK_BULL' THEN 'ichimoku_weak_bull' WHEN 'BEARISH' THEN 'ichimoku_bearish' WHEN 'WEAK_BEAR' THEN 'ichimoku_weak_bear' WHEN 'NEUTRAL' THEN 'ichimoku_inside' END,
-     CASE WHEN srsi_k<20 THEN 'stoch_rsi_oversold' WHEN srsi_k>80 THEN 'stoch_rsi_overbought' END, CASE WHEN sk_prev<srsi_d AND srsi_k>srsi_d AND srsi_k<50 THEN 'stoch_rsi_cross_up' END,
+     CASE WHEN srsi_k<20 THEN 'stoch_rsi_oversold' WHEN srsi_k>80 THEN 'stoch_rsi_overbought' END, CASE WHEN srsi_d-sk_prev>1e-9 AND srsi_k-srsi_d>1e-9 AND srsi_k<50 THEN 'stoch_rsi_cross_up' END,
      CASE WHEN williams_r< -80 THEN 'williams_oversold' WHEN williams_r> -20 THEN 'williams_overbought' END, CASE obv_trend WHEN 'RISING' THEN 'obv_rising' WHEN 'FALLING' THEN 'obv_falling' END,
      CASE WHEN breakout_watch AND vol_dryup THEN 'quiet_squeeze' WHEN breakout_watch THEN 'squeeze' END,
      CASE WHEN rs_vs_index>10 THEN 'rs_leader' WHEN rs_vs_index>0 THEN 'rs_ahead' WHEN rs_vs_index< -10 THEN 'rs_laggard' WHEN rs_vs_index<0 THEN 'rs_behind' END,

@@ -8,6 +8,10 @@ from barloom.functions import indicators as ind
 from barloom.functions.windows import lag
 
 
+# Means of equal readings differ by rounding noise only; that is not a crossing.
+TIE = 1e-9
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -172,7 +176,7 @@ def with_indicator_points(df: DataFrame) -> DataFrame:
         ("ichimoku_inside", ichi == "NEUTRAL", 0),
         ("stoch_rsi_oversold", sk < 20, 1),
         ("stoch_rsi_overbought", sk > 80, -1),
-        ("stoch_rsi_cross_up", (_c("_sk_prev") < sd) & (sk > sd) & (sk < 50), 1),
+        ("stoch_rsi_cross_up", (sd - _c("_sk_prev") > TIE) & (sk - sd > TIE) & (sk < 50), 1),
         ("williams_oversold", _c("williams_r") < -80, 1),
         ("williams_overbought", _c("williams_r") > -20, -1),
         ("obv_rising", _c("obv_trend") == "RISING", 1),

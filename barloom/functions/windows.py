@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FAST_BLOCK = 1024  # smoothing factors >= 0.0383: one block back is < 1e-17
@@ -24,11 +26,24 @@ FAST_ALPHA = 0.0383
 
 ORDER = ("_b8", "_b1", "rn")
 
+# The same window as SQL text: one parsed expression is much cheaper to build
+# than a chain of Column calls, and wide plans hold hundreds of them.
+OVER = "PARTITION BY symbol ORDER BY _b8, _b1, rn"
 
-def by_symbol():
+
+@lru_cache(maxsize=None)
+def _spec(app: str):
     return Window.partitionBy("symbol").orderBy(*ORDER)
 
 
+def by_symbol():
+    return _spec(SparkContext._active_spark_context.applicationId)
+
+
+def _frame(n: int) -> str:
+    return f"({OVER} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
 def with_row_number(bars: DataFrame, order: str = "date") -> DataFrame:
     """Add ``rn`` (0-based row number per symbol) and the two block numbers."""
     w = Window.partitionBy("symbol").orderBy(order)
@@ -44,6 +59,8 @@ def drop_layout(df: DataFrame) -> DataFrame:
 
 
 def lag(x: Column | str, k: int = 1) -> Column:
+    if isinstance(x, str):
+        return F.expr(f"lag(`{x}`, {k}) OVER ({OVER})")
     return F.lag(x, k).over(by_symbol())
 
 
@@ -53,14 +70,17 @@ def lead(x: Column | str, k: int = 1) -> Column:
 
 def roll(fn: Callable[[Column], Column], x: Column | str, n: int) -> Column:
     """Aggregate over the last ``n`` rows; null until all ``n`` are non-null."""
-    x = F.col(x) if isinstance(x, str) else x
+    if isinstance(x, str):
+        over = _frame(n)
+        return F.expr(f"CASE WHEN count(`{x}`) OVER {over} = {n} THEN {fn.__name__}(`{x}`) OVER {over} END")
     w = by_symbol().rowsBetween(-(n - 1), 0)
     return F.when(F.count(x).over(w) == n, fn(x).over(w))
 
 
 def tail(fn: Callable[[Column], Column], x: Column | str, n: int) -> Column:
     """Aggregate over the last ``n`` rows, fewer at the start of a series."""
-    x = F.col(x) if isinstance(x, str) else x
+    if isinstance(x, str):
+        return F.expr(f"{fn.__name__}(`{x}`) OVER {_frame(n)}")
     return fn(x).over(by_symbol().rowsBetween(-(n - 1), 0))
 
 
@@ -107,38 +127,39 @@ def with_long(df: DataFrame, specs: Sequence[Long]) -> DataFrame:
     frames use a plain sliding window.
     """
     first, outs = {}, []
-    pick = {"max": F.max, "min": F.min, "avg": F.avg, "sd": F.stddev_samp}
-    w = by_symbol()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    upto = f"({OVER} ROWS UNBOUNDED PRECEDING)"
+    short_frame = _frame(STRIDE)
     for s in specs:
-        x = F.col(s.source)
+        x = s.source
         if s.n <= 2 * STRIDE:
-            outs.append((roll if s.full else tail)(pick[s.kind], x, s.n).alias(s.out))
+            fn = {"max": F.max, "min": F.min, "avg": F.avg, "sd": F.stddev_samp}[s.kind]
+            outs.append((roll if s.full else tail)(fn, x, s.n).alias(s.out))
             continue
-        n_all = f"_n_{s.source}"
-        first[n_all] = F.count(x).over(upto)
-        seen = F.col(n_all) - F.coalesce(F.lag(n_all, s.n).over(w), F.lit(0))
+
+        def trailing(total: str) -> str:
+            return f"(`{total}` - coalesce(lag(`{total}`, {s.n}) OVER ({OVER}), 0))"
+
+        first[f"_n_{x}"] = f"count(`{x}`) OVER {upto}"
+        seen = trailing(f"_n_{x}")
         if s.kind in ("max", "min"):
-            short = f"_{s.kind}_{s.source}"
-            first[short] = pick[s.kind](x).over(w.rowsBetween(-(STRIDE - 1), 0))
+            short = f"_{s.kind}_{x}"
+            first[short] = f"{s.kind}(`{x}`) OVER {short_frame}"
             steps = [*range(0, s.n - STRIDE, STRIDE), s.n - STRIDE]
-            both = F.greatest if s.kind == "max" else F.least
-            value = both(*[F.lag(short, k).over(w) for k in steps])
+            both = "greatest" if s.kind == "max" else "least"
+            value = f"{both}({', '.join(f'lag(`{short}`, {k}) OVER ({OVER})' for k in steps)})"
         else:
-            total = f"_s_{s.source}"
-            first[total] = F.sum(x).over(upto)
-            part = F.col(total) - F.coalesce(F.lag(total, s.n).over(w), F.lit(0.0))
-            value = part / seen
+            first[f"_s_{x}"] = f"sum(CAST(`{x}` AS DOUBLE)) OVER {upto}"
+            part = trailing(f"_s_{x}")
+            value = f"{part} / {seen}"
             if s.kind == "sd":
-                square = f"_q_{s.source}"
-                first[square] = F.sum(x * x).over(upto)
-                sq = F.col(square) - F.coalesce(F.lag(square, s.n).over(w), F.lit(0.0))
-                value = F.sqrt(F.greatest(F.lit(0.0), sq - part * part / seen) / (seen - 1))
-        outs.append((F.when(seen == s.n, value) if s.full else value).alias(s.out))
+                first[f"_q_{x}"] = f"sum(`{x}` * `{x}`) OVER {upto}"
+                spread = f"{trailing(f'_q_{x}')} - {part} * {part} / {seen}"
+                value = f"sqrt(greatest(0.0D, {spread}) / ({seen} - 1))"
+        outs.append(F.expr(f"CASE WHEN {seen} = {s.n} THEN {value} END AS `{s.out}`" if s.full else f"{value} AS `{s.out}`"))
     if not first:
         return df.select("*", *outs)
     kept = df.columns
-    return df.select("*", *[c.alias(k) for k, c in first.items()]).select(*kept, *outs)
+    return df.select("*", *[F.expr(f"{v} AS `{k}`") for k, v in first.items()]).select(*kept, *outs)
 
 
 @dataclass(frozen=True)
@@ -173,25 +194,20 @@ def with_ema(df: DataFrame, specs: Sequence[Ema]) -> DataFrame:
     parts, carries, outs = [], [], []
     for s in specs:
         size, block = (FAST_BLOCK, ["_b8", "_b1"]) if s.alpha >= FAST_ALPHA else (SLOW_BLOCK, ["_b8"])
-        order = [c for c in ORDER if c not in block]
-        inner = (
-            Window.partitionBy("symbol", *block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        )
-        before = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
-        keep = F.lit(1.0 - s.alpha)
-        j = F.col("rn") % size
-        seed = F.col(s.seed) if isinstance(s.seed, str) else F.lit(s.seed)
-        weight = F.when(F.col("rn") == seed, F.lit(1.0)).otherwise(F.lit(s.alpha))
+        order = ", ".join(c for c in ORDER if c not in block)
+        inner = f"PARTITION BY symbol, {', '.join(block)} ORDER BY {order} ROWS UNBOUNDED PRECEDING"
+        before = f"{OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        keep, j = f"{1.0 - s.alpha!r}D", f"(rn % {size})"
         part, carry = f"_p_{s.out}", f"_c_{s.out}"
-        parts.append(F.sum(weight * F.col(s.source) * F.pow(keep, -j)).over(inner).alias(part))
-        carries.append(
-            F.last(F.when(j == size - 1, F.pow(keep, j) * F.col(part)), ignorenulls=True).over(before).alias(carry)
-        )
+        weight = f"CASE WHEN rn = {s.seed} THEN 1.0D ELSE {s.alpha!r}D END"
+        parts.append(F.expr(f"sum({weight} * `{s.source}` * pow({keep}, -{j})) OVER ({inner}) AS `{part}`"))
+        end = f"CASE WHEN {j} = {size - 1} THEN pow({keep}, {j}) * `{part}` END"
+        carries.append(F.expr(f"last({end}, true) OVER ({before}) AS `{carry}`"))
         outs.append(
-            F.when(
-                F.col("rn") >= seed,
-                F.pow(keep, j) * (F.coalesce(F.col(part), F.lit(0.0)) + keep * F.coalesce(F.col(carry), F.lit(0.0))),
-            ).alias(s.out)
+            F.expr(
+                f"CASE WHEN rn >= {s.seed} THEN pow({keep}, {j}) * "
+                f"(coalesce(`{part}`, 0.0D) + {keep} * coalesce(`{carry}`, 0.0D)) END AS `{s.out}`"
+            )
         )
     kept = df.columns
     return df.select("*", *parts).select("*", *carries).select(*kept, *outs)
