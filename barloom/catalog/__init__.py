@@ -3,3 +3,5 @@ from barloom.catalog import indicators  # noqa: F401
 from barloom.catalog import rules  # noqa: F401
 from barloom.catalog import market  # noqa: F401
 from barloom.catalog import scores  # noqa: F401
+from barloom.catalog import outcomes  # noqa: F401
+from barloom.catalog import factors  # noqa: F401
