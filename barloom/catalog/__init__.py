@@ -5,3 +5,5 @@ from barloom.catalog import market  # noqa: F401
 from barloom.catalog import scores  # noqa: F401
 from barloom.catalog import outcomes  # noqa: F401
 from barloom.catalog import factors  # noqa: F401
+from barloom.catalog import archive  # noqa: F401
+from barloom.catalog import monitor  # noqa: F401

@@ -224,8 +224,8 @@ PROFILE = f"""pf AS (SELECT symbol, date, rn, close, volume, avg(volume) OVER ({
    (close/max(close) OVER ({W} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)-1)*100 AS from_high FROM t3)"""
 register(
     "p29_smallcap_profile",
-    lambda spark, sf: tidy(scout_profile(bars(spark, sf)).select("symbol", "date", "vol_expansion", "above_ema50", "above_ema200", "ret_3m", "ret_1m", "from_high"), 6),
-    query([*TECH[:4], PROFILE], f"SELECT {select('symbol date@d vol_expansion@6 above_ema50@i above_ema200@i ret_3m@6 ret_1m@6 from_high@6')} FROM pf WHERE rn>=119"),
+    lambda spark, sf: tidy(scout_profile(bars(spark, sf)).select("symbol", "date", "above_ema50", "above_ema200", *[rnd(x, 4).alias(x) for x in ("vol_expansion", "ret_3m", "ret_1m", "from_high")])),
+    query([*TECH[:4], PROFILE], f"SELECT {select('symbol date@d above_ema50@i above_ema200@i')}, {', '.join(f'{r(x, 4)}+0.0::double AS {x}' for x in ('vol_expansion', 'ret_3m', 'ret_1m', 'from_high'))} FROM pf WHERE rn>=119"),
 )
 
 
