@@ -7,3 +7,5 @@ from barloom.catalog import outcomes  # noqa: F401
 from barloom.catalog import factors  # noqa: F401
 from barloom.catalog import archive  # noqa: F401
 from barloom.catalog import monitor  # noqa: F401
+from barloom.catalog import reference  # noqa: F401
+from barloom.catalog import streaming  # noqa: F401

@@ -18,7 +18,8 @@ from barloom.plans import tables
 from barloom.plans.tables import bars, daily_bars, index_bars, index_series, read
 
 c = F.col
-READ = """rd AS (SELECT symbol, cast(scanned_at AS date) AS day, max(scanned_at) AS scanned_at, arg_max(score100, scanned_at) AS score, arg_max(id, scanned_at) AS id FROM slog WHERE score100 IS NOT NULL GROUP BY 1,2)"""
+READ = """rd0 AS (SELECT symbol, cast(scanned_at AS date) AS day, scanned_at, score100 AS score, id, row_number() OVER (PARTITION BY symbol, cast(scanned_at AS date) ORDER BY scanned_at DESC, id DESC) AS k FROM slog WHERE score100 IS NOT NULL),
+rd AS (SELECT symbol, day, scanned_at, score, id FROM rd0 WHERE k=1)"""
 register("x18_daily_readings", lambda spark, sf: tidy(monitor.daily_readings(scan_log(spark, sf)).select("symbol", "day", "score", "id")), query([LOG, READ], "SELECT symbol, strftime(day,'%Y-%m-%d') AS day, round(score,4)+0.0::double AS score, id FROM rd"))
 CROSS = """cr0 AS (SELECT *, lag(score) OVER w AS ps, lag(scanned_at) OVER w AS pa, lead(day) OVER w AS nd FROM rd WINDOW w AS (PARTITION BY symbol ORDER BY day)),
 cr1 AS (SELECT *, pa IS NOT NULL AND pa>=TIMESTAMP '2000-01-01'-INTERVAL 400 DAY AS known FROM cr0 WHERE nd IS NULL),
@@ -63,7 +64,7 @@ pl AS (SELECT date, symbol, 'stable_control' AS arm, 0.0::double AS value, sha25
   UNION ALL SELECT date, symbol, 'momentum_trend', m, '', turnover, close FROM pe WHERE risk_on AND m IS NOT NULL UNION ALL SELECT date, symbol, 'year_high', y, '', turnover, close FROM pe WHERE y>=0.95),
 pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, arm ORDER BY key, value DESC, symbol) AS position FROM pl) WHERE position<=20)"""
 register("x24_monthly_picks", lambda spark, sf: tidy(_picks(spark, sf)), query([BARS, INDEX, FUND, MEND, PICKS], f"SELECT {select('date@d symbol arm value@4 position')} FROM pp"))
-register("x25_price_jumps", lambda spark, sf: tidy(portfolio.price_jumps(daily_bars(spark, sf), 0.04).select("symbol", "date", "move")), query(BARS, f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, round(m,4)+0.0::double AS move FROM (SELECT symbol, date, close/{lag('close')}-1 AS m FROM b) WHERE abs(m)>0.04"))
+register("x25_price_jumps", lambda spark, sf: tidy(portfolio.price_jumps(daily_bars(spark, sf), 0.02).select("symbol", "date", "move")), query(BARS, f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, round(m,4)+0.0::double AS move FROM (SELECT symbol, date, close/{lag('close')}-1 AS m FROM b) WHERE abs(m)>0.02"))
 
 
 def _allocate(spark, sf):
@@ -105,8 +106,8 @@ po AS (SELECT symbol, day, seq, k, side, CASE WHEN side='BUY' THEN qty ELSE 0 EN
     CASE WHEN x.side='SELL' AND p.held>0 THEN least(x.qty,p.held)*(x.price-p.cost/p.held) ELSE 0 END FROM po p JOIN fl x ON x.symbol=p.symbol AND x.k=p.k+1)"""
 register(
     "x27_position_rebuild",
-    lambda spark, sf: tidy(portfolio.positions(fills(spark, sf)), 3),
-    query(POSITIONS, "SELECT symbol, strftime(day,'%Y-%m-%d') AS day, seq, side, filled, held, CASE WHEN held>0 THEN round(cost/held,3)+0.0::double END AS avg_price, round(realised,3)+0.0::double AS realised FROM po", True),
+    lambda spark, sf: tidy(portfolio.positions(fills(spark, sf)).withColumns({"avg_price": rnd("avg_price", 3), "realised": rnd("realised", 3)})),
+    query(POSITIONS, "SELECT symbol, strftime(day,'%Y-%m-%d') AS day, seq, side, filled, held, CASE WHEN held>0 THEN " + r('cost/held', 3) + "+0.0::double END AS avg_price, " + r('realised', 3) + "+0.0::double AS realised FROM po", True),
 )
 
 

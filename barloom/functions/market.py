@@ -223,8 +223,8 @@ def calendar_fill(daily: DataFrame, columns: list[str]) -> DataFrame:
     """
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     nxt = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.date_add("date", 31))
-    days = daily.select(*columns, F.explode(F.sequence("date", nxt)).alias("_day"), F.col("date").alias("as_of_date"))
-    return days.withColumnRenamed("_day", "date")
+    spans = daily.select(*columns, F.col("date").alias("as_of_date"), nxt.alias("_until"))
+    return spans.select(*columns, "as_of_date", F.explode(F.sequence("as_of_date", "_until")).alias("date"))
 
 
 def as_of_backward(
