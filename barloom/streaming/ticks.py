@@ -138,7 +138,9 @@ def position_triggers(ticks: DataFrame) -> DataFrame:
         state.update((None if stop is None else float(stop), bool(live), bool(done)))
         yield pd.DataFrame(out, columns=["symbol", "ts", "action", "price"])
 
-    return ticks.groupBy("symbol").applyInPandasWithState(step, TRIGGER_SCHEMA, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
+    # Prices that can trigger nothing never leave the JVM.
+    near = (F.col("price") <= F.greatest("sl", "cost")) | (F.col("price") >= F.col("t1"))
+    return ticks.where(near).groupBy("symbol").applyInPandasWithState(step, TRIGGER_SCHEMA, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # --- running -----------------------------------------------------------------------
