@@ -10,3 +10,4 @@ from barloom.catalog import monitor  # noqa: F401
 from barloom.catalog import reference  # noqa: F401
 from barloom.catalog import streaming  # noqa: F401
 from barloom.catalog import learning  # noqa: F401
+from barloom.catalog import evaluation  # noqa: F401

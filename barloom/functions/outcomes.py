@@ -63,7 +63,12 @@ def with_trade(df: DataFrame, stop: str, target: str, hold: int, gaps: bool) ->
     Adds ``outcome`` (sl / t1 / timeout), ``ret``, ``mae`` and ``mfe`` in
     percent; null when there is no next bar.
     """
-    df = df.withColumn("_path", path(hold))
+    return with_path_trade(df.withColumn("_path", path(hold)), "_path", stop, target, gaps)
+
+
+def with_path_trade(df: DataFrame, bars: str, stop: str, target: str, gaps: bool) -> DataFrame:
+    """As :func:`with_trade` over a forward path that is already a column."""
+    df = df.withColumnRenamed(bars, "_path")
     df = df.withColumn("_touch", first_touch(F.col("_path"), F.col(stop), F.col(target), gaps))
     entry = F.try_element_at("_path", F.lit(1))["open"] * (1 + SLIPPAGE)
     df = df.withColumn("entry", F.when(F.try_element_at("_path", F.lit(1))["open"] > 0, entry))
