@@ -119,10 +119,15 @@ def with_base_signal(df: DataFrame) -> DataFrame:
 # --- indicator points ----------------------------------------------------------
 
 
+def with_directions(df: DataFrame) -> DataFrame:
+    """The two array scans; cheapest while the rows are still narrow."""
+    return ind.with_parabolic_sar(ind.with_supertrend(df))
+
+
 def with_technicals(df: DataFrame) -> DataFrame:
     """Everything the indicator points and the score read, on every bar."""
-    df = ind.with_supertrend(df)
-    df = ind.with_parabolic_sar(df)
+    if "st_dir" not in df.columns:
+        df = with_directions(df)
     df = ind.compose(
         df,
         *base_layers(),

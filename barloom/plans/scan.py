@@ -23,22 +23,38 @@ def with_fund_score(df: DataFrame) -> DataFrame:
     )
 
 
+def _looked_up(bars: DataFrame, index: DataFrame) -> DataFrame:
+    """Directions, strength and weekly trend: all that scans or joins, on narrow rows.
+
+    A join loses the partitioning by symbol, so every join comes before the
+    wide indicator layers; those then share one exchange and one sort.
+    """
+    df = scoring.with_directions(bars)
+    return market.with_weekly_trend(market.with_strength(df, index))
+
+
+def _technical(df: DataFrame) -> DataFrame:
+    df = scoring.with_base_signal(scoring.with_technicals(df))
+    return scoring.with_trade_levels(scoring.with_indicator_points(df))
+
+
 def technical_rows(bars: DataFrame, index: DataFrame) -> DataFrame:
     """Signals, levels, strength and weekly trend on every bar (causal: no later row is read)."""
-    df = scoring.with_technicals(bars)
-    df = scoring.with_base_signal(df)
-    df = market.with_strength(df, index)
-    df = market.with_weekly_trend(df)
-    df = scoring.with_indicator_points(df)
-    return scoring.with_trade_levels(df)
+    return _technical(_looked_up(bars, index))
+
+
+REFERENCE = (
+    "symbol", "fund_score", "quality_score", "is_lender", "debt_equity", "revenue_growth", "promoter_pledged", "delivery_pct",
+    "oi_spurt", "bulk_deal", "fii_signal", "retail_signal",
+)
 
 
 def scored_rows(bars: DataFrame, index: DataFrame, context: DataFrame, reference: DataFrame) -> DataFrame:
     """Every bar scored with the context of its date and the reference data of its symbol."""
-    df = technical_rows(bars, index)
-    df = df.join(context.drop("vix"), "date", "left")
-    df = df.join(with_fund_score(reference), "symbol", "left")
-    return scoring.with_score(df)
+    df = _looked_up(bars, index)
+    df = df.join(context.select("date", "regime", "above_200", "above_50", "vix_high"), "date", "left")
+    df = df.join(with_fund_score(reference).select(*REFERENCE), "symbol", "left")
+    return scoring.with_score(_technical(df))
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
