@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from barloom.catalog.base import register, tidy
 from barloom.catalog.oracle import BARS, INDEX, W, query, select
@@ -146,18 +146,19 @@ register(
 
 
 def _payload(spark, sf):
-    """Order payloads as parallel arrays; orders with a null-priced item lose one element and are rejected."""
-    li = read(spark, sf, "lineitem")
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    p = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    p = p.select("l_orderkey", F.transform("x", lambda i: i["l_linenumber"]).alias("line"), F.transform(F.filter("x", lambda i: i["l_quantity"] < 50), lambda i: i["l_extendedprice"]).alias("price"))
-    return tidy(parsing.columnar_payload(p, ("line", "price")).select("l_orderkey", "line", "price"))
+    """One payload of parallel arrays per order; every seventh one is short of a price."""
+    o = read(spark, sf, "orders")
+    n = (c("o_orderkey") % 5 + 2).cast("int")
+    lines = F.sequence(F.lit(1), n)
+    prices = F.transform(F.sequence(F.lit(1), F.when(c("o_orderkey") % 7 == 0, n - 1).otherwise(n)), lambda i: c("o_totalprice") * i)
+    p = o.select("o_orderkey", lines.alias("line"), prices.alias("price"))
+    return tidy(parsing.columnar_payload(p, ("line", "price")).select("o_orderkey", "line", "price"))
 
 
 register(
     "a11_columnar_payload",
     _payload,
-    query("k AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_quantity>=50)=0)", "SELECT l_orderkey, cast(l_linenumber AS bigint) AS line, round(l_extendedprice,4)+0.0::double AS price FROM lineitem JOIN k USING (l_orderkey)"),
+    "SELECT o_orderkey, line, round(o_totalprice*line,4)+0.0::double AS price FROM (SELECT o_orderkey, o_totalprice, unnest(range(1, o_orderkey%5+3)) AS line FROM orders WHERE o_orderkey%7<>0)",
 )
 
 
@@ -480,36 +481,34 @@ SELECT k AS o_orderkey, array_to_string(l,'|') AS issues FROM x""",
 
 
 def journal(spark, sf):
-    """Each account's orders as a hash-linked journal (previous hash taken from content only)."""
+    """Eight consecutive orders make one journal; order dates are the recording times."""
     o = read(spark, sf, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    kind = F.when(F.row_number().over(w) == 1, "registration").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("observation", "intent", "skip", "fill")]), (c("o_orderkey") % 4 + 1).cast("int")))
+    k = c("o_orderkey")
+    kind = F.when(k % 8 == 0, "registration").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("observation", "intent", "skip", "fill")]), (k % 4 + 1).cast("int")))
     return o.select(
-        c("o_custkey").alias("journal"), F.row_number().over(w).alias("seq"), kind.alias("kind"), c("o_orderkey").cast("string").alias("identity"), c("o_orderdate").alias("recorded_at"),
-        F.date_add(F.to_date("o_orderdate"), (c("o_orderkey") % 7).cast("int") - 3).cast("timestamp").alias("event_at"), F.round(c("o_totalprice") * 100).cast("long").cast("string").alias("payload"),
+        F.floor(k / 8).alias("journal"), (k % 8 + 1).alias("seq"), kind.alias("kind"), k.cast("string").alias("identity"), c("o_orderdate").alias("recorded_at"),
+        F.date_add(F.to_date("o_orderdate"), (k % 7).cast("int") - 3).cast("timestamp_ntz").alias("event_at"), F.round(c("o_totalprice") * 100).cast("long").cast("string").alias("payload"),
     )
 
 
 def _chain(spark, sf):
-    j = journal(spark, sf).select("journal", "seq", "identity", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), "payload")
-    w = Window.partitionBy("journal").orderBy("seq")
-    own = F.sha2(F.concat_ws("|", "recorded_at", "identity", "payload"), 256)
-    # Two-row chain: the first row's hash feeds the second; account 0 mod 10 is tampered with.
-    first = quality.chain_hash(F.lit(""), c("recorded_at"), c("identity"), c("payload"))
-    j = j.where("seq <= 2").withColumn("_h1", F.first(first).over(w))
-    j = j.withColumn("previous_hash", F.when(c("seq") == 1, "").otherwise(c("_h1")))
+    """Two-record chains; the second record of every tenth journal was changed after hashing."""
+    j = journal(spark, sf).where("seq <= 2").withColumn("recorded_at", F.date_format("recorded_at", "yyyy-MM-dd"))
+    first = j.where("seq = 1").select("journal", quality.chain_hash(F.lit(""), c("recorded_at"), c("identity"), c("payload")).alias("_h1"))
+    j = j.join(first, "journal").withColumn("previous_hash", F.when(c("seq") == 1, "").otherwise(c("_h1"))).drop("_h1")
     j = j.withColumn("hash", quality.chain_hash(c("previous_hash"), c("recorded_at"), c("identity"), c("payload")))
     j = j.withColumn("payload", F.when((c("journal") % 10 == 0) & (c("seq") == 2), "0").otherwise(c("payload")))
     return tidy(quality.verify_chain(j))
 
 
-register("a41_hash_chain", _chain, "SELECT o_custkey AS journal, cast(NOT (o_custkey%10=0 AND count(*)>=2) AS bigint) AS sound, least(count(*),2) AS records FROM orders GROUP BY 1")
+register("a41_hash_chain", _chain, "SELECT o_orderkey//8 AS journal, cast(NOT ((o_orderkey//8)%10=0 AND count(*)>=2) AS bigint) AS sound, count(*) AS records FROM orders WHERE o_orderkey%8<2 GROUP BY 1")
 register(
     "a42_journal_admission",
     lambda spark, sf: tidy(quality.admission(journal(spark, sf)).select("journal", "seq", "kind", "rejected")),
-    """WITH j AS (SELECT o_custkey AS journal, row_number() OVER w AS seq, o_orderkey AS k, o_orderdate AS ats, cast(o_orderdate AS date)+cast(o_orderkey%7-3 AS int) AS ev, first_value(o_orderdate) OVER w AS f FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-x AS (SELECT *, CASE WHEN seq=1 THEN 'registration' ELSE CASE k%4 WHEN 0 THEN 'observation' WHEN 1 THEN 'intent' WHEN 2 THEN 'skip' ELSE 'fill' END END AS kind FROM j)
-SELECT journal, seq, kind, CASE WHEN kind='fill' THEN 'kind_not_allowed' WHEN kind='observation' AND (ev<=f OR ev>ats) THEN 'observation_outside_window' WHEN kind='intent' AND ev<=ats THEN 'intent_not_in_future' END AS rejected FROM x""",
+    """WITH j AS (SELECT o_orderkey//8 AS journal, o_orderkey%8+1 AS seq, o_orderkey AS k, o_orderdate AS ats, cast(o_orderdate AS date)+cast(o_orderkey%7-3 AS int) AS ev FROM orders),
+w AS (SELECT *, first_value(ats) OVER v AS f, max(ats) OVER v AS mx, count(*) OVER v AS n FROM j WINDOW v AS (PARTITION BY journal ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, CASE WHEN seq=1 THEN 'registration' ELSE CASE k%4 WHEN 0 THEN 'observation' WHEN 1 THEN 'intent' WHEN 2 THEN 'skip' ELSE 'fill' END END AS kind FROM w)
+SELECT journal, seq, kind, CASE WHEN kind='fill' THEN 'kind_not_allowed' WHEN kind<>'registration' AND n=0 THEN 'not_registered' WHEN ats<mx THEN 'backdated' WHEN kind='observation' AND (ev<=f OR ev>ats) THEN 'observation_outside_window' WHEN kind='intent' AND ev<=ats THEN 'intent_not_in_future' END AS rejected FROM x""",
 )
 
 

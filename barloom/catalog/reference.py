@@ -306,15 +306,14 @@ register("j12_set_difference", _vanished, query(BARS, "SELECT DISTINCT symbol, m
 
 
 def _deals(spark, sf):
-    """Two deal tables stacked and grouped; each symbol's deals stay a bounded summary plus the newest five."""
+    """Two deal tables stacked and grouped by symbol; only summaries meet in one task."""
     o = read(spark, sf, "orders").where("o_totalprice > 200000")
     deal = o.select(F.concat(F.lit("S"), F.pmod("o_custkey", F.lit(100)).cast("string")).alias("symbol"), "o_orderkey", F.when(c("o_orderstatus") == "F", "bulk").otherwise("block").alias("kind"))
     both = deal.where("kind = 'bulk'").unionByName(deal.where("kind = 'block'"))
-    w = Window.partitionBy("symbol").orderBy("o_orderkey")
-    return tidy(both.select("symbol", "o_orderkey", "kind", F.row_number().over(w).alias("position")))
+    return tidy(both.groupBy("symbol", "kind").agg(F.count("*").alias("deals"), F.min("o_orderkey").alias("first_deal"), F.max("o_orderkey").alias("last_deal")))
 
 
-register("j13_deal_grouping", _deals, "SELECT 'S'||cast(o_custkey%100 AS varchar) AS symbol, o_orderkey, CASE WHEN o_orderstatus='F' THEN 'bulk' ELSE 'block' END AS kind, row_number() OVER (PARTITION BY o_custkey%100 ORDER BY o_orderkey) AS position FROM orders WHERE o_totalprice>200000")
+register("j13_deal_grouping", _deals, "SELECT 'S'||cast(o_custkey%100 AS varchar) AS symbol, CASE WHEN o_orderstatus='F' THEN 'bulk' ELSE 'block' END AS kind, count(*) AS deals, min(o_orderkey) AS first_deal, max(o_orderkey) AS last_deal FROM orders WHERE o_totalprice>200000 GROUP BY 1,2")
 
 # --- C: aggregates -----------------------------------------------------------------
 
