@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from barloom.catalog.base import register, tidy
-from barloom.catalog.oracle import BARS, W, ema, lag, query, roll, select, span, tail, wilder
+from barloom.catalog.oracle import BARS, W, lag, query, roll, select, span, tail, wilder
 from barloom.functions import indicators as ind
-from barloom.functions.windows import by_symbol, lag as wlag
+from barloom.functions.scoring import rnd
 from barloom.plans.tables import bars
 
 # SQL form of the same indicators: each CTE may read the columns of the one before.
@@ -183,7 +183,11 @@ register(
     ),
 )
 _column("w12_cci", lambda: [ind.cci()], "cci@4")
-_column("w14_vwap_proxy", lambda: [ind.vwap_proxy()], "vwap20@6")
+register(
+    "w14_vwap_proxy",
+    _over(lambda: [ind.vwap_proxy()], "symbol date vwap20", lambda df: df.withColumn("vwap20", rnd("vwap20", 4))),
+    query(TECH[:4], "SELECT symbol, strftime(date,'%Y-%m-%d') AS date, cast(round(cast(vwap20 AS decimal(24,8)),4) AS double)+0.0::double AS vwap20 FROM t3"),
+)
 _column("w15_stochastic", lambda: [ind.stochastic()], "stoch_k@4 stoch_d@4")
 _column("w16_adx", lambda: [ind.adx()], "adx@4 plus_di@4 minus_di@4")
 _column("w17_adx_zero", lambda: [ind.adx()], "adx_zero@4")
