@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import register, tidy
-from barloom.catalog.oracle import BARS, INDEX, W, query, select
+from barloom.catalog.oracle import BARS, INDEX, query, select
 from barloom.catalog.scores import FUNDAMENTALS
 from barloom.functions import market, scoring
 from barloom.functions.outcomes import valid_bar, valid_bar_tolerant
 from barloom.operators import quality
 from barloom.plans import tables
-from barloom.plans.tables import bars, daily_bars, index_bars, read
+from barloom.plans.tables import daily_bars, index_bars, read
 from barloom.sources import archive, parsing
 
 c = F.col

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.archive import stamp, when
+from barloom.catalog.archive import when
 from barloom.catalog.base import register, tidy
 from barloom.catalog.oracle import query
 from barloom.functions import outcomes as out

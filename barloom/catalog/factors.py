@@ -6,10 +6,9 @@ from pyspark.sql import Window, functions as F
 
 from barloom.catalog.base import register, tidy
 from barloom.catalog.indicators import TECH
-from barloom.catalog.market import STRENGTH
-from barloom.catalog.oracle import BARS, INDEX, W, lag, query, roll, select, span
+from barloom.catalog.oracle import BARS, INDEX, W, lag, query, roll, select
 from barloom.catalog.scores import FUNDAMENTALS, SCAN, r
-from barloom.functions import indicators as ind, market, outcomes as out, scoring
+from barloom.functions import indicators as ind, outcomes as out, scoring
 from barloom.functions.scoring import rnd
 from barloom.functions.windows import lag as wlag, tail as wtail
 from barloom.operators import pullback

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from barloom.catalog.base import register, tidy
-from barloom.catalog.indicators import BREAKOUT, TECH, T1, T2, T3, T4, T5, T6, T7
-from barloom.catalog.oracle import BARS, INDEX, W, lag, query, roll, select, span, tail
+from barloom.catalog.indicators import TECH, T1, T2, T3, T4, T5, T6, T7
+from barloom.catalog.oracle import BARS, INDEX, W, lag, query, roll, select, span
 from barloom.functions import indicators as ind, market
 from barloom.functions.outcomes import valid_bar_tolerant
-from barloom.functions.windows import Long, frame_array, lag as wlag, lead, roll as wroll, tail as wtail
-from barloom.plans.tables import INDEX_SYMBOL, bars, daily_bars, index_series, read
+from barloom.functions.windows import Long, frame_array, lag as wlag, roll as wroll
+from barloom.plans.tables import bars, daily_bars, index_series
 
 
 def tech(prefix: str, base: str) -> list[str]:

@@ -10,9 +10,8 @@ from barloom.catalog.factors import LAST, last_rows
 from barloom.catalog.market import FUND, fund_features
 from barloom.catalog.oracle import BARS, INDEX, W, lag, query, select
 from barloom.catalog.scores import FUNDAMENTALS, r
-from barloom.functions.outcomes import ROUND_TRIP_PCT, valid_bar_tolerant
 from barloom.functions.scoring import rnd
-from barloom.functions.windows import lag as wlag, roll
+from barloom.functions.windows import roll
 from barloom.operators import monitor, portfolio
 from barloom.plans import tables
 from barloom.plans.tables import bars, daily_bars, index_bars, index_series, read

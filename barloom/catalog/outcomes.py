@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.catalog.base import register, tidy
-from barloom.catalog.indicators import SIMPLE_SUPERTREND, TECH
-from barloom.catalog.market import IX, REGIME, STOCK_REGIME
-from barloom.catalog.oracle import BARS, INDEX, W, lag, query, roll, select
+from barloom.catalog.indicators import TECH
+from barloom.catalog.market import STOCK_REGIME
+from barloom.catalog.oracle import BARS, W, query, select
 from barloom.catalog.rules import LAB_SQL, hit, rule_source
-from barloom.catalog.scores import SCAN, TECHNICAL, r
+from barloom.catalog.scores import TECHNICAL, r
 from barloom.functions import indicators as ind, market, outcomes as out, rules, scoring
 from barloom.functions.windows import lag as wlag, lead
 from barloom.operators import reports
 from barloom.operators.lineage import materialize
-from barloom.plans import tables
 from barloom.plans.tables import bars, index_series
 
 c = F.col

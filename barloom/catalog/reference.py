@@ -8,7 +8,7 @@ from barloom.catalog.archive import INSTRUMENTS, LOG, instruments, scan_log, sta
 from barloom.catalog.base import register, tidy
 from barloom.catalog.factors import FLOOR, LAST, LIQUIDITY, SELLS, last_rows, liquidity, sells
 from barloom.catalog.market import IX, REGIME
-from barloom.catalog.monitor import LASTS, READ
+from barloom.catalog.monitor import READ
 from barloom.catalog.oracle import BARS, INDEX, W, lag, query, select
 from barloom.catalog.outcomes import FORWARD, HORIZONS
 from barloom.catalog.scores import FUNDAMENTALS, r

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from barloom.catalog.base import register, tidy
 from barloom.catalog.indicators import BREAKOUT, PATTERNS, PSAR, SUPERTREND, SWINGS, TECH
 from barloom.catalog.market import REGIME, STRENGTH, WEEKS, tech
-from barloom.catalog.oracle import INDEX, W, lag, query, roll, select
-from barloom.functions import indicators as ind, market, scoring
-from barloom.functions.scoring import rnd
-from barloom.functions.windows import Long, frame_array, lag as wlag
+from barloom.catalog.oracle import INDEX, lag, query, roll, select
+from barloom.functions import indicators as ind, scoring
 from barloom.plans import scan, tables
 from barloom.plans.tables import bars
 

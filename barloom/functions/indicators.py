@@ -13,19 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.windows import (
-    Ema,
-    Long,
-    by_symbol,
-    first_seen,
-    frame_array,
-    lag,
-    nonzero,
-    roll,
-    running,
-    span,
-    wilder,
-    with_ema,
-    with_long,
+    Long, by_symbol, first_seen, frame_array, lag, nonzero, roll, running, span, wilder, with_ema, with_long,
 )
 
 STAGES = ("long", "a", "b", "means", "c", "d", "means2", "e", "f", "g")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import indicators as ind
-from barloom.functions.windows import Ema, by_symbol, frame_array, lag, roll, running, span, with_ema, with_row_number
+from barloom.functions.windows import Ema, frame_array, lag, running, span, with_ema, with_row_number
 
 REGIMES = ("BULL_TREND", "BULL_WEAK", "RECOVERY", "SIDEWAYS", "BEAR_TREND")
 

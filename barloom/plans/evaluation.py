@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.functions import indicators as ind, market, outcomes, scoring
+from barloom.functions import market, outcomes, scoring
 from barloom.functions.reseeded import replay_inputs
 from barloom.functions.windows import with_row_number
 from barloom.operators import reports
-from barloom.operators.lineage import materialize
 
 BUCKETS = ("BASELINE", "50-60", "60-70", "70-80", "80+")
 
