@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe
+from barloom.llm import bpe, unigram_counts
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_bpe"] = op3_bpe
+
+
+def op8_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = unigram_counts.piece_vocab(tokenizer_file("piece_bpe_32k.model"))
+    return unigram_counts.token_counts(table(spark, sf_dir, "documents"), vocab)
+
+
+QUERIES["op8_unigram_counts"] = op8_unigram_counts
