@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, unigram_counts
+from barloom.llm import bpe, mixing, unigram_counts
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,10 @@ def op8_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_unigram_counts"] = op8_unigram_counts
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+QUERIES["op6_mixing"] = op6_mixing
