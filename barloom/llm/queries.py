@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, mixing, unigram_counts
+from barloom.llm import bpe, mixing, unigram_counts, warc
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_mixing"] = op6_mixing
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op7_warc"] = op7_warc
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last, payload_bytes >= 1000 AS large FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN large AND page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN large AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM q
+"""
