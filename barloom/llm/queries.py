@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, mixing, unigram_counts, warc
+from barloom.llm import bpe, licenses, line_rules, mixing, unigram_counts, warc
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,64 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN large AND page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM q
 """
+
+
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_line_rules"] = op10_line_rules
+ORACLES["op10_line_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS s FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY r),
+ln AS (SELECT r, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+        FROM (SELECT r, source, text, unnest(lines) AS x FROM w)),
+common AS (SELECT source, line FROM ln GROUP BY source, line HAVING count(DISTINCT text) > {line_rules.LINE_LIMIT}),
+rem AS (SELECT r, sum(len(string_split(ln.line, ' '))) AS n FROM ln JOIN common c ON ln.line = c.line AND ln.source IS NOT DISTINCT FROM c.source GROUP BY r),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(coalesce(rem.n, 0) AS BIGINT) AS n_removed_words
+    FROM w LEFT JOIN cov USING (r) LEFT JOIN rem USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {line_rules.LEFT_WORDS}
+    OR n_words - n_removed_words < {line_rules.LEFT_SHARE} * n_words)) AS kept FROM f
+"""
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    k = licenses.K
+    rows = ", ".join(
+        f"({t}, '{label}', {base}, {grams}, {pos}, '{' '.join(words)}')" for t, label, base, grams, pos, *words in licenses.template_rows(licenses.templates())
+    )
+    return rf"""
+WITH t(template, label, base, grams, tpos, gram) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+g AS (SELECT r, p - 1 AS pos, array_to_string(w[p:p + {k - 1}], ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - {k - 2})) AS p FROM d WHERE len(w) >= {k})),
+v AS (SELECT r, template, label, base, grams, pos - tpos AS diagonal, list(tpos) AS hits, min(pos) AS s, max(pos) + {k} AS e
+    FROM g JOIN t USING (gram) GROUP BY ALL),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {licenses.NEAR} THEN 1 ELSE 0 END AS fresh FROM v)),
+sp AS (SELECT r, template, label, base, grams, span, count(*) FILTER (len(hits) = grams) AS places, min(diagonal) FILTER (len(hits) = grams) AS f,
+        max(diagonal) FILTER (len(hits) = grams) AS l, len(list_distinct(flatten(list(hits)))) / max(grams) AS cover, max(e) - min(s) AS width FROM n GROUP BY ALL),
+ok AS (SELECT *, cover >= {licenses.COVER} AND (width <= {licenses.LONGEST} * (grams + {k - 1}) OR places > 0) AS good, base AND places > 0 AS b FROM sp)
+SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, CAST(coalesce(sum(places) FILTER (b), 0) AS BIGINT) AS n_base,
+    CAST(min(f) FILTER (b) AS BIGINT) AS first_word, CAST(max(l) FILTER (b) AS BIGINT) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (b), '') AS base_labels,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good), '') AS labels, coalesce(max(cover) FILTER (good), 0.0) AS score
+FROM d LEFT JOIN ok USING (r) GROUP BY r, doc_id
+"""
+
+
+QUERIES["op9_licenses"] = op9_licenses
+ORACLES["op9_licenses"] = _license_sql()
