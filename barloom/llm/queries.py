@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, licenses, line_rules, mixing, unigram_counts, warc
+from barloom.llm import bpe, licenses, line_rules, mixing, pii, unigram_counts, warc
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,14 @@ FROM d LEFT JOIN ok USING (r) GROUP BY r, doc_id
 
 QUERIES["op9_licenses"] = op9_licenses
 ORACLES["op9_licenses"] = _license_sql()
+
+
+#: Key of the registered query's surrogates; a deployment passes its own secret.
+SURROGATE_KEY = "check"
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+QUERIES["op5_surrogates"] = op5_surrogates
