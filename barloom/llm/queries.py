@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, licenses, line_rules, mixing, pii, unigram_counts, warc
+from barloom.llm import bpe, licenses, line_rules, mixing, nbsvm, pii, unigram_counts, warc
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,15 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_surrogates"] = op5_surrogates
+
+
+def op2_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
+    scored = nbsvm.score(docs, model)
+    return scored.select(
+        "doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= nbsvm.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+QUERIES["op2_nbsvm"] = op2_nbsvm
