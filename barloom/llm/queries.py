@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, licenses, line_rules, mixing, nbsvm, pii, unigram_counts, warc
+from barloom.llm import bpe, licenses, line_rules, mixing, nbsvm, pii, prob_minhash, unigram_counts, warc
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,10 @@ def op2_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_nbsvm"] = op2_nbsvm
+
+
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_prob_minhash"] = op1_prob_minhash
