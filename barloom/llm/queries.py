@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, licenses, line_rules, mixing, nbsvm, pii, prob_minhash, unigram_counts, warc
+from barloom.llm import bpe, licenses, line_rules, mixing, nbsvm, nn_descent, pii, prob_minhash, unigram_counts, warc
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,10 @@ def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_prob_minhash"] = op1_prob_minhash
+
+
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_rows(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+QUERIES["op4_nn_descent"] = op4_nn_descent
