@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a graph grown by NN-descent, searched greedily.
 
-Index.  Vectors start with neighbours found inside small blocks of vectors that
-fall on the same side of random hyperplanes.  Then neighbours of neighbours are
+Index.  Vectors start with neighbours found inside blocks of vectors that are
+nearest to the same of some random pivots, dealt anew several times.  Then neighbours of neighbours are
 compared in rounds: each vector's list (its neighbours and a sample of the
 vectors that list it) is joined with the vectors, every pair of the list that
 holds a new neighbour is measured, and pairs nearer than what either end has
@@ -26,17 +26,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.llm.common import written
 
-NEIGHBOURS, REVERSE = 16, 12
-BLOCK, STARTS = 256, 3
-ROUNDS, SETTLED = 8, 0.005
-BEAM, EXPAND, ENTRIES = 80, 12, 256
+NEIGHBOURS, REVERSE = 28, 20
+#: Starting blocks: how often all vectors are dealt into blocks, rows of a block, neighbours taken from it, pivots.
+STARTS, BLOCK, START_NEIGHBOURS, PIVOTS = 16, 1024, 12, 256
+ROUNDS, SETTLED = 4, 0.01
+BEAM, EXPAND, ENTRIES = 160, 16, 256
 
 GRAPH = "u long, v long, dist double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), flat.dtype)
+    """Rows of an array column, or of packed vectors."""
+    if not len(column):
+        return np.zeros((0, 0))
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def packed(nodes: DataFrame) -> DataFrame:
+    """(node, f): vectors as half floats in the range of the largest component, for growing the graph only."""
+    largest = nodes.select(F.max(F.array_max(F.transform("d", lambda x: F.abs(x))))).first()[0] or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = (_matrix(batch.column(1)) / largest).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "f"])
+
+    return nodes.select("node", "d").mapInArrow(run, "node long, f binary")
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
@@ -54,12 +71,12 @@ def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 
 
 def _nearest_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted; each run of ``BLOCK`` rows is a block."""
+    """Rows come sorted; each run of ``BLOCK`` rows is a block, the last of a partition up to twice as long."""
     ids, vectors = np.zeros(0, np.int64), None
 
     def solve(n: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        k = min(NEIGHBOURS, len(n) - 1)
-        far = _distances(x.astype(np.float64))
+        k = min(START_NEIGHBOURS, len(n) - 1)
+        far = _distances(x)
         np.fill_diagonal(far, np.inf)
         near = np.argpartition(far, k - 1, axis=1)[:, :k] if k else np.zeros((len(n), 0), int)
         return _edges(np.repeat(n, k), n[near.ravel()], np.take_along_axis(far, near, 1).ravel())
@@ -81,7 +98,7 @@ def _compare_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         lists = batch.column(0)
         offsets, rows = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
         m, fresh, radius = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        x = _matrix(rows.field(3)).astype(np.float64)
+        x = _matrix(rows.field(3))
         us, vs, ds = [], [], []
         for lo, hi in zip(offsets[:-1], offsets[1:]):
             if hi - lo < 2:
@@ -104,30 +121,36 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def _projected(nodes: DataFrame, seed: int, bits: int, dim: int) -> DataFrame:
-    planes = np.random.default_rng(seed).standard_normal((bits + 1, dim))
+def _placed(nodes: DataFrame, pivots: np.ndarray, line: np.ndarray) -> DataFrame:
+    """Nearest pivot of each half of ``pivots``, and the place along ``line``."""
+    half = len(pivots) // 2
+    first, second = pivots[: max(half, 1)], pivots[half:]
+    nearest = lambda x, c: ((c * c).sum(axis=1)[None] - 2 * (x @ c.T)).argmin(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            side = _matrix(batch.column(1)).astype(np.float64) @ planes.T
-            code = ((side[:, :bits] > 0) << np.arange(bits)).sum(axis=1) if bits else np.zeros(len(side), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64)), pa.array(side[:, bits])], names=["node", "f", "code", "place"])
+            x = _matrix(batch.column(1))
+            code = nearest(x, first) * len(second) + nearest(x, second)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64)), pa.array((x @ line).astype(np.float64))], names=["node", "f", "code", "place"])
 
-    return nodes.select("node", "f").mapInArrow(run, "node long, f array<float>, code long, place double")
+    return nodes.select("node", "f").mapInArrow(run, "node long, f binary, code long, place double")
 
 
 def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
-    """Neighbour graph (u, v, dist) of ``nodes`` (node, f array<float>), ``NEIGHBOURS`` a node."""
+    """Neighbour graph (u, v, dist) of ``nodes`` (node, f), ``NEIGHBOURS`` a node."""
     n = nodes.count()
     if n == 0:
         return nodes.sparkSession.createDataFrame([], GRAPH)
-    dim = nodes.select(F.size("f")).first()[0]
-    bits = max(0, round(math.log2(max(n / BLOCK, 1))))
-    starts = None
-    for i in range(STARTS):
-        placed = _projected(nodes, seed + i, bits, dim).orderBy("code", "place", F.xxhash64("node"))
+    # A fixed number of vectors serves as pivots; pivots go to all tasks.
+    count = max(2, min(2 * PIVOTS, n // 32))
+    drawn = _matrix(nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(count * STARTS).select("f").toArrow()["f"].combine_chunks())
+    random, starts = np.random.default_rng(seed), None
+    for _ in range(STARTS):
+        pivots = drawn[random.choice(len(drawn), min(count, len(drawn)), replace=False)]
+        line = random.standard_normal(drawn.shape[1]).astype(np.float32)
+        placed = _placed(nodes, pivots, line).orderBy("code", "place", F.xxhash64("node"))
         found = placed.select("node", "f").mapInArrow(_nearest_in_blocks, GRAPH)
         starts = found if starts is None else starts.union(found)
     graph = _nearest(starts.groupBy("u", "v").agg(F.min("dist").alias("dist")), NEIGHBOURS).withColumn("fresh", F.lit(True))
@@ -157,7 +180,7 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam:
     (a fixed number), and those that are nodes themselves also at their own.
     """
     listed = graph.groupBy("v").agg(F.count(F.lit(1)).alias("times"))
-    back = graph.join(listed, "v").where(F.pmod(F.xxhash64("u", "v"), F.col("times")) < NEIGHBOURS)
+    back = graph.join(listed, "v").where(F.pmod(F.xxhash64("u", "v"), F.col("times")) < 2 * NEIGHBOURS)
     links = written(graph.select("u", "v").union(back.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     chosen = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(ENTRIES).toArrow()
     entry_ids, entries = chosen["node"].to_numpy(), _matrix(chosen["d"].combine_chunks()) if len(chosen) else np.zeros((0, 0))
@@ -209,9 +232,9 @@ def nearest_rows(vectors: DataFrame, is_query: Callable[[Column], Column], k: in
     own = written(own.withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.transform("d", lambda x: x + 0.0)), "rows")
     common = own.groupBy(F.size("d").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     own = own.where(F.size("d") == (common["size"] if common else 0))
-    nodes = written(own.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("node"), "d", F.col("d").cast("array<float>").alias("f")), "nodes")
+    nodes = written(own.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("node"), "d"), "nodes")
     rows = written(own.join(nodes.select("node", "d"), "d").select("row", "id", "node", F.coalesce(is_query(F.col("id")), F.lit(False)).alias("asks")), "members")
-    graph = build(nodes.select("node", "f"))
+    graph = build(written(packed(nodes), "packed"))
     asked = rows.where("asks").select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), F.col("d").alias("x"))
     found = greedy_search(nodes.select("node", "d"), graph, asked)
     # Rows behind the nodes found: the first k + 1 of each node, then of each query's node.
