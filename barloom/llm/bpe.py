@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -200,12 +201,12 @@ def encoder(spec: bytes) -> PrefixEncoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns ``id_col`` (long), ``n_tokens`` (long), ``ids_sha256`` and
-    ``decoded_sha256``; with ``whole`` also ``ids`` (array of int) and
-    ``decoded``.  ``tokenizer`` is the path of the vocabulary file; its bytes
+    ``decoded_sha256``; ``with_ids`` adds ``ids`` (array of int), ``with_text``
+    adds ``decoded``.  ``tokenizer`` is the path of the vocabulary file; its bytes
     (a few MB whatever the input) are broadcast.
 
     Null texts count as empty: no ids, digests of the empty string.  Null or
@@ -214,7 +215,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
     with open(tokenizer, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
+    schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
@@ -226,14 +227,18 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 count.append(n)
                 digest.append(sha(joined))
                 back.append(sha(decoded))
-                if whole:
-                    ids.append([int(i) for i in joined.split()])
+                if with_ids:
+                    ids.append(np.fromstring(joined, np.int32, sep=" "))
+                if with_text:
                     texts.append(decoded)
             cols = [batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if whole:
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
+            if with_ids:
+                cols.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_text:
+                cols.append(pa.array(texts, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return narrow(docs, **{id_col: "long", text_col: "string"}).mapInArrow(run, schema)

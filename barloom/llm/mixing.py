@@ -108,7 +108,7 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
 
     Returns ``id_col``, ``source_col``, ``size`` (words of the text),
     ``source_size``, ``target`` (of its source), ``copies`` and ``taken``
-    (``size * copies``), one row per input row.
+    (``size * copies``), one row per input row, and ``row_hash``.
 
     A null text has size 0 and takes nothing; a null source is a source of its
     own, last in order; null ids are allowed.  Repeated rows are separate
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
     own = own.select(
         "id", "source", F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long").alias("size"),
         F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("skey"),
-        F.xxhash64(F.lit(seed), "id", F.xxhash64("text")).alias("h"),
+        row_hash(seed, F.col("id"), F.coalesce("text", F.lit(""))).alias("h"),
     )
     own = written(own, "sizes")
     cells = written(own.groupBy("skey", "size").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n")), "cells")
@@ -137,5 +137,25 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
     chosen = dealt.join(filled, ["skey", "size", "cell"]).withColumn("copies", F.col("passes") + (F.col("before") + place <= F.col("extra")).cast("long"))
     out = chosen.join(sources, "skey")
     return out.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
+        F.col("h").alias("row_hash"),
     )
+
+
+def row_hash(seed: int, doc_id: Column, text: Column) -> Column:
+    """Seeded hash of a row, by which rows of one length are chosen."""
+    return F.xxhash64(F.lit(seed), doc_id, F.xxhash64(text))
+
+
+def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs``, all its columns, as often as ``mix`` takes it.  Columns beginning with ``_mix_`` are dropped."""
+    keep = [c for c in docs.columns if not c.startswith("_mix_")]
+    shares = mix(docs, seed, id_col, text_col, source_col).select(F.coalesce(id_col, F.lit(-1)).alias("_mix_id"), F.col("row_hash").alias("_mix_hash"), "copies")
+    # Rows that are repeated share a hash; each takes one of their shares.
+    shares = shares.groupBy("_mix_id", "_mix_hash").agg(F.sort_array(F.collect_list("copies")).alias("_mix_copies"))
+    own = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_mix_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1)))
+    own = own.withColumn("_mix_hash", row_hash(seed, F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    own = own.join(shares, ["_mix_id", "_mix_hash"])
+    place = F.row_number().over(Window.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_hash"))
+    own = own.withColumn("_mix_times", F.get("_mix_copies", F.when(F.size("_mix_copies") > 1, place).otherwise(1) - 1).cast("int")).where("_mix_times > 0")
+    return own.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[F.col(f"`{c}`") for c in keep])

@@ -156,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``class_id`` (the smallest id of its class) of every row.
+    """``id_col``, ``class_id`` (the smallest id of its class), and digests of its text and of the class's (``of``, ``class_of``), of every row.
 
     Equal texts are of one class; further classes join over links of at least
     ``threshold``.  Null texts count as empty; texts without a word are near
@@ -223,7 +223,24 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
         number += 1
 
     found = nodes.join(classes.select(F.col("id").alias("node"), "class"), "node", "left").select("of", "rep", F.coalesce("class", "node").alias("class"))
-    smallest = found.groupBy("class").agg(F.min("rep").alias("class_id"))
-    found = written(found.join(smallest, "class").select("of", "class_id"), "found")
-    known = named.select("id", "of").join(found, "of").select(F.col("id").alias(id_col), "class_id")
-    return known.unionByName(own.where("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class_id")))
+    smallest = found.groupBy("class").agg(F.min(F.struct("rep", "of")).alias("least"))
+    found = written(found.join(smallest, "class").select("of", F.col("least.rep").alias("class_id"), F.col("least.of").alias("class_of")), "found")
+    known = named.select("id", "of").join(found, "of").select(F.col("id").alias(id_col), "class_id", "of", "class_of")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("class_id", "long"), ("of", "string"), ("class_of", "string"))]
+    return known.unionByName(own.where("id is null").select(F.col("id").alias(id_col), *nothing))
+
+
+def deduplicated(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, of every class: that of the smallest id.
+
+    Of repeated rows one stays.  Rows without an id all stay.  Columns
+    beginning with ``_dup_`` are dropped.
+    """
+    keep = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("_dup_")]
+    found = near_duplicates(docs, threshold, id_col, text_col).where("of = class_of")
+    stays = written(found.where(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("_dup_id"), F.col("of").alias("_dup_of")).agg(F.count(F.lit(1)).alias("_dup_n")), "stays")
+    own = docs.select(*keep).withColumn("_dup_id", F.col(f"`{id_col}`").cast("long"))
+    named = own.where("_dup_id is not null").withColumn("_dup_of", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)).join(stays, ["_dup_id", "_dup_of"])
+    first = F.row_number().over(Window.partitionBy("_dup_id", "_dup_of").orderBy("_dup_of"))
+    named = named.where("_dup_n = 1").select(*keep).union(named.where("_dup_n > 1").withColumn("_dup_n", first).where("_dup_n = 1").select(*keep))
+    return named.union(own.where("_dup_id is null").select(*keep))

@@ -143,7 +143,7 @@ QUERIES["op2_nbsvm"] = op2_nbsvm
 
 
 def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 QUERIES["op1_prob_minhash"] = op1_prob_minhash
