@@ -1,10 +1,10 @@
 """Per-symbol window building blocks.
 
 Every per-symbol operator uses one physical layout: hash-partitioned by
-``symbol`` and sorted by ``(_b8, _b1, rn)``.  ``_b1``/``_b8`` are coarse row
-blocks that grow with ``rn``, so the sort equals date order, and one exchange
-plus one sort serves the plain windows and the blocked windows of
-:func:`with_ema` alike.
+``symbol`` and sorted by ``(_b19, _b16, _b8, _b1, _b0, rn)``.  The ``_b``
+columns are coarse row blocks that grow with ``rn``, each level inside the one
+before, so the sort equals date order, and one exchange plus one sort serves
+the plain windows and the blocked windows of :func:`with_ema` alike.
 
 Size of a window group: bars are unique per (symbol, date) -- enforced by the
 aggregation that builds them -- so a daily group holds at most ~366 rows a
@@ -13,6 +13,7 @@ year however many trades the symbol has.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,15 +21,17 @@ from functools import lru_cache
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-FAST_BLOCK = 1024  # smoothing factors >= 0.0383: one block back is < 1e-17
-SLOW_BLOCK = 8192  # smoothing factors >= 0.0048
-FAST_ALPHA = 0.0383
+#: Block levels, coarsest first; each size is a multiple of the next.
+LEVELS = {"_b19": 1 << 19, "_b16": 1 << 16, "_b8": 1 << 13, "_b1": 1 << 10, "_b0": 1 << 8}
+#: Largest power of e that weights inside a block may reach (a double ends near 709), and
+#: the least that rows two blocks back must have decayed by (1e-17).
+MOST_GROWTH, LEAST_DECAY = 575.0, 39.0
 
-ORDER = ("_b8", "_b1", "rn")
+ORDER = (*LEVELS, "rn")
 
 # The same window as SQL text: one parsed expression is much cheaper to build
 # than a chain of Column calls, and wide plans hold hundreds of them.
-OVER = "PARTITION BY symbol ORDER BY _b8, _b1, rn"
+OVER = f"PARTITION BY symbol ORDER BY {', '.join(ORDER)}"
 
 
 @lru_cache(maxsize=None)
@@ -45,17 +48,14 @@ def _frame(n: int) -> str:
 
 
 def with_row_number(bars: DataFrame, order: str = "date") -> DataFrame:
-    """Add ``rn`` (0-based row number per symbol) and the two block numbers."""
+    """Add ``rn`` (0-based row number per symbol) and the block numbers."""
     w = Window.partitionBy("symbol").orderBy(order)
-    return (
-        bars.withColumn("rn", F.row_number().over(w) - 1)
-        .withColumn("_b8", F.floor(F.col("rn") / SLOW_BLOCK))
-        .withColumn("_b1", F.floor(F.col("rn") / FAST_BLOCK))
-    )
+    numbered = bars.withColumn("rn", F.row_number().over(w) - 1)
+    return numbered.withColumns({level: F.floor(F.col("rn") / size) for level, size in LEVELS.items()})
 
 
 def drop_layout(df: DataFrame) -> DataFrame:
-    return df.drop("_b8", "_b1")
+    return df.drop(*LEVELS)
 
 
 def lag(x: Column | str, k: int = 1) -> Column:
@@ -124,7 +124,8 @@ def with_long(df: DataFrame, specs: Sequence[Long]) -> DataFrame:
 
     Extremes of a long frame are the extremes of 16-row frames taken 16 rows
     apart; means and deviations are differences of running sums.  Short
-    frames use a plain sliding window.
+    frames use a plain sliding window.  Infinite values and NaN count as
+    missing, so one bad reading spoils only the frames that hold it.
     """
     first, outs = {}, []
     upto = f"({OVER} ROWS UNBOUNDED PRECEDING)"
@@ -139,20 +140,22 @@ def with_long(df: DataFrame, specs: Sequence[Long]) -> DataFrame:
         def trailing(total: str) -> str:
             return f"(`{total}` - coalesce(lag(`{total}`, {s.n}) OVER ({OVER}), 0))"
 
-        first[f"_n_{x}"] = f"count(`{x}`) OVER {upto}"
+        # Not finite: the difference with itself is not 0.
+        finite = f"CASE WHEN `{x}` - `{x}` = 0 THEN `{x}` END"
+        first[f"_n_{x}"] = f"count({finite}) OVER {upto}"
         seen = trailing(f"_n_{x}")
         if s.kind in ("max", "min"):
             short = f"_{s.kind}_{x}"
-            first[short] = f"{s.kind}(`{x}`) OVER {short_frame}"
+            first[short] = f"{s.kind}({finite}) OVER {short_frame}"
             steps = [*range(0, s.n - STRIDE, STRIDE), s.n - STRIDE]
             both = "greatest" if s.kind == "max" else "least"
             value = f"{both}({', '.join(f'lag(`{short}`, {k}) OVER ({OVER})' for k in steps)})"
         else:
-            first[f"_s_{x}"] = f"sum(CAST(`{x}` AS DOUBLE)) OVER {upto}"
+            first[f"_s_{x}"] = f"sum(CAST({finite} AS DOUBLE)) OVER {upto}"
             part = trailing(f"_s_{x}")
             value = f"{part} / {seen}"
             if s.kind == "sd":
-                first[f"_q_{x}"] = f"sum(`{x}` * `{x}`) OVER {upto}"
+                first[f"_q_{x}"] = f"sum({finite} * {finite}) OVER {upto}"
                 spread = f"{trailing(f'_q_{x}')} - {part} * {part} / {seen}"
                 value = f"sqrt(greatest(0.0D, {spread}) / ({seen} - 1))"
         outs.append(F.expr(f"CASE WHEN {seen} = {s.n} THEN {value} END AS `{s.out}`" if s.full else f"{value} AS `{s.out}`"))
@@ -184,16 +187,32 @@ def wilder(out: str, source: str, n: int, seed: int | str = 0) -> Ema:
     return Ema(out, source, 1.0 / n, seed)
 
 
+def _blocks(alpha: float) -> tuple[int, list[str]]:
+    """Size and levels of the blocks of a recursion: the coarsest whose weights fit a double."""
+    decay = -math.log(1.0 - alpha)
+    for i, (level, size) in enumerate(LEVELS.items()):
+        if decay * size <= MOST_GROWTH:
+            if decay * size < LEAST_DECAY:
+                raise ValueError(f"smoothing {alpha} reaches back further than the largest block")
+            return size, list(LEVELS)[: i + 1]
+    raise ValueError(f"smoothing {alpha} is too close to 1")
+
+
 def with_ema(df: DataFrame, specs: Sequence[Ema]) -> DataFrame:
     """Add recursive means as window sums.
 
     Unrolled, ``E_t = keep^j * sum(w_s x_s keep^-s)``.  The exponent restarts
     in every block so it never overflows; the value at the end of the block
-    before is carried in, and anything older weighs less than 1e-17.
+    before is carried in.  Blocks are as long as the smoothing allows, so
+    that anything older weighs less than 1e-17.  A smoothing of 1 is the
+    series itself.
     """
     parts, carries, outs = [], [], []
     for s in specs:
-        size, block = (FAST_BLOCK, ["_b8", "_b1"]) if s.alpha >= FAST_ALPHA else (SLOW_BLOCK, ["_b8"])
+        if s.alpha == 1.0:
+            outs.append(F.expr(f"CASE WHEN rn >= {s.seed} THEN CAST(`{s.source}` AS DOUBLE) END AS `{s.out}`"))
+            continue
+        size, block = _blocks(s.alpha)
         order = ", ".join(c for c in ORDER if c not in block)
         inner = f"PARTITION BY symbol, {', '.join(block)} ORDER BY {order} ROWS UNBOUNDED PRECEDING"
         before = f"{OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ARMS = ("stable_control", "momentum", "momentum_trend", "year_high")
@@ -62,14 +63,29 @@ def allocate(
     return df.withColumn("quantity", F.least("want", F.greatest(F.lit(0), left))).where(c("quantity") > 0).drop("want")
 
 
+#: Parts of a day end where the cost has shrunk by this power of e.
+PART_DECAY = 300.0
+
+
+def _carry_costs(parts: pd.DataFrame) -> pd.DataFrame:
+    """Cost carried into each part of one symbol, in order; one row per day or e^300 of shrinking."""
+    parts = parts.sort_values(["day", "_part"])
+    carry, carries = 0.0, []
+    for keep, add in zip(parts["_k"], parts["_a"]):
+        carries.append(carry)
+        carry = keep * carry + add
+    return parts.assign(_carry=carries)[["symbol", "day", "_part", "_first", "_opens", "_carry"]]
+
+
 def positions(fills: DataFrame) -> DataFrame:
     """Quantity, average cost and realised result after each fill of a symbol.
 
     ``fills(symbol, day, seq, side, qty, price)``.  Sells beyond the held
     quantity fill only what is held.  Quantity is a reflected running sum and
-    cost a linear recursion, so both combine over days: windows run inside
-    (symbol, day) and over one summary row per day, never over all fills of a
-    symbol at once.
+    cost a linear recursion, so both combine over parts: windows run inside
+    (symbol, day) and over one summary row per part, never over all fills of a
+    symbol at once.  A day is cut into parts wherever its sells have shrunk
+    the cost by another e^300, so the weights of the recursion stay finite.
     """
     c = F.col
     signed = F.when(c("side") == "BUY", c("qty")).otherwise(-c("qty"))
@@ -96,25 +112,19 @@ def positions(fills: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("_run", F.sum("_reset").over(upto))
-    run = Window.partitionBy("symbol", "day", "_run").orderBy("seq")
-    run_upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    log_keep = F.when(c("_reset") == 1, 0.0).otherwise(F.ln("_keep"))
-    df = df.withColumn("_ln", F.sum(log_keep).over(run_upto))
+    df = df.withColumn("_shrink", F.when(c("_reset") == 1, 0.0).otherwise(F.ln("_keep")))
+    df = df.withColumn("_part", F.floor(-F.sum("_shrink").over(upto) / PART_DECAY))
+    run_upto = Window.partitionBy("symbol", "day", "_part", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_ln", F.sum("_shrink").over(run_upto))
     df = df.withColumn("_local", F.exp("_ln") * F.sum(c("_add") * F.exp(-c("_ln"))).over(run_upto))
-    # Within the first run of a day the cost carried into the day still counts.
-    last = df.groupBy("symbol", "day").agg(
-        F.max_by(F.struct("_run", "_ln", "_local"), "seq").alias("e")
-    ).select("symbol", "day", F.when(c("e._run") == 0, F.exp("e._ln")).otherwise(0.0).alias("_k"), c("e._local").alias("_a"))
-    packed = last.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day", "_k", "_a"))).alias("_days"))
-    carried = F.aggregate(
-        "_days",
-        F.array(F.lit(0.0)),
-        lambda acc, d: F.concat(acc, F.array(d["_k"] * F.element_at(acc, -1) + d["_a"])),
-    )
-    opening = packed.select("symbol", F.inline(F.arrays_zip(F.transform("_days", lambda d: d["day"]).alias("day"), F.slice(carried, 1, F.size("_days")).alias("_carry"))))
-    df = df.join(opening, ["symbol", "day"])
-    cost = c("_local") + F.when(c("_run") == 0, F.exp("_ln") * c("_carry")).otherwise(0.0)
-    df = df.withColumn("cost", F.when(c("held") == 0, 0.0).otherwise(cost))
+    # Within the first run of a part the cost carried into it still counts.
+    last = df.groupBy("symbol", "day", "_part").agg(F.min("_run").alias("_first"), F.max_by(F.struct("_run", "_ln", "_local"), "seq").alias("e"), F.min_by("_reset", "seq").alias("_opens"))
+    carries_on = (c("e._run") == c("_first")) & (c("_opens") == 0)
+    last = last.select("symbol", "day", "_part", "_first", "_opens", F.when(carries_on, F.exp("e._ln")).otherwise(0.0).alias("_k"), c("e._local").alias("_a"))
+    opening = last.groupBy("symbol").applyInPandas(_carry_costs, "symbol string, day " + dict(df.dtypes)["day"] + ", _part long, _first long, _opens int, _carry double")
+    df = df.join(opening, ["symbol", "day", "_part"])
+    df = df.withColumn("_live", F.when((c("_run") == c("_first")) & (c("_opens") == 0), F.exp("_ln") * c("_carry")).otherwise(0.0))
+    df = df.withColumn("cost", F.when(c("held") == 0, 0.0).otherwise(c("_local") + c("_live")))
     df = df.withColumn("_pc", F.coalesce(F.lag("cost").over(inside), c("_carry")))
     realised = F.when((c("side") != "BUY") & (c("_prev") > 0), c("filled") * (c("price") - c("_pc") / c("_prev"))).otherwise(0.0)
     return df.select(
@@ -131,8 +141,16 @@ def valuation(holdings: DataFrame, marks: DataFrame, cash: Column) -> DataFrame:
 
 
 def apply_splits(holdings: DataFrame, actions: DataFrame) -> DataFrame:
-    """Quantity times, and mark divided by, all later split ratios of a symbol; each action once."""
-    once = actions.where("type = 'split'").groupBy("id").agg(F.any_value("symbol").alias("symbol"), F.any_value("ratio").alias("ratio"), F.any_value("day").alias("day"))
+    """Quantity times, and mark divided by, all later split ratios of a symbol; each action once.
+
+    An action that is repeated with other values, or a ratio that is not
+    finite and positive, is an error.
+    """
+    said = F.struct("symbol", "ratio", "day")
+    once = actions.where("type = 'split'").groupBy("id").agg(F.min(said).alias("a"), F.max(said).alias("b"))
+    sound = F.col("a").eqNullSafe(F.col("b")) & (F.col("a.ratio") > 0) & (F.col("a.ratio") < float("inf"))
+    ratio = F.when(sound, F.col("a.ratio")).otherwise(F.raise_error(F.concat(F.lit("conflicting or unsound action "), F.col("id").cast("string"))).cast("double"))
+    once = once.select("id", "a.symbol", ratio.alias("ratio"), "a.day")
     later = holdings.join(once, "symbol", "left").where(F.col("day").isNull() | (F.col("day") > F.col("held_since")))
     factor = later.groupBy("symbol", "held_since").agg(F.exp(F.sum(F.ln("ratio"))).alias("factor"))
     df = holdings.join(factor, ["symbol", "held_since"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))

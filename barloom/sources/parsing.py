@@ -92,11 +92,26 @@ def page_metrics(pages: DataFrame) -> DataFrame:
     )
 
 
+def _object_pattern(depth: int) -> str:
+    """A brace-balanced object nested up to ``depth`` levels; braces inside strings don't count."""
+    string, inner = r'"(?:[^"\\]|\\.)*+"', ""
+    for _ in range(depth):
+        inner = r"\{(?:" + string + r'|[^{}"]' + (f"|{inner}" if inner else "") + r")*+\}"
+    return inner
+
+
+JSON_DEPTH = 8
+
+
 def first_json(text: Column) -> Column:
-    """First flat JSON object in free text, fenced or embedded; null when none parses."""
-    candidates = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), 0)
-    good = F.filter(candidates, lambda x: F.get_json_object(x, "$").isNotNull())
-    return F.try_element_at(good, F.lit(1))
+    """First JSON object in free text, fenced or embedded, nested up to ``JSON_DEPTH`` levels; null when none parses.
+
+    Fenced blocks come first, then balanced objects from the left.
+    """
+    parses = lambda x: F.get_json_object(x, "$").isNotNull() & x.startswith("{")
+    fenced = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), 1), F.trim)
+    embedded = F.regexp_extract_all(text, F.lit(_object_pattern(JSON_DEPTH)), 0)
+    return F.try_element_at(F.filter(F.concat(fenced, embedded), parses), F.lit(1))
 
 
 def instrument_master(rows: DataFrame) -> DataFrame:

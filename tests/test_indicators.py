@@ -41,6 +41,29 @@ def test_means_survive_long_series(spark):
         assert np.allclose(out[name].to_numpy(), want.to_numpy(), rtol=1e-10)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 400, 2000, 5000])
+def test_means_of_any_span(spark, n):
+    import numpy as np
+
+    x = 100 + np.cumsum(np.random.default_rng(n).standard_normal(50_000)) / 10
+    df = with_row_number(spark.createDataFrame([("A", i, float(v)) for i, v in enumerate(x)], "symbol string, date int, x double"))
+    got = with_ema(df, [span("e", "x", n)]).select("rn", "e").toPandas().sort_values("rn")["e"].to_numpy()
+    alpha, want, level = 2 / (n + 1), [], x[0]
+    for v in x:
+        level += alpha * (v - level)
+        want.append(level)
+    assert np.allclose(got, want, rtol=1e-9, atol=0)
+
+
+def test_one_bad_reading_spoils_only_its_frames(spark):
+    rows = [("A", i, float("inf") if i == 50 else float("nan") if i == 60 else float(i % 7)) for i in range(2000)]
+    df = with_row_number(spark.createDataFrame(rows, "symbol string, date int, x double"))
+    got = with_long(df, [Long("m", "x", 100, "avg"), Long("s", "x", 100, "sd"), Long("h", "x", 100, "max")]).toPandas().sort_values("rn")
+    late = got[got.rn >= 160]
+    assert late[["m", "s", "h"]].notna().all().all() and late.m.iloc[0] == pytest.approx(sum(i % 7 for i in range(61, 161)) / 100)
+    assert got[(got.rn >= 99) & (got.rn < 150)].m.isna().all()
+
+
 def test_long_frames_equal_sliding_windows(spark):
     df = frame(spark, wave(600))
     out = with_long(df, [Long("hi", "high", 252, "max"), Long("lo", "low", 100, "min", False), Long("m", "close", 200, "avg"), Long("sd", "close", 120, "sd")])

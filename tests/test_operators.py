@@ -106,6 +106,33 @@ def test_positions_match_a_plain_loop(spark):
         assert (r.avg_price or 0.0) == pytest.approx(cost / held if held else 0.0)
 
 
+def test_positions_of_one_long_day(spark):
+    """Thousands of sells that each halve the holding, and near-total sells, keep every figure finite and right."""
+    rows, held, cost, want = [], 0, 0.0, []
+    for i in range(5000):
+        big = i % 1000 == 999
+        side, q = ("BUY", 1 << 20) if i % 2 == 0 else ("SELL", held - 1 if big else held // 2)
+        px = 100.0 + i % 7
+        rows.append(("A", D(2020, 1, 1), i, side, q, px))
+        if side == "BUY":
+            held, cost = held + q, cost + q * px
+        else:
+            cost *= 1 - q / held
+            held -= q
+        want.append(cost / held)
+    df = spark.createDataFrame(rows, "symbol string, day date, seq int, side string, qty long, price double")
+    got = [r.avg_price for r in portfolio.positions(df).orderBy("seq").collect()]
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_conflicting_actions_are_refused(spark):
+    hold = spark.createDataFrame([("A", 10.0, 100.0, D(2020, 1, 1))], "symbol string, qty double, mark double, held_since date")
+    for other in (2.0, 0.0, float("inf")):
+        act = spark.createDataFrame([("x", "A", "split", 5.0, D(2020, 2, 1)), ("x" if other == 2.0 else "y", "A", "split", other, D(2020, 2, 1))], "id string, symbol string, type string, ratio double, day date")
+        with pytest.raises(Exception, match="unsound action"):
+            portfolio.apply_splits(hold, act).collect()
+
+
 def test_split_keeps_value_and_counts_once(spark):
     hold = spark.createDataFrame([("A", 10.0, 100.0, D(2020, 1, 1)), ("B", 5.0, 10.0, D(2020, 1, 1))], "symbol string, qty double, mark double, held_since date")
     act = spark.createDataFrame([("x", "A", "split", 5.0, D(2020, 2, 1)), ("x", "A", "split", 5.0, D(2020, 2, 1))], "id string, symbol string, type string, ratio double, day date")
@@ -131,6 +158,16 @@ def test_json_and_numbers_in_text(spark):
     assert got[1].j is None and got[1].v is None
 
 
+def test_nested_json_in_text(spark):
+    cases = [
+        ('{"a": 1, "b": {"c": 2}}', '{"a": 1, "b": {"c": 2}}'), ('so: {"k": "a}b"} end', '{"k": "a}b"}'), ('{broken {"x": [1, {"y": {}}]} {', '{"x": [1, {"y": {}}]}'),
+        ('{"e": "quote \\" and }"}', '{"e": "quote \\" and }"}'), ('text {"first": 1} ```json\n{"second": {"z": 2}}\n```', '{"second": {"z": 2}}'), ("{}", "{}"), ("{ not json }", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = [r.j for r in df.select("i", parsing.first_json(F.col("t")).alias("j")).orderBy("i").collect()]
+    assert got == [w for _, w in cases]
+
+
 def test_model_round_trip_and_purge(spark, tmp_path):
     rng = random.Random(5)
     rows = []
