@@ -492,16 +492,40 @@ def journal(spark, sf):
 
 
 def _chain(spark, sf):
-    """Two-record chains; the second record of every tenth journal was changed after hashing."""
-    j = journal(spark, sf).where("seq <= 2").withColumn("recorded_at", F.date_format("recorded_at", "yyyy-MM-dd"))
-    first = j.where("seq = 1").select("journal", quality.chain_hash(F.lit(""), c("recorded_at"), c("identity"), c("payload")).alias("_h1"))
-    j = j.join(first, "journal").withColumn("previous_hash", F.when(c("seq") == 1, "").otherwise(c("_h1"))).drop("_h1")
-    j = j.withColumn("hash", quality.chain_hash(c("previous_hash"), c("recorded_at"), c("identity"), c("payload")))
-    j = j.withColumn("payload", F.when((c("journal") % 10 == 0) & (c("seq") == 2), "0").otherwise(c("payload")))
-    return tidy(quality.verify_chain(j))
+    """Whole chains; record ``journal % 8 + 1`` of every tenth journal was changed after hashing."""
+    j = journal(spark, sf).withColumn("recorded_at", F.date_format("recorded_at", "yyyy-MM-dd"))
+    # A journal holds eight records at most, so its chain is built in one row.
+    whole = j.groupBy("journal").agg(F.array_sort(F.collect_list(F.struct("seq", "recorded_at", "identity", "payload"))).alias("records"))
+    start = F.array().cast("array<struct<seq:bigint,recorded_at:string,identity:string,payload:string,previous_hash:string,hash:string>>")
 
+    def link(done, r):
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["hash"], F.lit(""))
+        own = quality.chain_hash(before, r["recorded_at"], r["identity"], r["payload"])
+        return F.concat(done, F.array(F.struct(r["seq"].alias("seq"), r["recorded_at"].alias("recorded_at"), r["identity"].alias("identity"), r["payload"].alias("payload"), before.alias("previous_hash"), own.alias("hash"))))
 
-register("a41_hash_chain", _chain, "SELECT o_orderkey//8 AS journal, cast(NOT ((o_orderkey//8)%10=0 AND count(*)>=2) AS bigint) AS sound, count(*) AS records FROM orders WHERE o_orderkey%8<2 GROUP BY 1")
+    j = whole.select("journal", F.inline(F.aggregate("records", start, link)))
+    changed = (c("journal") % 10 == 0) & (c("seq") == c("journal") % 8 + 1)
+    return tidy(quality.verify_chain(j.withColumn("payload", F.when(changed, "0").otherwise(c("payload")))))
+
+
+# The SQL hashes every record of every chain again: the stored hash from the original payload, the check from what is there now.
+register(
+    "a41_hash_chain",
+    _chain,
+    """
+WITH RECURSIVE j AS (
+    SELECT o_orderkey//8 AS journal, o_orderkey%8+1 AS seq, o_orderkey::varchar AS identity, strftime(o_orderdate, '%Y-%m-%d') AS day,
+        (round(o_totalprice*100))::bigint::varchar AS payload FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY journal ORDER BY seq) AS k FROM j),
+ch AS (
+    SELECT journal, seq, k, day, identity, payload, '' AS prev, sha256(concat_ws('|', '', day, identity, payload)) AS hash FROM r WHERE k = 1
+    UNION ALL
+    SELECT r.journal, r.seq, r.k, r.day, r.identity, r.payload, ch.hash, sha256(concat_ws('|', ch.hash, r.day, r.identity, r.payload)) FROM ch JOIN r ON r.journal = ch.journal AND r.k = ch.k + 1),
+now AS (SELECT *, CASE WHEN journal%10=0 AND seq = journal%8+1 THEN '0' ELSE payload END AS found, lag(hash) OVER (PARTITION BY journal ORDER BY seq) AS before, lag(seq) OVER (PARTITION BY journal ORDER BY seq) AS prior FROM ch)
+SELECT journal, cast(bool_and(hash = sha256(concat_ws('|', prev, day, identity, found)) AND prev = coalesce(CASE WHEN prior = seq - 1 THEN before END, '')) AS bigint) AS sound, count(*) AS records
+FROM now GROUP BY 1
+""",
+)
 register(
     "a42_journal_admission",
     lambda spark, sf: tidy(quality.admission(journal(spark, sf)).select("journal", "seq", "kind", "rejected")),

@@ -29,7 +29,7 @@ TK = "tk AS (SELECT event_type AS symbol, ts, value AS price, (user_id%7)::doubl
 register(
     "u01_tick_bars",
     lambda spark, sf: tidy(ticks.newest(ticks.run_available(ticks.tick_bars(tick_stream(spark, sf)), "update"), ["symbol", "start"]).withColumn("start", when(c("start")))),
-    query(TK, f"SELECT symbol, {stamp('time_bucket(INTERVAL 15 MINUTE, ts)')} AS start, round(arg_min(price, ts),4)+0.0::double AS open, round(max(price),4)+0.0::double AS high, round(min(price),4)+0.0::double AS low, round(arg_max(price, ts),4)+0.0::double AS close, count(*) AS trades FROM tk GROUP BY symbol, time_bucket(INTERVAL 15 MINUTE, ts)"),
+    query(TK, f"SELECT symbol, {stamp('time_bucket(INTERVAL 15 MINUTE, ts)')} AS start, round(arg_min(price, (ts, event_id)),4)+0.0::double AS open, round(max(price),4)+0.0::double AS high, round(min(price),4)+0.0::double AS low, round(arg_max(price, (ts, event_id)),4)+0.0::double AS close, count(*) AS trades FROM tk GROUP BY symbol, time_bucket(INTERVAL 15 MINUTE, ts)"),
 )
 register(
     "u02_sliding_activity",
@@ -39,7 +39,7 @@ register(
 register(
     "u03_last_prices",
     lambda spark, sf: tidy(ticks.newest(ticks.run_available(ticks.last_prices(tick_stream(spark, sf)), "update"), ["symbol"]).withColumn("ltp_at", when(c("ltp_at")))),
-    query(TK, f"SELECT symbol, round(arg_max(price, ts),4)+0.0::double AS ltp, {stamp('max(ts)')} AS ltp_at FROM tk WHERE price>0 GROUP BY 1"),
+    query(TK, f"SELECT symbol, round(arg_max(price, (ts, event_id)),4)+0.0::double AS ltp, {stamp('max(ts)')} AS ltp_at FROM tk WHERE price>0 GROUP BY 1"),
 )
 
 

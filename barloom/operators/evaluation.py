@@ -66,7 +66,8 @@ def block_bootstrap(obs: DataFrame, chosen: Column, draws: int = 1000, width: in
 
     Returns are first summed per date; block sums come from running sums over
     the dates (bounded by the calendar), so a draw only adds up a few
-    precomputed blocks.
+    precomputed blocks.  The last block of a draw is cut so that a draw holds
+    as many dates as the sample.
     """
     daily = obs.groupBy("date").agg(
         F.sum("fwd").alias("t"), F.count("fwd").alias("n"), F.sum(F.when(chosen, c("fwd"))).alias("s"), F.count(F.when(chosen, c("fwd"))).alias("k")
@@ -76,6 +77,7 @@ def block_bootstrap(obs: DataFrame, chosen: Column, draws: int = 1000, width: in
     blocks = daily.select(
         (F.row_number().over(w) - 1).alias("start"), F.count("*").over(ahead).alias("len"),
         *[F.sum(F.coalesce(x, F.lit(0))).over(ahead).alias(f"b{x}") for x in ("t", "n", "s", "k")],
+        *[F.collect_list(F.coalesce(x, F.lit(0)).cast("double")).over(ahead).alias(f"l{x}") for x in ("t", "n", "s", "k")],
     )
     size = daily.agg(F.count("*").alias("d"), F.sum("k").alias("picks"))
     days = size.select("d").scalar()
@@ -84,7 +86,10 @@ def block_bootstrap(obs: DataFrame, chosen: Column, draws: int = 1000, width: in
     picks = spark.range(draws).select(c("id").alias("draw"), F.explode(F.sequence(F.lit(1), per_draw)).alias("i"))
     span = days - width + 1
     picks = picks.withColumn("start", F.pmod(F.xxhash64("draw", "i", F.lit(seed)), span.cast("long")).cast("int"))
-    sums = picks.join(blocks, "start").groupBy("draw").agg(*[F.sum(f"b{x}").alias(x) for x in ("t", "n", "s", "k")])
+    rest = days - (per_draw - 1) * width  # dates of the last block
+    picks = picks.withColumns({"rest": rest.cast("int"), "final": c("i") == per_draw})
+    cut = lambda x: F.aggregate(F.slice(f"l{x}", F.lit(1), c("rest")), F.lit(0.0), lambda a, v: a + v)
+    sums = picks.join(blocks, "start").groupBy("draw").agg(*[F.sum(F.when(c("final"), cut(x)).otherwise(c(f"b{x}"))).alias(x) for x in ("t", "n", "s", "k")])
     edges = sums.where("k > 0 AND n > 0").select((c("s") / c("k") - c("t") / c("n")).alias("edge"))
     # A fixed number of draws: the exact percentile holds at most that many values.
     enough = (days >= 2 * width) & (size.select("picks").scalar() >= 20)

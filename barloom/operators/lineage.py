@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Reports read their input several times (means, ranks, quantiles); without
-    this the whole indicator plan would run once per branch.  The files
-    survive the loss of executors.  In local mode without a configured folder
-    a temporary one is used; on a cluster without one the plan is left as is.
+    Where the setting is missing, a local session (tests, notebooks) gets a
+    temporary folder; on a cluster that is an error, as files in one
+    machine's folder are lost with it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local"):
-                return df
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder.
+
+    Reports read their input several times (means, ranks, quantiles); without
+    this the whole indicator plan would run once per branch.  The files
+    survive the loss of executors.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

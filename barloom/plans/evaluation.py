@@ -71,8 +71,9 @@ def session_vwap(ticks: DataFrame) -> DataFrame:
 
 
 def intraday_bars(ticks: DataFrame, width: str = "15 minutes") -> DataFrame:
+    at = F.struct("ts", "event_id")
     g = ticks.groupBy("symbol", F.window(F.col("ts").cast("timestamp"), width).alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"),
     )
     return g.select("symbol", F.col("w.start").alias("ts"), F.to_date("w.start").alias("date"), "open", "high", "low", "close", "volume")
 

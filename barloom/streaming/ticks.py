@@ -9,7 +9,6 @@ a watermark; only the two rules that compare a reading with remembered state
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,15 +16,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.operators.lineage import checkpoint_folder
+
 LATE = "10 minutes"
 
 
+def moment(ticks: DataFrame) -> Column:
+    """Order of ticks: time, then ``event_id`` where there is one, so that equal times don't depend on partitioning."""
+    return F.struct("ts", "event_id") if "event_id" in ticks.columns else F.col("ts")
+
+
 def tick_bars(ticks: DataFrame, width: str = "15 minutes") -> DataFrame:
     """OHLCV bars per symbol and tumbling window."""
+    at = moment(ticks)
     g = ticks.withWatermark("ts", LATE).groupBy("symbol", F.window("ts", width).alias("w"))
     return g.agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"), F.count("*").alias("trades"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", at).alias("close"), F.count("*").alias("trades"),
     ).select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "trades")
 
 
@@ -37,7 +44,7 @@ def sliding_activity(ticks: DataFrame, width: str = "50 minutes", step: str = "1
 
 def last_prices(ticks: DataFrame) -> DataFrame:
     """Newest positive price per symbol; one small state row per symbol."""
-    return ticks.where("price > 0").groupBy("symbol").agg(F.max_by("price", "ts").alias("ltp"), F.max("ts").alias("ltp_at"))
+    return ticks.where("price > 0").groupBy("symbol").agg(F.max_by("price", moment(ticks)).alias("ltp"), F.max("ts").alias("ltp_at"))
 
 
 def with_live_price(ticks: DataFrame, scores: DataFrame) -> DataFrame:
@@ -147,13 +154,8 @@ def position_triggers(ticks: DataFrame) -> DataFrame:
 
 
 def work_folder(spark) -> str:
-    """A new folder under the shared checkpoint folder (a temporary one in local mode)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="barloom-stream-")
-    return os.path.join(base, uuid.uuid4().hex)
+    """A new folder under the shared checkpoint folder."""
+    return os.path.join(checkpoint_folder(spark), uuid.uuid4().hex)
 
 
 def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
