@@ -28,8 +28,8 @@ def source_weight(position: Column) -> Column:
     return (F.pmod(position, F.lit(3)) + 1).cast("double")
 
 
-def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many items of each length to take so that their sum is the largest possible up to ``budget``.
+def fill(lengths: list[int], counts: list[int], budget: int, over: int = 0) -> list[int]:
+    """How many items of each length to take so that their sum is nearest to ``budget``, and at most ``over`` above it.
 
     Bounded knapsack over a bit set: bit s says that s words can be reached.
     Counts are split into powers of two; for each sum the piece that first
@@ -41,20 +41,24 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         if lengths[i] and budget > KNAPSACK_WORDS:
             taken[i] = min(counts[i], (budget - KNAPSACK_WORDS) // lengths[i])
             budget -= taken[i] * lengths[i]
-    mask, reached, first, pieces = (1 << (budget + 1)) - 1, 1, np.full(budget + 1, -1, np.int32), []
+    most = budget + over
+    mask, reached, first, pieces = (1 << (most + 1)) - 1, 1, np.full(most + 1, -1, np.int32), []
     for i in order:
-        left, copies = (min(counts[i] - taken[i], budget // lengths[i]) if lengths[i] else 0), 1
+        left, copies = (min(counts[i] - taken[i], most // lengths[i]) if lengths[i] else 0), 1
         while left and not reached >> budget & 1:
             copies = min(copies, left)
             fresh = (reached << copies * lengths[i]) & mask & ~reached
             if fresh:
-                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
+                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
                 first[np.flatnonzero(bits)] = len(pieces)
                 pieces.append((i, copies))
                 reached |= fresh
             left -= copies
             copies *= 2
-    at = reached.bit_length() - 1
+    at = (reached & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reached >> (budget + 1)
+    if above and (above & -above).bit_length() < budget - at:
+        at = budget + (above & -above).bit_length()
     while at:
         i, copies = pieces[first[at]]
         taken[i] += copies
@@ -70,7 +74,7 @@ def _fit(cells: pd.DataFrame) -> pd.DataFrame:
     passes, rest = divmod(budget, total) if total else (0, 0)
     extra = [n * rest // total if total else 0 for n in counts]
     rest -= sum(a * b for a, b in zip(lengths, extra))
-    more = fill(lengths, [n - e for n, e in zip(counts, extra)], rest)
+    more = fill(lengths, [n - e for n, e in zip(counts, extra)], rest, min((x for x in lengths if x), default=0) if rest else 0)
     return pd.DataFrame({"skey": cells["skey"], "size": lengths, "passes": passes, "extra": [a + b for a, b in zip(extra, more)]})
 
 
