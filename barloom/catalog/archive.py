@@ -13,6 +13,7 @@ from barloom.operators import quality
 from barloom.plans import tables
 from barloom.plans.tables import daily_bars, index_bars, read
 from barloom.sources import archive, parsing
+from barloom.streaming.ticks import work_folder
 
 c = F.col
 OHLCV = "open@4 high@4 low@4 close@4 volume@4"
@@ -71,8 +72,12 @@ register(
 
 
 def _scaled(spark, sf):
+    return _cents(daily_bars(spark, sf))
+
+
+def _cents(df):
     cents = lambda x: F.round(c(x) * 100).cast("long").cast("string").alias(x)
-    return daily_bars(spark, sf).select("symbol", "date", *[cents(x) for x in ("open", "high", "low", "close")], c("volume").cast("long").cast("string").alias("volume"))
+    return df.select("symbol", "date", *[cents(x) for x in ("open", "high", "low", "close")], c("volume").cast("long").cast("string").alias("volume"))
 
 
 HASH = """hx AS (SELECT symbol, date, sha256(concat_ws(',', cast(cast(round(open*100) AS bigint) AS varchar), cast(cast(round(high*100) AS bigint) AS varchar), cast(cast(round(low*100) AS bigint) AS varchar), cast(cast(round(close*100) AS bigint) AS varchar), cast(cast(volume AS bigint) AS varchar))) AS h FROM b)"""
@@ -81,11 +86,18 @@ register(
     lambda spark, sf: tidy(archive.fingerprint(_scaled(spark, sf), ["open", "high", "low", "close", "volume"])),
     query([BARS, HASH], "SELECT symbol, count(*) AS rows, sha256(string_agg(h, '' ORDER BY date)) AS content_hash FROM hx GROUP BY 1"),
 )
+def _snapshot(spark, sf):
+    """Written once with its provenance, then hashed again from the files; the stored and the new hash must agree."""
+    path = work_folder(spark)
+    archive.save_snapshot(daily_bars(spark, sf), path, "derived", "raw", ["open", "close"], _cents)
+    stored = spark.read.parquet(f"{path}/provenance")
+    again = archive.fingerprint(_cents(spark.read.parquet(f"{path}/bars")), ["open", "close"]).select("symbol", c("content_hash").alias("_again"))
+    return stored.join(again, "symbol").where("content_hash = _again").select("symbol", "rows", "content_hash", "invalid_rows")
+
+
 register(
     "a05_snapshot_metadata",
-    lambda spark, sf: tidy(
-        archive.fingerprint(_scaled(spark, sf), ["open", "close"]).join(daily_bars(spark, sf).groupBy("symbol").agg(F.count_if(~valid_bar_tolerant()).alias("invalid_rows")), "symbol")
-    ),
+    lambda spark, sf: tidy(_snapshot(spark, sf)),
     query([BARS], "SELECT symbol, count(*) AS rows, sha256(string_agg(sha256(concat_ws(',', cast(cast(round(open*100) AS bigint) AS varchar), cast(cast(round(close*100) AS bigint) AS varchar))), '' ORDER BY date)) AS content_hash, 0::bigint AS invalid_rows FROM b GROUP BY 1"),
 )
 
@@ -224,7 +236,11 @@ register("a16_market_day", lambda spark, sf: tidy(daily_bars(spark, sf).where(c(
 def _append(spark, sf):
     log = scan_log(spark, sf)
     words = F.split(F.translate("verdict", "-/", "  "), "\\s+")
-    return tidy(log.select("id", archive.clean_symbol(c("symbol")).alias("symbol"), "score100", F.concat_ws("|", F.slice(words, 1, 10)).alias("signals")))
+    rows = log.select("id", archive.clean_symbol(c("symbol")).alias("symbol"), "score100", words.alias("signals"))
+    path = work_folder(spark)
+    for half in (0, 1):  # two appends to one log
+        archive.append_scan_log(rows.where(c("id") % 2 == half), path)
+    return tidy(spark.read.parquet(path))
 
 
 register("a17_scan_log_append", _append, query(LOG, "SELECT id, clean AS symbol, score100, array_to_string(regexp_split_to_array(translate(verdict,'-/','  '), '\\s+'),'|') AS signals FROM slog"))
@@ -260,9 +276,16 @@ register(
     lambda spark, sf: tidy(archive.history(scan_log(spark, sf), F.lit("1999-01-01").cast("timestamp"), 200).select("id", "symbol", "score100", when(c("scanned_at")).alias("scanned_at"))),
     query(LOG, f"SELECT id, symbol, score100, {stamp('scanned_at')} AS scanned_at FROM (SELECT * FROM slog WHERE scan_type='swing' AND scanned_at>='1999-01-01' ORDER BY scanned_at DESC, score100 DESC NULLS LAST, id LIMIT 200)"),
 )
+def _dump(spark, sf):
+    """Lines of the dump as they stand in its files."""
+    path = work_folder(spark)
+    archive.write_dump(scan_log(spark, sf).select("id", "symbol", "score100", "universe"), path, "json")
+    return spark.read.text(path).select(F.get_json_object("value", "$.id").cast("long").alias("id"), c("value").alias("line"))
+
+
 register(
     "a22_evaluation_dump_rows",
-    lambda spark, sf: tidy(scan_log(spark, sf).select("id", F.to_json(F.struct("id", "symbol", "score100", "universe")).alias("line"))),
+    lambda spark, sf: tidy(_dump(spark, sf)),
     query(LOG, "SELECT id, '{\"id\":'||id||',\"symbol\":\"'||symbol||'\"'||coalesce(',\"score100\":'||score100,'')||',\"universe\":\"'||universe||'\"}' AS line FROM slog"),
 )
 WORDS = ["ing", "sch", "queeux"]
@@ -449,9 +472,16 @@ register(
         "SELECT symbol, concat_ws('|', CASE WHEN NOT v>3000 THEN 'liquidity_failed_or_unknown' END, CASE WHEN NOT cur THEN 'stale_or_incomplete_session' END, CASE WHEN banned THEN 'material_financial_risk' END) AS reasons, cast(v>3000 AND cur AND NOT banned AS bigint) AS screen_eligible, CASE WHEN banned THEN 'blocked' WHEN oi_spurt THEN 'watch' ELSE 'unreviewed' END AS financial_review_status, 0::bigint AS actionable FROM lr",
     ),
 )
+def _registry(spark, sf):
+    """The registry written as JSON lines and read back strictly."""
+    path = work_folder(spark)
+    _risks(spark, sf).write.json(path)
+    return quality.load_risks(spark, path, multi_line=False)
+
+
 register(
     "a39_risk_registry",
-    lambda spark, sf: tidy(tables.fundamentals(spark, sf).select("symbol").join(_risks(spark, sf), "symbol", "left").select("symbol", F.coalesce("status", F.lit("unreviewed")).alias("status"))),
+    lambda spark, sf: tidy(tables.fundamentals(spark, sf).select("symbol").join(_registry(spark, sf), "symbol", "left").select("symbol", F.coalesce("status", F.lit("unreviewed")).alias("status"))),
     query(FUNDAMENTALS, "SELECT symbol, CASE WHEN banned THEN 'blocked' WHEN oi_spurt THEN 'watch' ELSE 'unreviewed' END AS status FROM fd"),
 )
 

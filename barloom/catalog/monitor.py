@@ -135,11 +135,11 @@ def _exits(spark, sf):
     cut = bars(spark, sf).where(c("date") <= F.lit("2001-10-20").cast("date"))
     entry = last_rows(cut.select("symbol", "rn", "close", "date")).select("symbol", c("close").alias("cost"), c("date").alias("since"))
     df = last.join(entry, "symbol")
-    x = portfolio.exit_action(c("close"), c("cost") * 0.97, c("cost") * 1.03, F.lit(7), F.datediff("date", "since"))
-    return tidy(df.select("symbol", x["action"].alias("action"), x["sell_qty"].alias("sell_qty")))
+    x = portfolio.exit_action(c("close"), c("cost") * 0.97, c("cost") * 1.03, F.lit(7), F.datediff("date", "since"), c("cost"))
+    return tidy(df.select("symbol", x["action"].alias("action"), x["sell_qty"].alias("sell_qty"), rnd(x["stop"], 3).alias("stop")))
 
 
-register("x30_exit_check", _exits, query([BARS, "l AS (SELECT symbol, arg_max(close, rn) AS px, max(date) AS d FROM b GROUP BY 1), e AS (SELECT symbol, arg_max(close, rn) AS cost, max(date) AS s FROM b WHERE date<='2001-10-20' GROUP BY 1), xa AS (SELECT symbol, CASE WHEN px<=cost*0.97::double THEN 'SL_HIT' WHEN px>=cost*1.03::double THEN 'T1_HIT' WHEN date_diff('day', s, d)>=10 THEN 'MAX_HOLD' END AS action FROM l JOIN e USING (symbol))"], "SELECT symbol, action, cast(CASE WHEN action='T1_HIT' THEN 3 WHEN action IS NOT NULL THEN 7 END AS bigint) AS sell_qty FROM xa"))
+register("x30_exit_check", _exits, query([BARS, "l AS (SELECT symbol, arg_max(close, rn) AS px, max(date) AS d FROM b GROUP BY 1), e AS (SELECT symbol, arg_max(close, rn) AS cost, max(date) AS s FROM b WHERE date<='2001-10-20' GROUP BY 1), xa AS (SELECT symbol, CASE WHEN px<=cost*0.97::double THEN 'SL_HIT' WHEN px>=cost*1.03::double THEN 'T1_HIT' WHEN date_diff('day', s, d)>=10 THEN 'MAX_HOLD' END AS action, cost FROM l JOIN e USING (symbol))"], "SELECT symbol, action, cast(CASE WHEN action='T1_HIT' THEN 3 WHEN action IS NOT NULL THEN 7 END AS bigint) AS sell_qty, round(CASE WHEN action='T1_HIT' THEN cost WHEN action IS NULL THEN cost*0.97::double END, 3)+0.0::double AS stop FROM xa"))
 
 
 def _nav(spark, sf):

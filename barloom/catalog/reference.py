@@ -81,14 +81,22 @@ register("b06_universe_by_turnover", lambda spark, sf: tidy(liquidity(bars(spark
 
 
 def resolve(queries, master):
-    """Ticker, else ISIN, else numeric code, else a name that matches once."""
+    """Ticker, else ISIN, else numeric code, else the only name that contains the query.
+
+    Names are met over the query's first three letters, so no query meets
+    all names.
+    """
     q = queries.select("q", F.upper(F.trim("q")).alias("_q"))
     hits = None
     for rank, col in ((1, "ticker"), (2, "isin"), (3, "bse_code")):
         h = q.join(master.select("isin", c(col).alias("_q")), "_q").select("q", "isin", F.lit(rank).alias("rank"))
         hits = h if hits is None else hits.unionByName(h)
-    names = master.groupBy("name").agg(F.count("*").alias("_n"), F.min("isin").alias("isin")).where("_n = 1")
-    hits = hits.unionByName(q.join(names.withColumnRenamed("name", "_q"), "_q").select("q", "isin", F.lit(4).alias("rank")))
+    name = F.upper("name")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.array(*[F.substring(name, i, F.lit(n)) for n in (1, 2, 3)])))
+    names = master.where("name <> ''").select("isin", name.alias("_name"), F.explode(F.array_distinct(grams)).alias("_g"))
+    found = q.where("_q <> ''").withColumn("_g", F.substring("_q", 1, 3)).join(names, "_g").where(F.contains("_name", "_q"))
+    once = found.groupBy("q").agg(F.count("*").alias("_n"), F.min("isin").alias("isin")).where("_n = 1")
+    hits = hits.unionByName(once.select("q", "isin", F.lit(4).alias("rank")))
     best = hits.groupBy("q").agg(F.min_by("isin", F.struct("rank", "isin")).alias("isin"))
     return queries.join(best, "q", "left")
 
@@ -306,14 +314,14 @@ register("j12_set_difference", _vanished, query(BARS, "SELECT DISTINCT symbol, m
 
 
 def _deals(spark, sf):
-    """Two deal tables stacked and grouped by symbol; only summaries meet in one task."""
+    """Two deal tables stacked; the list of deals of each symbol by month, so that a busy symbol is no single group."""
     o = read(spark, sf, "orders").where("o_totalprice > 200000")
-    deal = o.select(F.concat(F.lit("S"), F.pmod("o_custkey", F.lit(100)).cast("string")).alias("symbol"), "o_orderkey", F.when(c("o_orderstatus") == "F", "bulk").otherwise("block").alias("kind"))
+    deal = o.select(F.concat(F.lit("S"), F.pmod("o_custkey", F.lit(100)).cast("string")).alias("symbol"), "o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.when(c("o_orderstatus") == "F", "bulk").otherwise("block").alias("kind"))
     both = deal.where("kind = 'bulk'").unionByName(deal.where("kind = 'block'"))
-    return tidy(both.groupBy("symbol", "kind").agg(F.count("*").alias("deals"), F.min("o_orderkey").alias("first_deal"), F.max("o_orderkey").alias("last_deal")))
+    return tidy(both.groupBy("symbol", "month").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat(F.lpad(c("o_orderkey").cast("string"), 12, "0"), F.lit(":"), "kind"))).alias("deals")))
 
 
-register("j13_deal_grouping", _deals, "SELECT 'S'||cast(o_custkey%100 AS varchar) AS symbol, CASE WHEN o_orderstatus='F' THEN 'bulk' ELSE 'block' END AS kind, count(*) AS deals, min(o_orderkey) AS first_deal, max(o_orderkey) AS last_deal FROM orders WHERE o_totalprice>200000 GROUP BY 1,2")
+register("j13_deal_grouping", _deals, "SELECT 'S'||cast(o_custkey%100 AS varchar) AS symbol, strftime(o_orderdate,'%Y-%m') AS month, count(*) AS n, string_agg(lpad(o_orderkey::varchar,12,'0')||':'||CASE WHEN o_orderstatus='F' THEN 'bulk' ELSE 'block' END, '|' ORDER BY lpad(o_orderkey::varchar,12,'0')||':'||CASE WHEN o_orderstatus='F' THEN 'bulk' ELSE 'block' END) AS deals FROM orders WHERE o_totalprice>200000 GROUP BY 1,2")
 
 # --- C: aggregates -----------------------------------------------------------------
 
@@ -534,5 +542,5 @@ def _user_rule(spark, sf):
 
 
 register("v01_pluggable_rule", _user_rule, query(BARS, f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, cast(coalesce(close>{lag('close')} AND {lag('close')}>{lag('close', 2)} AND {lag('close', 2)}>{lag('close', 3)},false) AS bigint) AS hit FROM b"))
-register("v03_rolling_apply", lambda spark, sf: tidy(ind.compose(bars(spark, sf), ind.cci()).select("symbol", "date", F.when(F.size("tp20") == 20, rnd(F.aggregate("tp20", F.lit(0.0), lambda a, x: a + x * x) / 20.0, 3)).alias("mean_square"))), query([*__import__("barloom.catalog.indicators", fromlist=["TECH"]).TECH[:2]], f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, CASE WHEN rn>=19 THEN {r(f'avg(tp*tp) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)', 3)}+0.0::double END AS mean_square FROM t1"))
+register("v03_rolling_apply", lambda spark, sf: tidy(ind.compose(bars(spark, sf), ind.cci()).select("symbol", "date", rnd(ind.rolling_apply("tp20", 20, lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x) / 20.0), 3).alias("mean_square"))), query([*__import__("barloom.catalog.indicators", fromlist=["TECH"]).TECH[:2]], f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, CASE WHEN rn>=19 THEN {r(f'avg(tp*tp) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)', 3)}+0.0::double END AS mean_square FROM t1"))
 register("v05_row_classifier", lambda spark, sf: tidy(tables.index_context(spark, sf).select("date", F.when(c("above_200") & c("above_50"), "on").when(c("above_50"), "early").otherwise("off").alias("state"))), query([*IX, REGIME], "SELECT strftime(date,'%Y-%m-%d') AS date, CASE WHEN above_200 AND above_50 THEN 'on' WHEN above_50 THEN 'early' ELSE 'off' END AS state FROM rgm"))

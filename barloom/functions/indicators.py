@@ -436,6 +436,11 @@ def patterns() -> Layer:
     }
 
 
+def rolling_apply(window: str, n: int, function: Callable[[Column], Column]) -> Column:
+    """Any function of the last ``n`` values, given as an array column; null until all are there."""
+    return F.when(F.size(window) == n, function(F.col(window)))
+
+
 # --- recursions with a state that is not linear -----------------------------
 
 State = Callable[[Column, Column], Column]

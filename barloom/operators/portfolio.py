@@ -163,11 +163,11 @@ def dividends(actions: DataFrame) -> DataFrame:
     return d.groupBy("account").agg(F.sum(F.col("entitled_quantity") * F.col("cash_per_share")).alias("dividend_cash"))
 
 
-def exit_action(price: Column, sl: Column, t1: Column, qty: Column, age_days: Column, max_age: int = 10) -> dict[str, Column]:
-    """What an open position does at a price: stop sells all, target sells half, age sells all."""
+def exit_action(price: Column, sl: Column, t1: Column, qty: Column, age_days: Column, cost: Column, max_age: int = 10) -> dict[str, Column]:
+    """What an open position does at a price: stop sells all, target sells half and raises the stop to cost, age sells all."""
     action = F.when(price <= sl, "SL_HIT").when(price >= t1, "T1_HIT").when(age_days >= max_age, "MAX_HOLD")
     sell = F.when(action == "T1_HIT", F.greatest(F.lit(1), F.floor(qty / 2))).when(action.isNotNull(), qty)
-    return {"action": action, "sell_qty": sell}
+    return {"action": action, "sell_qty": sell, "stop": F.when(action == "T1_HIT", F.greatest(sl, cost)).when(action.isNull(), sl)}
 
 
 def nav_metrics(nav: DataFrame, capital: float, side_cost: float = 0.0028) -> DataFrame:

@@ -135,10 +135,10 @@ def eligibility(rows: DataFrame, session: Column, risks: DataFrame) -> DataFrame
     )
 
 
-def load_risks(spark, path: str) -> DataFrame:
+def load_risks(spark, path: str, multi_line: bool = True) -> DataFrame:
     """Risk registry; an unreadable file is an error, never an empty registry."""
     schema = "symbol string, status string, notes array<string>"
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
 
 
 def memo_issues(asof: Column) -> Column:

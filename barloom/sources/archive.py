@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.outcomes import valid_bar_tolerant
@@ -72,12 +74,15 @@ def fingerprint(bars: DataFrame, columns: list[str]) -> DataFrame:
     return hashed.groupBy("symbol").agg(F.count("*").alias("rows"), F.sha2(F.array_join(ordered, ""), 256).alias("content_hash"))
 
 
-def save_snapshot(bars: DataFrame, path: str, source: str, price_basis: str, columns: list[str]) -> None:
-    """Write bars and their provenance once; an existing folder is an error."""
+def save_snapshot(bars: DataFrame, path: str, source: str, price_basis: str, columns: list[str], as_text: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
+    """Write bars and their provenance once; an existing folder is an error.
+
+    ``as_text`` turns the hashed columns into the text that is hashed.
+    """
     if not source or price_basis not in PRICE_BASES:
         raise ValueError("an explicit source and a supported price basis are required")
     assert_unique(bars).write.mode("errorifexists").parquet(f"{path}/bars")
-    meta = fingerprint(bars, columns).join(
+    meta = fingerprint(as_text(bars), columns).join(
         bars.groupBy("symbol").agg(F.count_if(~valid_bar_tolerant()).alias("invalid_rows")), "symbol"
     )
     meta.withColumns({"source": F.lit(source), "price_basis": F.lit(price_basis)}).write.mode("errorifexists").parquet(f"{path}/provenance")

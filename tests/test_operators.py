@@ -196,3 +196,12 @@ def test_completed_session_cut(spark):
     day = "2020-01-10"
     assert quality.completed_sessions(df, f"{day} 14:00:00").count() == 9
     assert quality.completed_sessions(df, f"{day} 16:30:00").count() == 10
+
+
+def test_names_resolve_by_their_only_part(spark):
+    from barloom.catalog.reference import resolve
+
+    master = spark.createDataFrame([("I1", "ALPHA STEEL", "AST", "1"), ("I2", "ALPHA BANK", "ABK", "2"), ("I3", None, "CCC", "3")], "isin string, name string, ticker string, bse_code string")
+    asked = [("steel", "I1"), ("alpha", None), ("a bank", "I2"), ("ast", "I1"), ("i3", "I3"), ("2", "I2"), ("k", "I2"), ("", None), ("zzz", None)]
+    got = {r.q: r.isin for r in resolve(spark.createDataFrame([(q,) for q, _ in asked], "q string"), master).collect()}
+    assert got == dict(asked)
