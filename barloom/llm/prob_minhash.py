@@ -10,12 +10,15 @@ slots in which two documents agree estimates their probability Jaccard
 similarity (for unweighted sets, the Jaccard similarity).
 
 Documents that agree in all slots of a band share a bucket.  Buckets are
-worked off in rounds without forming their pairs: a few pivots of each are
-compared exactly with the other members, links join classes, and a bucket is
-done when all its members are of one class.  Since one minus the similarity is
-a metric, members that can't reach any foreign member of the bucket within the
-limit leave it with the pivot.  So a bucket of thousands of copies takes one
-round and one comparison a member, and no possible link is skipped.
+worked off in rounds without forming their pairs: pivots of each are compared
+exactly with the members of other classes, links join classes, and a bucket is
+done when all its members are of one class.  A pivot leaves its bucket, having
+met all it could be linked with; since one minus the similarity is a metric,
+members of its class that can't reach any foreign member within the limit
+leave with it.  Pivots come from the smallest classes, so that a large group
+only meets the few that don't belong to it yet.  A bucket of thousands of
+copies takes a round or two and a few comparisons a member, and no possible
+link is skipped.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Bands and slots of a band: two documents at 0.8 share no bucket with a probability of 5e-6.
 BANDS, ROWS = 40, 6
-#: Pivots of a bucket in the first and in later rounds.
-FIRST_PIVOTS, PIVOTS = 1, 16
+#: Pivots of a bucket in the first rounds and in all later ones.
+PIVOTS = (1, 4, 16, 64, 128)
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,18 +185,22 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("id"), "of")
     texts = written(named.join(wanted, ["id", "of"]).select("node", "text").dropDuplicates(["node"]), "compared")
 
-    tested: DataFrame | None = None
     classes = written(members.select(F.col("node").alias("id")).distinct().withColumn("class", F.col("id")), "classes")
+    members = members.withColumn("own", F.col("node"))
+    tested: DataFrame | None = None
     number = 0
     while not members.isEmpty():
-        pivots = FIRST_PIVOTS if number == 0 else PIVOTS
-        drawn = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), F.col("node").alias("pivot"))
+        pivots = PIVOTS[min(number, len(PIVOTS) - 1)]
+        drawn = members.withColumn("h", F.xxhash64(F.lit(number), "node"))
         if pivots == 1:
-            chosen = members.groupBy("key").agg(F.min(drawn).alias("p")).select("key", "p.pivot")
+            chosen = drawn.groupBy("key").agg(F.min(F.struct("h", F.col("node").alias("pivot"), F.col("own").alias("its"))).alias("p")).select("key", "p.pivot", "p.its")
         else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy("h", "node"))
-            chosen = members.withColumn("h", F.xxhash64(F.lit(number), "node")).withColumn("place", place).where(F.col("place") <= pivots).select("key", F.col("node").alias("pivot"))
-        met = members.join(chosen, "key").where("node <> pivot")
+            size = members.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
+            place = F.row_number().over(Window.partitionBy("key").orderBy("n", "h", "node"))
+            ranked = drawn.join(size, ["key", "own"]).withColumn("place", place).where(F.col("place") <= pivots)
+            chosen = ranked.select("key", F.col("node").alias("pivot"), F.col("own").alias("its"))
+        chosen = written(chosen, "pivots")
+        met = members.join(chosen, "key").where("own <> its")
         met = written(met.select("key", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "met")
         pairs = met.select("a", "b").distinct()
         if tested is not None:
@@ -201,7 +208,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
         pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         fresh = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double"), "tested")
-        tested = fresh if tested is None else written(tested.union(fresh), "tested")
+        tested = fresh if tested is None else tested.union(fresh)
         called = lambda side, name: classes.select(F.col("id").alias(side), F.col("class").alias(name))
         links = fresh.where(F.col("similarity") >= threshold).join(called("a", "ca"), "a").join(called("b", "cb"), "b").where("ca <> cb")
         links = written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
@@ -209,17 +216,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
             joined = components(links).select(F.col("id").alias("class"), F.col("class").alias("root"))
             classes = written(classes.join(joined, "class", "left").select("id", F.coalesce("root", "class").alias("class")), "classes")
 
-        # What is left of the buckets.
-        place = met.join(tested, ["a", "b"]).select("key", "node", "pivot", (1 - F.col("similarity")).alias("far"))
-        place = place.join(called("node", "own"), "node").join(called("pivot", "its"), "pivot")
-        place = written(place, "places")
-        gaps = place.where("own <> its").groupBy("key", "pivot").agg(F.min("far").alias("gap"))
-        settled = place.where("own = its").join(gaps, ["key", "pivot"], "left").where(F.col("gap").isNull() | (F.col("far") + (1 - threshold) < F.col("gap"))).select("key", "node")
-        gone = settled.union(chosen.select("key", F.col("pivot").alias("node"))).distinct()
-        rest = members.join(gone, ["key", "node"], "left_anti").join(called("node", "own"), "node")
-        rest = written(rest, "rest")
+        # What is left of the buckets: all foreign members of a pivot have a known distance to it.
+        far = met.join(tested, ["a", "b"]).select("key", "node", "pivot", (1 - F.col("similarity")).alias("far"))
+        far = written(far.join(called("node", "own"), "node").join(called("pivot", "its"), "pivot"), "places")
+        gaps = far.where("own <> its").groupBy("key", "pivot").agg(F.min("far").alias("gap"))
+        settled = far.where("own = its").join(gaps, ["key", "pivot"], "left").where(F.col("gap").isNull() | (F.col("far") + (1 - threshold) < F.col("gap")))
+        gone = settled.select("key", "node").union(chosen.select("key", F.col("pivot").alias("node")))
+        rest = written(members.drop("own").join(gone, ["key", "node"], "left_anti").join(called("node", "own"), "node"), "rest")
         open_ = rest.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("key")
-        members = written(rest.drop("own").join(open_, "key"), "buckets")
+        members = written(rest.join(open_, "key").select("key", "node", "own"), "buckets")
         number += 1
 
     found = nodes.join(classes.select(F.col("id").alias("node"), "class"), "node", "left").select("of", "rep", F.coalesce("class", "node").alias("class"))
