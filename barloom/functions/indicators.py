@@ -8,8 +8,9 @@ all requested indicators so that they share one exchange and one sort.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.windows import (
@@ -443,28 +444,51 @@ def rolling_apply(window: str, n: int, function: Callable[[Column], Column]) ->
 
 # --- recursions with a state that is not linear -----------------------------
 
-State = Callable[[Column, Column], Column]
+#: State of a series after a bar, from the state before (None on the first bar) and the bar's readings.
+Step = Callable[[tuple | None, tuple], tuple]
 
 
-def scan_by_symbol(df: DataFrame, state_type: str, step: State, outputs: dict[str, str]) -> DataFrame:
-    """Run ``step(previous_state, bar)`` along each symbol and add state fields.
+def scan_by_symbol(df: DataFrame, reads: Sequence[str], schema: str, step: Step, outputs: dict[str, str]) -> DataFrame:
+    """Run ``step`` along each symbol and add fields of its state.
 
-    ``previous_state`` is null on the first bar.  The grouped array holds one
-    element per bar of one symbol: a daily series, bounded by the calendar.
-    Grouping reuses the hash partitioning by symbol, so nothing is shuffled.
+    ``reads`` are the columns a bar hands to ``step``; ``schema`` describes
+    the state.  Rows pass in Arrow batches and only the last state is carried
+    from one to the next, so time grows with the number of bars and memory
+    does not.  The row number over the symbol's window just below makes Spark
+    deliver each symbol whole and in order; it is checked on every row.
     """
-    names = df.columns
-    rest = [c for c in names if c not in ("symbol", "rn")]
-    grouped = df.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rn", *rest))).alias("_bars"))
-    states = F.aggregate(
-        "_bars",
-        F.array().cast(f"array<{state_type}>"),
-        lambda acc, bar: F.concat(acc, F.array(step(F.try_element_at(acc, F.lit(-1)), bar))),
-    )
-    paired = grouped.select("symbol", F.inline(F.arrays_zip("_bars", states.alias("_states"))))
-    return paired.select(
-        "symbol", "_bars.rn", *[F.col(f"_bars.{c}") for c in rest], *[F.col(f"_states.{s}").alias(o) for o, s in outputs.items()]
-    ).select(*names, *outputs)
+    fields = [f.split(":")[0] for f in schema.split(",")]
+
+    @F.pandas_udf("struct<" + schema + ">")
+    def scan(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        symbol, at, state = None, 0, None
+        for series in columns:
+            lists = [[None if v != v else v for v in x.tolist()] if x.hasnans else x.tolist() for x in series]
+            out = []
+            for name, place, *bar in zip(*lists):
+                if place == 1:
+                    symbol, at, state = name, 0, None
+                if name != symbol or place != at + 1:
+                    raise ValueError(f"bars of {name} arrive out of order")
+                at, state = place, step(state, bar)
+                out.append(state)
+            yield pd.DataFrame(out, columns=fields)
+
+    df = df.withColumn("_place", F.row_number().over(by_symbol()))
+    df = df.withColumn("_state", scan.asNondeterministic()("symbol", "_place", *reads))
+    return df.select("*", *[F.col(f"_state.{s}").alias(o) for o, s in outputs.items()]).drop("_place", "_state")
+
+
+def _under(a: float | None, b: float | None) -> bool:
+    return a is not None and b is not None and a < b
+
+
+def _lowest(*x: float | None) -> float | None:
+    return min((v for v in x if v is not None), default=None)
+
+
+def _highest(*x: float | None) -> float | None:
+    return max((v for v in x if v is not None), default=None)
 
 
 def with_supertrend(df: DataFrame, out: str = "st", mult: float = 3.0, state: bool = False) -> DataFrame:
@@ -487,20 +511,20 @@ def with_supertrend(df: DataFrame, out: str = "st", mult: float = 3.0, state: bo
         },
     )
 
-    def step(p: Column, x: Column) -> Column:
-        upper = F.when(p.isNull() | (x["_ub"] < p["upper"]) | (x["_pc"] > p["upper"]), x["_ub"]).otherwise(p["upper"])
-        lower = F.when(p.isNull() | (x["_lb"] > p["lower"]) | (x["_pc"] < p["lower"]), x["_lb"]).otherwise(p["lower"])
-        down = F.when(p.isNull(), True).when(p["line"] == p["upper"], x["close"] <= upper).otherwise(x["close"] < lower)
-        return F.struct(
-            upper.alias("upper"),
-            lower.alias("lower"),
-            F.when(down, upper).otherwise(lower).alias("line"),
-            F.when(down, -1).otherwise(1).alias("dir"),
-        )
+    def step(p, bar):
+        close, before, up, low = bar
+        if p is None:
+            upper, lower, down = up, low, True
+        else:
+            upper = up if _under(up, p[0]) or _under(p[0], before) else p[0]
+            lower = low if _under(p[1], low) or _under(before, p[1]) else p[1]
+            down = not _under(upper, close) if p[2] == p[0] else _under(close, lower)
+        return upper, lower, upper if down else lower, -1 if down else 1
 
     df = scan_by_symbol(
         df,
-        "struct<upper:double,lower:double,line:double,dir:int>",
+        ["close", "_pc", "_ub", "_lb"],
+        "upper:double,lower:double,line:double,dir:int",
         step,
         {f"{out}_line": "line", f"{out}_dir": "dir"}
         | ({f"{out}_upper": "upper", f"{out}_lower": "lower"} if state else {}),
@@ -522,12 +546,12 @@ def with_simple_supertrend(df: DataFrame, mult: float = 3.0) -> DataFrame:
         },
     )
 
-    def step(p: Column, x: Column) -> Column:
-        up = F.when(p.isNull() | p["line"].isNull(), True).otherwise(x["close"] > p["line"])
-        line = F.when(p.isNull(), F.lit(None).cast("double")).when(up, x["_lb"]).otherwise(x["_ub"])
-        return F.struct(line.alias("line"), up.alias("up"))
+    def step(p, bar):
+        close, up_band, low_band = bar
+        up = True if p is None or p[0] is None else _under(p[0], close)
+        return None if p is None else low_band if up else up_band, up
 
-    df = scan_by_symbol(df, "struct<line:double,up:boolean>", step, {"sst_line": "line", "sst_up": "up"})
+    df = scan_by_symbol(df, ["close", "_ub", "_lb"], "line:double,up:boolean", step, {"sst_line": "line", "sst_up": "up"})
     return df.drop("_ub", "_lb")
 
 
@@ -545,28 +569,22 @@ def with_parabolic_sar(df: DataFrame, start: float = 0.02, step_by: float = 0.02
         },
     )
 
-    def step(p: Column, x: Column) -> Column:
-        moved = p["sar"] + p["af"] * (p["ep"] - p["sar"])
-        sar = F.when(p["bull"], F.least(moved, x["_l1"], x["_l2"])).otherwise(F.greatest(moved, x["_h1"], x["_h2"]))
-        flip = F.when(p["bull"], x["low"] < sar).otherwise(x["high"] > sar)
-        bull = p["bull"] != flip
-        extreme = F.when(bull, x["high"]).otherwise(x["low"])
-        further = F.when(bull, x["high"] > p["ep"]).otherwise(x["low"] < p["ep"])
-        first = F.struct(
-            x["low"].alias("sar"), x["high"].alias("ep"), F.lit(start).alias("af"), F.lit(True).alias("bull")
-        )
-        later = F.struct(
-            F.when(flip, p["ep"]).otherwise(sar).alias("sar"),
-            F.when(flip | further, extreme).otherwise(p["ep"]).alias("ep"),
-            F.when(flip, F.lit(start))
-            .when(further, F.least(p["af"] + step_by, F.lit(top)))
-            .otherwise(p["af"])
-            .alias("af"),
-            bull.alias("bull"),
-        )
-        return F.when(p.isNull(), first).otherwise(later)
+    def step(p, bar):
+        high, low, l1, l2, h1, h2 = bar
+        if p is None:
+            return low, high, start, True
+        sar, ep, af, bull = p
+        moved = sar + af * (ep - sar)
+        sar = _lowest(moved, l1, l2) if bull else _highest(moved, h1, h2)
+        flip = _under(low, sar) if bull else _under(sar, high)
+        bull = bull != flip
+        extreme = high if bull else low
+        further = _under(ep, high) if bull else _under(low, ep)
+        if flip:
+            return ep, extreme, start, bull
+        return sar, extreme if further else ep, min(af + step_by, top) if further else af, bull
 
     df = scan_by_symbol(
-        df, "struct<sar:double,ep:double,af:double,bull:boolean>", step, {"psar": "sar", "_bull": "bull"}
+        df, ["high", "low", "_l1", "_l2", "_h1", "_h2"], "sar:double,ep:double,af:double,bull:boolean", step, {"psar": "sar", "_bull": "bull"}
     )
     return df.withColumn("psar_dir", F.when(_c("_bull"), 1).otherwise(-1)).drop("_l1", "_l2", "_h1", "_h2", "_bull")

@@ -125,3 +125,26 @@ def test_user_rule_can_be_added(spark):
         rules.add_rule("up", book["up"], book)
     assert len(rules.RULES) == 60
     assert rules.with_rules(frame(spark, wave(5)), book).agg(F.sum("up")).first()[0] == 0
+
+
+def test_state_scans_of_one_long_series(spark):
+    """50,000 bars of one symbol, in several Arrow batches, equal a plain loop."""
+    import numpy as np
+
+    close = 100 + np.cumsum(np.random.default_rng(3).standard_normal(50_000)) / 5
+    rows = [("A", i, float(c), float(c + 1), float(c - 1), float(c), 1.0) for i, c in enumerate(close)]
+    df = with_row_number(spark.createDataFrame(rows, "symbol string, date int, open double, high double, low double, close double, volume double"))
+    got = ind.with_parabolic_sar(df).select("rn", "psar", "psar_dir").toPandas().sort_values("rn")
+    sar, ep, af, bull = close[0] - 1, close[0] + 1, 0.02, True
+    want = [(sar, 1)]
+    for i in range(1, len(close)):
+        h, l = close[i] + 1, close[i] - 1
+        sar += af * (ep - sar)
+        two = (i - 1, max(i - 2, 0))
+        sar = min(sar, *(close[k] - 1 for k in two)) if bull else max(sar, *(close[k] + 1 for k in two))
+        if (l < sar) if bull else (h > sar):
+            bull, sar, ep, af = not bull, ep, l if bull else h, 0.02
+        elif (h > ep) if bull else (l < ep):
+            ep, af = h if bull else l, min(af + 0.02, 0.2)
+        want.append((sar, 1 if bull else -1))
+    assert np.allclose(got["psar"], [w[0] for w in want]) and got["psar_dir"].tolist() == [w[1] for w in want]
