@@ -9,21 +9,20 @@ document costs about as many steps as it has elements and slots.  The share of
 slots in which two documents agree estimates their probability Jaccard
 similarity (for unweighted sets, the Jaccard similarity).
 
-Documents that agree in all slots of a band share a bucket.  Buckets are
-worked off in rounds without forming their pairs: pivots of each are compared
-exactly with the members of other classes, links join classes, and a bucket is
-done when all its members are of one class.  A pivot leaves its bucket, having
-met all it could be linked with; since one minus the similarity is a metric,
-members of its class that can't reach any foreign member within the limit
-leave with it.  Pivots come from the smallest classes, so that a large group
-only meets the few that don't belong to it yet.  A bucket of thousands of
-copies takes a round or two and a few comparisons a member, and no possible
-link is skipped.
+Documents that agree in all slots of a band share a bucket, and the pairs of a
+bucket are settled without forming them.  First, in two rounds, a few pivots of
+each bucket are compared with the members of other classes, one row a member
+and pivot; links join classes, so that copies by the thousand become one class
+after a comparison or two each.  What is then still foreign to the largest
+class of its bucket is compared with the bucket in blocks of bounded size: a
+task gets two blocks with signatures and texts, passes over pairs whose
+signatures differ too much, measures the others exactly, and returns only
+links between different classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,11 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Bands and slots of a band: two documents at 0.8 share no bucket with a probability of 5e-6.
 BANDS, ROWS = 40, 6
-#: Pivots of a bucket in the first rounds and in all later ones.
-PIVOTS = (1, 4, 16, 64, 128)
+#: Pivots of a bucket in the rounds that join large classes, and members of a block after them.
+PIVOTS = (1, 4)
+BLOCK = 64
+#: Standard deviations by which two signatures may fall short of the threshold before a pair is passed over (3e-6).
+SLACK = 4.5
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,35 +111,79 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, of, text) to (id, of, buckets); texts without a word have none."""
+    """(id, of, text) to (id, of, buckets, sign): a byte of each slot; texts without a word have no buckets."""
     for batch in batches:
         rows: list[np.ndarray] = []
+        signs: list[bytes] = []
         for block in blocks(batch.column(2), lower=True):
             doc, element, weight = weighted(block)
             some = np.bincount(doc, minlength=block.n) > 0
-            keys = bands(signatures(doc, element, weight, block.n))
-            rows += [k if s else k[:0] for k, s in zip(keys, some)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["id", "of", "buckets"])
+            signature = signatures(doc, element, weight, block.n)
+            rows += [k if s else k[:0] for k, s in zip(bands(signature), some)]
+            signs += [x.tobytes() for x in (signature >> np.uint64(56)).astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["id", "of", "buckets", "sign"]
+        )
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) to (a, b, similarity)."""
+def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Elements and weights of each text."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in blocks(texts, lower=True):
+        doc, element, weight = weighted(block)
+        cuts = np.searchsorted(doc, np.arange(1, block.n))
+        out += zip(np.split(element, cuts), np.split(weight, cuts))
+    return out
 
-    def sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for block in blocks(texts, lower=True):
-            doc, element, weight = weighted(block)
-            cuts = np.searchsorted(doc, np.arange(1, block.n))
-            out += zip(np.split(element, cuts), np.split(weight, cuts))
-        return out
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, text_a, text_b) to (a, b, similarity)."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            found = [similarity(x, y) for x, y in zip(sets(part.column(2)), sets(part.column(3)))]
+            found = [similarity(x, y) for x, y in zip(_sets(part.column(2)), _sets(part.column(3)))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
+def _compare_blocks(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of two blocks, each a list of (node, own, sign, text), to links (a, b) between different classes."""
+    least = threshold - SLACK * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+
+    def block(members: list[dict]) -> tuple[np.ndarray, list, np.ndarray, list]:
+        signs = np.frombuffer(b"".join(m["sign"] for m in members), np.uint8).reshape(len(members), -1)
+        return np.array([m["own"] for m in members]), [m["node"] for m in members], signs, [m["text"] for m in members]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, int], None] = {}
+            for i in range(batch.num_rows):
+                own_x, node_x, sign_x, text_x = block(batch.column(0)[i].as_py())
+                own_y, node_y, sign_y, text_y = block(batch.column(1)[i].as_py())
+                sets_x = sets_y = None
+                root: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while c in root:
+                        c = root[c]
+                    return c
+
+                for k in range(len(node_x)):
+                    near = np.flatnonzero(((sign_y == sign_x[k]).mean(axis=1) >= least) & (own_y != own_x[k]))
+                    for m in near.tolist():
+                        a, b = top(int(own_x[k])), top(int(own_y[m]))
+                        if a == b:
+                            continue  # linked by another pair of this block
+                        if sets_x is None:
+                            sets_x, sets_y = _sets(pa.array(text_x, pa.string())), _sets(pa.array(text_y, pa.string()))
+                        if similarity(sets_x[k], sets_y[m]) >= threshold:
+                            root[max(a, b)] = min(a, b)
+                            found[(int(own_x[k]), int(own_y[m]))] = None
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): the smallest id that is connected with it, of every id in ``edges`` (a, b).
 
@@ -177,55 +223,56 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     nodes = reps.join(firsts, "rep").select("of", "rep", F.when(F.col("of") == F.col("first"), F.col("rep")).otherwise(-1 - F.abs(F.xxhash64("of") / 2).cast("long")).alias("node"))
     nodes = written(nodes, "nodes")
 
-    signed = written(named.select("id", "of", "text").mapInArrow(_sign, "id long, of string, buckets array<long>"), "signatures")
+    signed = written(named.select("id", "of", "text").mapInArrow(_sign, "id long, of string, buckets array<long>, sign binary"), "signatures")
     members = signed.join(nodes, "of").where("id = rep").select("node", F.explode("buckets").alias("key")).distinct()
     members = written(members, "members")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(members.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("id"), "of")
     texts = written(named.join(wanted, ["id", "of"]).select("node", "text").dropDuplicates(["node"]), "compared")
+    signs = signed.join(wanted, ["id", "of"]).select("node", "sign").dropDuplicates(["node"])
 
     classes = written(members.select(F.col("node").alias("id")).distinct().withColumn("class", F.col("id")), "classes")
     members = members.withColumn("own", F.col("node"))
     tested: DataFrame | None = None
-    number = 0
-    while not members.isEmpty():
-        pivots = PIVOTS[min(number, len(PIVOTS) - 1)]
+    called = lambda side, name: classes.select(F.col("id").alias(side), F.col("class").alias(name))
+
+    def join_classes(links: DataFrame) -> None:
+        nonlocal classes, members
+        if not links.isEmpty():
+            joined = components(links).select(F.col("id").alias("class"), F.col("class").alias("root"))
+            classes = written(classes.join(joined, "class", "left").select("id", F.coalesce("root", "class").alias("class")), "classes")
+        now = members.drop("own").join(called("node", "own"), "node")
+        open_ = now.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("key")
+        members = written(now.join(open_, "key").select("key", "node", "own"), "buckets")
+
+    for number, pivots in enumerate(PIVOTS):
         drawn = members.withColumn("h", F.xxhash64(F.lit(number), "node"))
-        if pivots == 1:
-            chosen = drawn.groupBy("key").agg(F.min(F.struct("h", F.col("node").alias("pivot"), F.col("own").alias("its"))).alias("p")).select("key", "p.pivot", "p.its")
-        else:
-            size = members.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
-            place = F.row_number().over(Window.partitionBy("key").orderBy("n", "h", "node"))
-            ranked = drawn.join(size, ["key", "own"]).withColumn("place", place).where(F.col("place") <= pivots)
-            chosen = ranked.select("key", F.col("node").alias("pivot"), F.col("own").alias("its"))
-        chosen = written(chosen, "pivots")
+        place = F.row_number().over(Window.partitionBy("key").orderBy("h", "node"))
+        chosen = drawn.withColumn("place", place).where(F.col("place") <= pivots).select("key", F.col("node").alias("pivot"), F.col("own").alias("its"))
         met = members.join(chosen, "key").where("own <> its")
-        met = written(met.select("key", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "met")
-        pairs = met.select("a", "b").distinct()
+        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         fresh = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double"), "tested")
-        tested = fresh if tested is None else tested.union(fresh)
-        called = lambda side, name: classes.select(F.col("id").alias(side), F.col("class").alias(name))
+        tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
         links = fresh.where(F.col("similarity") >= threshold).join(called("a", "ca"), "a").join(called("b", "cb"), "b").where("ca <> cb")
-        links = written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
-        if not links.isEmpty():
-            joined = components(links).select(F.col("id").alias("class"), F.col("class").alias("root"))
-            classes = written(classes.join(joined, "class", "left").select("id", F.coalesce("root", "class").alias("class")), "classes")
-
-        # What is left of the buckets: all foreign members of a pivot have a known distance to it.
-        far = met.join(tested, ["a", "b"]).select("key", "node", "pivot", (1 - F.col("similarity")).alias("far"))
-        far = written(far.join(called("node", "own"), "node").join(called("pivot", "its"), "pivot"), "places")
-        gaps = far.where("own <> its").groupBy("key", "pivot").agg(F.min("far").alias("gap"))
-        settled = far.where("own = its").join(gaps, ["key", "pivot"], "left").where(F.col("gap").isNull() | (F.col("far") + (1 - threshold) < F.col("gap")))
-        gone = settled.select("key", "node").union(chosen.select("key", F.col("pivot").alias("node")))
-        rest = written(members.drop("own").join(gone, ["key", "node"], "left_anti").join(called("node", "own"), "node"), "rest")
-        open_ = rest.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("key")
-        members = written(rest.join(open_, "key").select("key", "node", "own"), "buckets")
-        number += 1
+        join_classes(written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links"))
+
+    if not members.isEmpty():
+        sizes = members.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("size"))
+        placed = members.join(largest.select("key", F.col("top.own").alias("main"), "size"), "key")
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(F.col("size") / BLOCK)))
+        placed = placed.join(signs, "node").join(texts, "node")
+        member = F.struct("node", "own", "sign", "text")
+        whole = placed.groupBy("key", "block").agg(F.collect_list(member).alias("y"))
+        foreign = placed.where("own <> main").groupBy("key", "block").agg(F.collect_list(member).alias("x"))
+        blocks_ = written(foreign.select("key", "x"), "foreign").join(written(whole.select("key", "y"), "blocks"), "key").select("x", "y")
+        links = blocks_.mapInArrow(_compare_blocks(threshold), "a long, b long")
+        join_classes(written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"))
 
     found = nodes.join(classes.select(F.col("id").alias("node"), "class"), "node", "left").select("of", "rep", F.coalesce("class", "node").alias("class"))
     smallest = found.groupBy("class").agg(F.min(F.struct("rep", "of")).alias("least"))
