@@ -30,35 +30,42 @@ NEIGHBOURS, REVERSE = 28, 20
 #: Starting blocks: how often all vectors are dealt into blocks, rows of a block, neighbours taken from it, pivots.
 STARTS, BLOCK, START_NEIGHBOURS, PIVOTS = 16, 1024, 12, 256
 ROUNDS, SETTLED = 4, 0.01
+#: Squared distances below this share of the squared lengths are taken from differences.
+CANCELS = 1e-6
 BEAM, EXPAND, ENTRIES = 160, 16, 256
 
 GRAPH = "u long, v long, dist double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an array column, or of packed vectors."""
+    """Rows of an array column in double precision."""
     if not len(column):
         return np.zeros((0, 0))
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def packed(nodes: DataFrame) -> DataFrame:
-    """(node, f): vectors as half floats in the range of the largest component, for growing the graph only."""
-    largest = nodes.select(F.max(F.array_max(F.transform("d", lambda x: F.abs(x))))).first()[0] or 1.0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = (_matrix(batch.column(1)) / largest).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "f"])
-
-    return nodes.select("node", "d").mapInArrow(run, "node long, f binary")
+    """(node, f): vectors for growing the graph, as floats if all components are floats, else as doubles; nothing is rounded."""
+    exact = F.forall("d", lambda x: x.cast("float").cast("double") == x)
+    floats = nodes.agg(F.min(exact)).first()[0]
+    return nodes.select("node", F.col("d").cast("array<float>" if floats else "array<double>").alias("f"))
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
-    sq = (x * x).sum(axis=1)
-    return np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * (x @ x.T), 0))
+    """Distances of all pairs of rows; where the product form cancels or overflows, from the differences."""
+    with np.errstate(all="ignore"):
+        sq = (x * x).sum(axis=1)
+        both = sq[:, None] + sq[None, :]
+        far = both - 2 * (x @ x.T)
+        rough = ~(far > CANCELS * both)
+        np.fill_diagonal(rough, False)
+        rows = np.flatnonzero(rough.any(axis=1))
+        for i in range(0, len(rows), 32):
+            a, b = np.nonzero(rough[rows[i : i + 32]])
+            a = rows[i + a]
+            gap = x[a] - x[b]
+            far[a, b] = (gap * gap).sum(axis=1)
+        return np.sqrt(np.maximum(far, 0))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -123,19 +130,20 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
 
 def _placed(nodes: DataFrame, pivots: np.ndarray, line: np.ndarray) -> DataFrame:
     """Nearest pivot of each half of ``pivots``, and the place along ``line``."""
-    half = len(pivots) // 2
-    first, second = pivots[: max(half, 1)], pivots[half:]
-    nearest = lambda x, c: ((c * c).sum(axis=1)[None] - 2 * (x @ c.T)).argmin(axis=1)
+    half, middle = len(pivots) // 2, np.median(pivots, axis=0)
+    first, second = pivots[: max(half, 1)] - middle, pivots[half:] - middle
+    nearest = lambda x, c: np.nan_to_num((c * c).sum(axis=1)[None] - 2 * (x @ c.T), nan=np.inf).argmin(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1))
-            code = nearest(x, first) * len(second) + nearest(x, second)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64)), pa.array((x @ line).astype(np.float64))], names=["node", "f", "code", "place"])
+            with np.errstate(all="ignore"):
+                x = _matrix(batch.column(1)) - middle
+                code, place = nearest(x, first) * len(second) + nearest(x, second), x @ line
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64)), pa.array(place)], names=["node", "f", "code", "place"])
 
-    return nodes.select("node", "f").mapInArrow(run, "node long, f binary, code long, place double")
+    return nodes.select("node", "f").mapInArrow(run, f"node long, f {dict(nodes.dtypes)['f']}, code long, place double")
 
 
 def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
@@ -149,7 +157,7 @@ def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
     random, starts = np.random.default_rng(seed), None
     for _ in range(STARTS):
         pivots = drawn[random.choice(len(drawn), min(count, len(drawn)), replace=False)]
-        line = random.standard_normal(drawn.shape[1]).astype(np.float32)
+        line = random.standard_normal(drawn.shape[1])
         placed = _placed(nodes, pivots, line).orderBy("code", "place", F.xxhash64("node"))
         found = placed.select("node", "f").mapInArrow(_nearest_in_blocks, GRAPH)
         starts = found if starts is None else starts.union(found)

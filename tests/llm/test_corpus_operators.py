@@ -141,6 +141,28 @@ def test_graph_search_recall(spark):
     assert np.mean(hits) >= 9
 
 
+def neighbour_hits(spark, x):
+    """Of the ten nearest of every 100th row, how many are found on average."""
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in nn_descent.nearest_rows(df, lambda i: i % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return np.mean([len(got[q] & set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11].tolist())) for q in range(0, len(x), 100)])
+
+
+def test_recall_with_a_huge_vector(spark):
+    x = np.random.default_rng(5).standard_normal((3000, 24))
+    x[1] = 1e8
+    assert neighbour_hits(spark, x) >= 9
+
+
+def test_recall_among_near_equal_vectors(spark):
+    random_ = np.random.default_rng(5)
+    x = random_.standard_normal((4000, 24))
+    x[::2] = x[0] + 1e-6 * random_.standard_normal((2000, 24))
+    assert neighbour_hits(spark, x) >= 9
+
+
 def test_surrogates(spark):
     rows = [
         (1, "write to the.72@mail3.example.com or THE.72@MAIL3.EXAMPLE.COM or b@mail3.example.com"), (2, "cards 4713676230380914, 4111 1111 1111 1111 and 4111-1111-1111-1111"),
