@@ -17,6 +17,8 @@ ties are exact however often a vector is repeated.
 
 from __future__ import annotations
 
+import itertools
+import logging
 import math
 from collections.abc import Callable, Iterator
 
@@ -26,10 +28,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.llm.common import written
 
+log = logging.getLogger(__name__)
+
 NEIGHBOURS, REVERSE = 28, 20
-#: Starting blocks: how often all vectors are dealt into blocks, rows of a block, neighbours taken from it, pivots.
-STARTS, BLOCK, START_NEIGHBOURS, PIVOTS = 16, 1024, 12, 256
-ROUNDS, SETTLED = 4, 0.01
+#: Starting blocks: rows of a block, neighbours taken from it.
+BLOCK, START_NEIGHBOURS = 1024, 12
+#: For up to 2 ** GROWS_FROM vectors: how often all are dealt into blocks, pivots of a half; beyond, they grow with log n.
+STARTS, PIVOTS, GROWS_FROM = 16, 256, 13
+#: Rounds go on until at most this share of the list entries is new.
+SETTLED = 0.01
 #: Squared distances below this share of the squared lengths are taken from differences.
 CANCELS = 1e-6
 BEAM, EXPAND, ENTRIES = 160, 16, 256
@@ -37,6 +44,11 @@ BEAM, EXPAND, ENTRIES = 160, 16, 256
 GRAPH = "u long, v long, dist double"
 
 
+def grown(least: int, n: int) -> int:
+    """``least``, times log n over ``GROWS_FROM`` for larger ``n``."""
+    return max(least, math.ceil(least * math.log2(max(n, 1)) / GROWS_FROM))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of an array column in double precision."""
     if not len(column):
@@ -151,11 +163,11 @@ def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
     n = nodes.count()
     if n == 0:
         return nodes.sparkSession.createDataFrame([], GRAPH)
-    # A fixed number of vectors serves as pivots; pivots go to all tasks.
-    count = max(2, min(2 * PIVOTS, n // 32))
-    drawn = _matrix(nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(count * STARTS).select("f").toArrow()["f"].combine_chunks())
+    # Pivots go to all tasks; their number grows with log n.
+    dealt, count = grown(STARTS, n), max(2, min(2 * grown(PIVOTS, n), n // 32))
+    drawn = _matrix(nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(count * dealt).select("f").toArrow()["f"].combine_chunks())
     random, starts = np.random.default_rng(seed), None
-    for _ in range(STARTS):
+    for _ in range(dealt):
         pivots = drawn[random.choice(len(drawn), min(count, len(drawn)), replace=False)]
         line = random.standard_normal(drawn.shape[1])
         placed = _placed(nodes, pivots, line).orderBy("code", "place", F.xxhash64("node"))
@@ -163,11 +175,14 @@ def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
         starts = found if starts is None else starts.union(found)
     graph = _nearest(starts.groupBy("u", "v").agg(F.min("dist").alias("dist")), NEIGHBOURS).withColumn("fresh", F.lit(True))
     graph = written(graph, "graph")
-    for number in range(ROUNDS):
+    # A round only brings nearer neighbours into lists, so rounds come to an end without a bound.
+    for number in itertools.count():
         listed = graph.groupBy("v").agg(F.count(F.lit(1)).alias("times"))
         back = graph.join(listed, "v").where(F.pmod(F.xxhash64("u", "v", F.lit(number)), F.col("times")) < REVERSE)
         members = graph.select("u", F.col("v").alias("m"), "fresh").union(back.select(F.col("v").alias("u"), F.col("u").alias("m"), "fresh"))
-        members = members.groupBy("u", "m").agg(F.max("fresh").alias("fresh"))
+        members = written(members.groupBy("u", "m").agg(F.max("fresh").alias("fresh")), "members")
+        # Lists without a new member have been compared.
+        members = members.join(members.where("fresh").select("u").distinct(), "u", "left_semi")
         radius = graph.groupBy("u").agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n"))
         radius = radius.select(F.col("u").alias("m"), F.when(F.col("n") < NEIGHBOURS, float("inf")).otherwise(F.col("radius")).alias("radius"))
         vectors = nodes.select(F.col("node").alias("m"), "f").join(radius, "m", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
@@ -175,22 +190,28 @@ def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
         better = lists.select("l").mapInArrow(_compare_lists, GRAPH)
         both = graph.select("u", "v", "dist", F.lit(False).alias("fresh")).union(better.withColumn("fresh", F.lit(True)))
         graph = written(_nearest(both.groupBy("u", "v").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh")), NEIGHBOURS), "graph")
-        if graph.where("fresh").count() <= SETTLED * NEIGHBOURS * n:
+        new = graph.where("fresh").count()
+        log.info("op4 round %d: %d of %d list entries are new", number + 1, new, NEIGHBOURS * n)
+        nodes.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of past rounds go only with their garbage
+        if new <= SETTLED * NEIGHBOURS * n:
             break
     return graph.select("u", "v", "dist")
 
 
-def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, seed: int = 11) -> DataFrame:
+def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int | None = None, seed: int = 11) -> DataFrame:
     """The ``beam`` nearest nodes found for each query: (q, v, dist).
 
     ``nodes`` (node, d array<double>), ``queries`` (q, x array<double>).  All
-    queries begin at the same ``ENTRIES`` nodes, whose vectors are broadcast
-    (a fixed number), and those that are nodes themselves also at their own.
+    queries begin at the same nodes, whose vectors are broadcast (``ENTRIES``,
+    growing with log n as the beam does), and those that are nodes themselves
+    also at their own.
     """
+    n = nodes.count()
+    beam = beam or grown(BEAM, n)
     listed = graph.groupBy("v").agg(F.count(F.lit(1)).alias("times"))
     back = graph.join(listed, "v").where(F.pmod(F.xxhash64("u", "v"), F.col("times")) < 2 * NEIGHBOURS)
     links = written(graph.select("u", "v").union(back.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    chosen = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(ENTRIES).toArrow()
+    chosen = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(grown(ENTRIES, n)).toArrow()
     entry_ids, entries = chosen["node"].to_numpy(), _matrix(chosen["d"].combine_chunks()) if len(chosen) else np.zeros((0, 0))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -163,6 +163,22 @@ def test_recall_among_near_equal_vectors(spark):
     assert neighbour_hits(spark, x) >= 9
 
 
+def test_rounds_until_lists_settle(spark, monkeypatch, caplog):
+    """From a poor start, with no new entry allowed, more than four rounds are run and the last brings nothing new."""
+    x = np.random.default_rng(8).standard_normal((2000, 8))
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node long, d array<double>")
+    for name, value in (("START_NEIGHBOURS", 2), ("STARTS", 3), ("BLOCK", 16), ("SETTLED", 0)):
+        monkeypatch.setattr(nn_descent, name, value)
+    with caplog.at_level("INFO", logger=nn_descent.__name__):
+        nn_descent.build(nn_descent.packed(nodes))
+    rounds = [r.getMessage() for r in caplog.records if r.name == nn_descent.__name__]
+    assert len(rounds) > 4 and ": 0 of " in rounds[-1]
+
+
+def test_parameters_grow_with_log_n():
+    assert nn_descent.grown(16, 0) == nn_descent.grown(16, 2**13) == 16 < nn_descent.grown(16, 10**5) < nn_descent.grown(16, 10**7) == 29
+
+
 def test_surrogates(spark):
     rows = [
         (1, "write to the.72@mail3.example.com or THE.72@MAIL3.EXAMPLE.COM or b@mail3.example.com"), (2, "cards 4713676230380914, 4111 1111 1111 1111 and 4111-1111-1111-1111"),
