@@ -107,21 +107,10 @@ def targets(sources: DataFrame) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document goes into the mix.
-
-    Returns ``id_col``, ``source_col``, ``size`` (words of the text),
-    ``source_size``, ``target`` (of its source), ``copies`` and ``taken``
-    (``size * copies``), one row per input row, and ``row_hash``.
-
-    A null text has size 0 and takes nothing; a null source is a source of its
-    own, last in order; null ids are allowed.  Repeated rows are separate
-    documents.  An empty table, or one without a word, gives targets of 0.
-    Further columns are dropped.
-    """
-    own = narrow(docs, **{id_col: "long", source_col: "string", text_col: "string"}).toDF("id", "source", "text")
+def _chosen(own: DataFrame, seed: int) -> DataFrame:
+    """Copies of each of (row, id, source, text, rest); ``rest`` tells rows apart whose other columns differ."""
     own = own.select(
-        "id", "source", F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long").alias("size"),
+        "row", "rest", "id", "source", F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long").alias("size"),
         F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("skey"),
         row_hash(seed, F.col("id"), F.coalesce("text", F.lit(""))).alias("h"),
     )
@@ -133,14 +122,46 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
     fitted = cells.join(sources.select("skey", "target"), "skey").groupBy("skey").applyInPandas(_fit, "skey string, size long, passes long, extra long")
     plan = written(cells.select("skey", "size", "n").join(fitted, ["skey", "size"]), "plan")
     # Documents of one source and length are dealt into small cells by hash; cells are filled in order.
-    dealt = written(own.join(plan, ["skey", "size"]).withColumn("cell", F.pmod("h", F.ceil(F.col("n") / CELL))), "dealt")
-    filled = dealt.groupBy("skey", "size", "cell").agg(F.count(F.lit(1)).alias("in_cell"))
+    # Equal rows are counted, not ranked: the group of them in which the extra passes end is found first.
+    dealt = own.join(plan, ["skey", "size"]).withColumn("cell", F.pmod("h", F.ceil(F.col("n") / CELL)))
+    dealt = written(dealt.withColumn("group", F.struct("cell", "h", F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "rest")), "dealt")
+    groups = written(dealt.groupBy("skey", "size", "extra", "cell", "group").agg(F.count(F.lit(1)).alias("m")), "groups")
+    filled = groups.groupBy("skey", "size", "cell").agg(F.sum("m").alias("in_cell"))
     before = F.sum("in_cell").over(Window.partitionBy("skey", "size").orderBy("cell")) - F.col("in_cell")
-    filled = written(filled.select("skey", "size", "cell", before.alias("before")), "filled")
-    place = F.row_number().over(Window.partitionBy("skey", "size", "cell").orderBy("h", "id"))
-    chosen = dealt.join(filled, ["skey", "size", "cell"]).withColumn("copies", F.col("passes") + (F.col("before") + place <= F.col("extra")).cast("long"))
-    out = chosen.join(sources, "skey")
-    return out.select(
+    filled = filled.select("skey", "size", "cell", before.alias("before"))
+    within = F.sum("m").over(Window.partitionBy("skey", "size", "cell").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    ends = groups.join(filled, ["skey", "size", "cell"]).withColumn("before", F.col("before") + within)
+    ends = ends.where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("m")))
+    ends = written(ends.select("skey", "size", F.col("group").alias("end"), "m", (F.col("extra") - F.col("before")).alias("share")), "ends")
+    met = dealt.join(ends, ["skey", "size"], "left")
+    split = F.coalesce((F.col("group") == F.col("end")) & (F.col("share") < F.col("m")), F.lit(False))
+    fields = ["row", "id", "source", "skey", "size", "h"]
+    whole = met.where(~split).select(*fields, (F.col("passes") + F.coalesce(F.col("group") <= F.col("end"), F.lit(False)).cast("long")).alias("copies"))
+    # Rows of a group that gets a part are equal; any will do, so they are dealt out by row.
+    parts = met.where(split).withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / CELL)))
+    sums = parts.groupBy("skey", "size", "part").agg(F.count(F.lit(1)).alias("in_part"))
+    ahead = F.sum("in_part").over(Window.partitionBy("skey", "size").orderBy("part")) - F.col("in_part")
+    parts = parts.join(sums.select("skey", "size", "part", ahead.alias("ahead")), ["skey", "size", "part"])
+    place = F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("row"))
+    parts = parts.withColumn("place", F.col("ahead") + place).select(*fields, (F.col("passes") + (F.col("place") <= F.col("share")).cast("long")).alias("copies"))
+    return whole.union(parts).join(sources, "skey")
+
+
+def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How often each document goes into the mix.
+
+    Returns ``id_col``, ``source_col``, ``size`` (words of the text),
+    ``source_size``, ``target`` (of its source), ``copies`` and ``taken``
+    (``size * copies``), one row per input row, and ``row_hash``.
+
+    A null text has size 0 and takes nothing; a null source is a source of its
+    own, last in order; null ids are allowed.  Repeated rows are separate
+    documents.  An empty table, or one without a word, gives targets of 0.
+    Further columns are dropped.
+    """
+    own = narrow(docs, **{id_col: "long", source_col: "string", text_col: "string"}).toDF("id", "source", "text")
+    chosen = _chosen(own.withColumn("row", F.monotonically_increasing_id()).withColumn("rest", F.lit(0).cast("long")), seed)
+    return chosen.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
         F.col("h").alias("row_hash"),
     )
@@ -154,12 +175,13 @@ def row_hash(seed: int, doc_id: Column, text: Column) -> Column:
 def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs``, all its columns, as often as ``mix`` takes it.  Columns beginning with ``_mix_`` are dropped."""
     keep = [c for c in docs.columns if not c.startswith("_mix_")]
-    shares = mix(docs, seed, id_col, text_col, source_col).select(F.coalesce(id_col, F.lit(-1)).alias("_mix_id"), F.col("row_hash").alias("_mix_hash"), "copies")
-    # Rows that are repeated share a hash; each takes one of their shares.
-    shares = shares.groupBy("_mix_id", "_mix_hash").agg(F.sort_array(F.collect_list("copies")).alias("_mix_copies"))
-    own = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_mix_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1)))
-    own = own.withColumn("_mix_hash", row_hash(seed, F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    own = own.join(shares, ["_mix_id", "_mix_hash"])
-    place = F.row_number().over(Window.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_hash"))
-    own = own.withColumn("_mix_times", F.get("_mix_copies", F.when(F.size("_mix_copies") > 1, place).otherwise(1) - 1).cast("int")).where("_mix_times > 0")
+    own = docs.select(*[F.col(f"`{c}`") for c in keep])
+    # Rows are named by a written key, so each meets its own number of copies.
+    own = written(own.withColumn("_mix_row", F.monotonically_increasing_id()), "rows")
+    named = own.select(
+        F.col("_mix_row").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
+        F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in keep]).alias("rest"),
+    )
+    shares = _chosen(named, seed).where("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").cast("int").alias("_mix_times"))
+    own = own.join(shares, "_mix_row")
     return own.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[F.col(f"`{c}`") for c in keep])

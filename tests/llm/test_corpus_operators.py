@@ -274,6 +274,21 @@ def test_mixing(spark):
     assert mixing.mix(empty(df)).count() == 0 and mixing.mixed(empty(df)).count() == 0
 
 
+def test_copies_under_two_sources(spark):
+    """Equal id and text under two sources: each source keeps its own share, and equal rows beyond one cell are all counted."""
+    rows = [(None, "same words here", s, n) for s, m in (("a", 700), ("b", 40)) for n in range(m)] + [(i, "w " * (i % 5 + 1), "c", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang long")
+    want: dict = {}
+    for r in mixing.mix(df).collect():
+        want[r.source] = want.get(r.source, 0) + r.copies
+    outcomes = []
+    for n in (1, 7):
+        got = sorted(map(str, mixing.mixed(df.repartition(n)).collect()))
+        assert {s: sum(f"source='{s}'" in g for g in got) for s in want} == want
+        outcomes.append(got)
+    assert outcomes[0] == outcomes[1]
+
+
 def page_rows():
     return [(1, "u", "a" * 2000), (2, "u", "a" * 2000), (3, None, None), (None, "x y\n", "a" * 2000), (5, "u", "é" * 600), (6, "u", "é" * 600), (6, "u", "é" * 600),
             (7, "u", "small"), (8, "u", "small"), (9, "", ""), (10, "u", "b" * 999), (11, "u", "b" * 999), (12, "u", "c" * 1000), (13, "u", "c" * 1000), (14, "big", "xyz" * 400000)]
