@@ -11,6 +11,7 @@ margins are turned into probabilities on rows of the sample left out of the fit.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from barloom.llm.common import narrow
 from barloom.llm.textblocks import Block, blocks, mix
 
+log = logging.getLogger(__name__)
+
 BITS = 17
 FEATURES = 1 << BITS
 #: Labelled rows the hinge-loss model is fitted on; all other counts cover every labelled row.
 SAMPLE = 6000
+#: ``ROUNDS`` bounds the passes of the descent; where it has not settled by then, the duality gap is logged.
 SMOOTHING, COST, ROUNDS, PULL = 1.0, 0.5, 30, 0.25
+#: Runs of one repeated word are told apart up to this length; longer ones have the features of this one.
 LONGEST_RUN = 12
 CALIBRATION_SHARE = 4  # one row in so many
 THRESHOLD = 0.3
@@ -96,23 +101,27 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray,
     """
     sign = np.where(labels == 1, 1.0, -1.0)
     cost = COST * len(labels) / (2 * np.where(labels == 1, max((labels == 1).sum(), 1), max((labels == 0).sum(), 1)))
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
-    norm = np.array([v @ v + 1.0 for v in values])
+    values = lambda i: ratio[rows[i]] / np.sqrt(max(len(rows[i]), 1))  # noqa: E731  kept for no row: they would weigh more than the rows
+    norm = np.array([(v := values(i)) @ v + 1.0 for i in range(len(rows))])
     weights, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(seed)
     for _ in range(ROUNDS):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            gradient = sign[i] * (weights[rows[i]] @ values[i] + bias) - 1
+            value = values(i)
+            gradient = sign[i] * (weights[rows[i]] @ value + bias) - 1
             new = min(max(dual[i] - gradient / norm[i], 0.0), cost[i])
             step = (new - dual[i]) * sign[i]
             if step:
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * value
                 bias += step
                 dual[i] = new
                 moved = max(moved, abs(step))
         if moved < 1e-4:
             break
+    else:
+        margin = np.array([weights[r] @ values(i) for i, r in enumerate(rows)]) + bias
+        log.info("op2: the descent ended after %d rounds at a duality gap of %.3g", ROUNDS, weights @ weights + bias * bias + cost @ np.maximum(0, 1 - sign * margin) - dual.sum())
     return weights, bias
 
 
@@ -189,8 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     """Learn from the labelled rows that are not held out.
 
     The counts cover all of them.  The driver gets those counts (at most
-    ``FEATURES`` rows) and the features of about ``sample`` rows chosen by a
-    seeded hash.  A document with several labels counts as the highest; null
+    ``FEATURES`` rows) and the features of about ``sample`` rows, never more
+    than twice as many, chosen by a seeded hash; a row that is repeated is
+    chosen once.  A document with several labels counts as the highest; null
     ids and null labels teach nothing.
     """
     own = narrow(docs, doc_id="long", text="string").where(F.col("doc_id").isNotNull())
@@ -200,15 +210,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
         marks = F.broadcast(marks)
     rows = own.join(marks, "doc_id")
     counted = rows.select("text", "label").mapInArrow(_counts, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = counted.toPandas()
+    found = counted.toArrow()
     table = np.zeros((FEATURES + 1, 2))
-    table[found["feature"].to_numpy(int)] = found[["n0", "n1"]].to_numpy(float)
+    table[found["feature"].to_numpy()] = np.column_stack([found["n0"].to_numpy(), found["n1"].to_numpy()])
+    del found
     share = min(1.0, sample / max(n, 1))
     chosen = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    picked = rows.where(chosen).select("doc_id", "label", "text").mapInArrow(_rows, "doc_id long, label int, features array<int>").toArrow()
-    picked = picked.take(np.lexsort((picked["label"].to_numpy(), picked["doc_id"].to_numpy()))) if len(picked) else picked
-    sets = [np.asarray(r, np.int64) for r in picked["features"].to_pylist()]
-    return train(sets, picked["label"].to_numpy().astype(int), table[:-1], (float(table[-1, 0]), float(table[-1, 1])))
+    picked = rows.where(chosen).dropDuplicates(["doc_id", "text"]).select("doc_id", "label", "text").mapInArrow(_rows, "doc_id long, label int, features array<int>")
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(2 * sample).toArrow()
+    sets = [part for chunk in picked["features"].chunks if len(chunk) for part in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
+    order = np.lexsort((picked["label"].to_numpy(), picked["doc_id"].to_numpy()))
+    return train([sets[i] for i in order], picked["label"].to_numpy().astype(int)[order], table[:-1], (float(table[-1, 0]), float(table[-1, 1])))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
