@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, licenses, line_rules, mixing, nbsvm, nn_descent, pii, prob_minhash, unigram_counts, warc
+from barloom.llm import bond, bpe, language, licenses, line_rules, merkle, mixing, nbsvm, nn_descent, pii, prob_minhash, unigram_counts, warc
 from barloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,84 @@ def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_nn_descent"] = op4_nn_descent
+
+
+def op11_bond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, shifted)
+
+
+QUERIES["op11_bond"] = op11_bond
+ORACLES["op11_bond"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+        list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS c
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, v.r AS o, v.vec_id AS id, v.label = a.label AS same, CAST(list_inner_product(a.c, v.c) AS BIGINT) AS score
+    FROM v a JOIN v ON a.r <> v.r AND len(a.c) = len(v.c) WHERE a.vec_id % 50 = 0),
+p AS (SELECT r, anchor_id, o, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id NULLS LAST, o) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.o ORDER BY s.score DESC, s.id NULLS LAST, s.o) AS k
+    FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
+
+
+def op12_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op12_bigru"] = op12_bigru
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in SQL, four bits at a time."""
+    steps = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        steps.append(i)
+    half = lambda a: f"xor(({a}) >> 4, {steps}[(({a}) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: {half(half('xor(a, b)'))}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Levels of runs of 16 up to 16 ** ``levels`` leaves, first of each source, then of the sources."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    field = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    parts = [
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS now FROM documents)",
+        "s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS src, count(*) OVER () AS many FROM (SELECT DISTINCT source FROM d))",
+        "a0 AS (SELECT r, doc_id, leaf, now, src, many, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)",
+        "l0 AS (SELECT src, i, leaf AS digest, n FROM a0)",
+        "f0 AS (SELECT r, src, i, now AS acc, '' AS proof FROM a0)",
+    ]
+    for part in range(2):
+        for k in range(part * levels, (part + 1) * levels):
+            parts += [
+                f"r{k} AS (SELECT src, i >> 4 AS run, list(digest ORDER BY i) AS ch, any_value(n) AS n FROM l{k} WHERE n > 1 GROUP BY ALL)",
+                f"l{k + 1} AS (SELECT src, run AS i, sha256(array_to_string(ch, '')) AS digest, (n + 15) // 16 AS n FROM r{k} UNION ALL SELECT src, i, digest, n FROM l{k} WHERE n = 1)",
+                f"""f{k + 1} AS (SELECT r, src, CASE WHEN ch IS NULL THEN i ELSE run END AS i,
+                    CASE WHEN ch IS NULL THEN acc ELSE sha256(array_to_string(ch[:i & 15], '') || acc || array_to_string(ch[(i & 15) + 2:], '')) END AS acc,
+                    CASE WHEN ch IS NULL THEN proof ELSE proof || array_to_string(ch[:i & 15], '') || array_to_string(ch[(i & 15) + 2:], '') END AS proof
+                    FROM f{k} LEFT JOIN (SELECT src AS s2, run, ch FROM r{k}) ON src = s2 AND run = i >> 4)""",
+            ]
+        if not part:  # the subroots are the leaves of the upper tree
+            k = levels
+            parts[-2] = parts[-2].replace(f"l{k} AS", "sub AS")
+            parts[-1] = parts[-1].replace(f"f{k} AS", "g AS")
+            parts += [f"l{k} AS (SELECT 0 AS src, src AS i, digest, (SELECT count(*) FROM sub) AS n FROM sub)", f"f{k} AS (SELECT r, 0 AS src, src AS i, acc, proof FROM g)"]
+    last = 2 * levels
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, sub.digest AS subroot, l{last}.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = l{last}.digest AS verified
+FROM a0 JOIN f{last} USING (r) JOIN sub ON sub.src = a0.src JOIN l{last} ON true"""
+
+
+QUERIES["op13_merkle"] = op13_merkle
+ORACLES["op13_merkle"] = _merkle_sql()
