@@ -179,7 +179,7 @@ def test_model_round_trip_and_purge(spark, tmp_path):
     s = learning.Split("2020-09-30", "2020-10-01", "2020-12-15", "2020-12-16", 300, 100, (50, 20, 10))
     split = learning.purged_split(df, ["f1"], s)
     assert split.where("part = 'train' AND label_end > '2020-09-30'").count() == 0
-    model = learning.train(split, ["f1", "f2"], learning.Trees(depth=2, rounds=5, min_rows=1))
+    model = learning.train(split, ["f1", "f2"], learning.Boosting(depth=2, rounds=5, min_rows=1, rate=0.3))
     m = learning.metrics(model, split)
     assert m["test_auc"] > 0.9
     learning.save(model, str(tmp_path), "m", m)
