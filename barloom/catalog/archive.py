@@ -10,9 +10,11 @@ from barloom.catalog.scores import FUNDAMENTALS
 from barloom.functions import market, scoring
 from barloom.functions.outcomes import valid_bar, valid_bar_tolerant
 from barloom.operators import quality
+from barloom.operators.lineage import materialize
 from barloom.plans import tables
 from barloom.plans.tables import daily_bars, index_bars, read
 from barloom.sources import archive, parsing
+from barloom.sources.barstore import BarStore
 from barloom.streaming.ticks import work_folder
 
 c = F.col
@@ -112,8 +114,14 @@ def _upsert_inputs(spark, sf):
 
 
 def _upsert(spark, sf):
-    gate = archive.gate_upsert(*_upsert_inputs(spark, sf))
-    return tidy(gate)
+    """The gate of each symbol, and its bars after the accepted ones have been merged into a bar store of their own."""
+    old, batch, provenance = _upsert_inputs(spark, sf)
+    gate = materialize(archive.gate_upsert(old, batch, provenance))
+    store = BarStore(spark, work_folder(spark))
+    store.write(old)
+    store.merge(batch.join(gate.where("accepted").select("symbol"), "symbol", "left_semi"))
+    after = store.read().groupBy("symbol").agg(F.count("*").alias("rows"), F.max("date").alias("last"))
+    return tidy(gate.join(after, "symbol", "left"))
 
 
 register(
@@ -121,7 +129,7 @@ register(
     _upsert,
     query(
         BARS,
-        "SELECT symbol, CASE WHEN k%5=0 THEN 'B' ELSE 'A' END AS provider, 'raw' AS basis, CASE WHEN n=0 THEN NULL WHEN k%5=0 THEN 'unknown_or_changed_provider_basis' WHEN k%3=0 AND y>0 THEN 'partial_history_requires_review' END AS reason, cast(CASE WHEN n=0 THEN true ELSE NOT (k%5=0 OR (k%3=0 AND y>0)) END AS bigint) AS accepted FROM (SELECT symbol, cast(substr(symbol,2) AS bigint) AS k, count(*) FILTER (WHERE date<='2000-06-30') AS n, count(*) FILTER (WHERE year(date)=1997) AS y FROM b GROUP BY 1)",
+        "SELECT symbol, CASE WHEN k%5=0 THEN 'B' ELSE 'A' END AS provider, 'raw' AS basis, CASE WHEN n=0 THEN NULL WHEN k%5=0 THEN 'unknown_or_changed_provider_basis' WHEN k%3=0 AND y>0 THEN 'partial_history_requires_review' END AS reason, cast(taken AS bigint) AS accepted, nullif(CASE WHEN NOT taken THEN n WHEN k%3=0 THEN total-y+least(n,y) ELSE total END,0) AS rows, strftime(CASE WHEN NOT taken THEN old_last WHEN k%3=0 THEN coalesce(greatest(new_last,old_last),new_last,old_last) ELSE last END,'%Y-%m-%d') AS last FROM (SELECT *, CASE WHEN n=0 THEN true ELSE NOT (k%5=0 OR (k%3=0 AND y>0)) END AS taken FROM (SELECT symbol, cast(substr(symbol,2) AS bigint) AS k, count(*) AS total, max(date) AS last, max(date) FILTER (WHERE date<='2000-06-30') AS old_last, max(date) FILTER (WHERE year(date)<>1997) AS new_last, count(*) FILTER (WHERE date<='2000-06-30') AS n, count(*) FILTER (WHERE year(date)=1997) AS y FROM b GROUP BY 1))",
     ),
 )
 register(

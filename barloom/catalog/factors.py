@@ -11,7 +11,7 @@ from barloom.catalog.scores import FUNDAMENTALS, SCAN, r
 from barloom.functions import indicators as ind, outcomes as out, scoring
 from barloom.functions.scoring import rnd
 from barloom.functions.windows import lag as wlag, tail as wtail
-from barloom.operators import pullback
+from barloom.operators import pullback, quality
 from barloom.plans import scan, tables
 from barloom.plans.tables import bars, index_series
 
@@ -442,31 +442,61 @@ register(
 )
 
 
+#: The moment the registered scan is made: the session of that day is not over.
+SCAN_TIME, LAST_SESSION = "2001-11-04 14:00:00", "2001-11-03"
+FUNDAMENTAL_COLUMNS = ("fund_score", "roe", "debt_equity", "revenue_growth", "earnings_growth", "net_margin", "sector", "industry")
+
+
 def swing_scan(spark, sf):
-    """The screening result: newest bar of each symbol, scored, labelled, gated and ordered."""
-    df = scan.scan(spark, sf).withColumn("data_confidence", scoring.data_confidence())
-    df = last_rows(df.select("symbol", "rn", "date", "score100", "score_verdict", "data_confidence", "sl_buy", "target1", "target2"))
-    df = df.join(liquidity(bars(spark, sf), FLOOR).select("symbol", "tradeable"), "symbol", "left")
-    session = bars(spark, sf).agg(F.max("date").alias("d"))
-    reasons = scoring.tags(
-        ("liquidity_failed_or_unknown", ~F.coalesce("tradeable", F.lit(False))),
-        ("stale_or_incomplete_session", F.datediff(session.select("d").scalar(), c("date")) > 30),
-    )
-    df = df.withColumns({"reasons": F.concat_ws("|", reasons), "screen_eligible": F.size(reasons) == 0})
-    df = df.withColumn("setup_status", F.when(c("screen_eligible"), "WATCH").otherwise("AVOID"))
+    """The screening result: newest completed bar of each symbol, scored, labelled, with fundamentals, gated and ordered.
+
+    The gate wants a tradeable row of the reference session that the written
+    risk registry does not block.
+    """
+    t = tables.stored(spark, sf)
+    df = scan.scan_newest(spark, sf, SCAN_TIME).withColumn("data_confidence", scoring.data_confidence())
+    df = df.select("symbol", c("date").alias("bar_date"), "score100", "score_verdict", "data_confidence", "sl_buy", "target1", "target2")
+    df = df.join(liquidity(quality.completed_sessions(t.bars, SCAN_TIME), FLOOR).select("symbol", "tradeable"), "symbol", "left")
+    reference = scan.with_fund_score(tables.fundamentals(spark, sf)).select("symbol", *FUNDAMENTAL_COLUMNS)
+    df = df.join(reference, "symbol", "left")
+    session = quality.completed_sessions(t.index, SCAN_TIME).agg(F.max("date").alias("d")).select("d").scalar()
+    df = quality.eligibility(df, session, written_registry(spark, sf))
+    status = F.when(c("screen_eligible"), "WATCH").otherwise("AVOID")
     return tidy(
-        df.select("symbol", "date", "score100", "score_verdict", "data_confidence", "sl_buy", "target1", "target2", "screen_eligible", "reasons", "setup_status")
-        .orderBy(c("screen_eligible").desc(), c("score100").desc(), "symbol")
+        df.select(
+            "symbol", c("bar_date").alias("date"), "score100", "score_verdict", "data_confidence", "sl_buy", "target1", "target2", *FUNDAMENTAL_COLUMNS,
+            c("fund_score").isNotNull().alias("fundamentals_available"), "screen_eligible", F.concat_ws("|", "eligibility_reasons").alias("reasons"),
+            "financial_review_status", status.alias("setup_status"),
+        ).orderBy(c("screen_eligible").desc(), c("score100").desc(), "symbol")
     )
 
 
+def written_registry(spark, sf):
+    """The risk registry, written as JSON lines and read back strictly."""
+    from barloom.streaming.ticks import work_folder
+
+    path = work_folder(spark)
+    risks(spark, sf).write.json(path)
+    return quality.load_risks(spark, path, multi_line=False)
+
+
+def risks(spark, sf):
+    f = tables.fundamentals(spark, sf)
+    return f.where(c("banned") | c("oi_spurt")).select("symbol", F.when(c("banned"), "blocked").otherwise("watch").alias("status"))
+
+
 register(
     "p47_swing_scan",
     swing_scan,
     query(
-        [*SCAN, LIQUIDITY, "zl AS (SELECT symbol, max(rn) AS rn FROM z GROUP BY 1)"],
-        f"""SELECT symbol, strftime(date,'%Y-%m-%d') AS date, score100, score_verdict, data_confidence, round(sl_buy,4)+0.0::double AS sl_buy, round(target1,4)+0.0::double AS target1, round(target2,4)+0.0::double AS target2, cast(rs0='' AS bigint) AS screen_eligible, rs0 AS reasons, CASE WHEN rs0='' THEN 'WATCH' ELSE 'AVOID' END AS setup_status
-  FROM (SELECT z.*, concat_ws('|', CASE WHEN NOT coalesce(median_turnover>=230000 AND trading_days_pct>=80,false) THEN 'liquidity_failed_or_unknown' END, CASE WHEN date_diff('day', date, (SELECT max(date) FROM b))>30 THEN 'stale_or_incomplete_session' END) AS rs0 FROM z JOIN zl USING (symbol, rn) LEFT JOIN lq USING (symbol))""",
+        [*SCAN, LIQUIDITY.replace("FROM b)", f"FROM b WHERE date<='{LAST_SESSION}')"), f"zl AS (SELECT symbol, max(rn) AS rn FROM z WHERE date<='{LAST_SESSION}' GROUP BY 1)"],
+        f"""SELECT symbol, strftime(date,'%Y-%m-%d') AS date, score100, score_verdict, data_confidence, round(sl_buy,4)+0.0::double AS sl_buy, round(target1,4)+0.0::double AS target1, round(target2,4)+0.0::double AS target2,
+    CASE WHEN roe IS NOT NULL THEN round(score_a,4)+0.0::double END AS fund_score, round(roe,4)+0.0::double AS roe, round(debt_equity,4)+0.0::double AS debt_equity, round(revenue_growth,4)+0.0::double AS revenue_growth,
+    round(earnings_growth,4)+0.0::double AS earnings_growth, round(net_margin,4)+0.0::double AS net_margin, sector, industry, cast(roe IS NOT NULL AS bigint) AS fundamentals_available,
+    cast(rs0='' AS bigint) AS screen_eligible, rs0 AS reasons, CASE WHEN banned THEN 'blocked' WHEN oi_spurt THEN 'watch' ELSE 'unreviewed' END AS financial_review_status, CASE WHEN rs0='' THEN 'WATCH' ELSE 'AVOID' END AS setup_status
+  FROM (SELECT symbol, z.date, score100, score_verdict, data_confidence, sl_buy, target1, target2, f.roe, f.debt_equity, f.revenue_growth, f.earnings_growth, f.net_margin, f.sector, f.industry, f.score_a, f.banned, f.oi_spurt,
+    concat_ws('|', CASE WHEN NOT coalesce(median_turnover>=230000 AND trading_days_pct>=80,false) THEN 'liquidity_failed_or_unknown' END, CASE WHEN z.date<>(SELECT max(date) FROM ix WHERE date<='{LAST_SESSION}') THEN 'stale_or_incomplete_session' END,
+      CASE WHEN f.banned THEN 'material_financial_risk' END) AS rs0 FROM z JOIN zl USING (symbol, rn) LEFT JOIN lq USING (symbol) LEFT JOIN ffa f USING (symbol))""",
         True,
     ),
 )

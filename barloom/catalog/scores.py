@@ -162,7 +162,7 @@ TECHNICAL = [*TECH, SUPERTREND, PSAR, PATTERNS, SWINGS, WEEKS, INDEX, STRENGTH,
 
 def _from_technical(*names: str):
     return lambda spark, sf: tidy(
-        scan.technical_rows(bars(spark, sf), tables.index_series(spark, sf)).select("symbol", "date", *names)
+        scan.technical(spark, sf).select("symbol", "date", *names)
     )
 
 
@@ -189,7 +189,7 @@ register(
 
 
 def _indicator_points(spark, sf):
-    df = scan.technical_rows(bars(spark, sf), tables.index_series(spark, sf))
+    df = scan.technical(spark, sf)
     return tidy(df.select("symbol", "date", "ind_points", F.concat_ws("|", "ind_signals").alias("ind_signals")))
 
 

@@ -183,19 +183,20 @@ def index_strength(index: DataFrame) -> DataFrame:
     return index.select("date", F.col("rn").alias("_ixn"), *cols, frame_array(F.col("close"), 52).alias("_ix52"))
 
 
-def with_strength(df: DataFrame, index: DataFrame) -> DataFrame:
+def with_strength(df: DataFrame, index: DataFrame, bounded: bool = False) -> DataFrame:
     """Relative strength against the index, the 0-100 composite and the 52-bar ratio line.
 
     Windows count rows on each side, not dates.  The index has one row per
-    session, so the join key (date) is never skewed on that side; AQE
-    broadcasts it while it is small.
+    session; where its caller has counted them (``bounded``) it is broadcast
+    and the bars stay where they are, else both sides meet by date.
     """
     df = df.select(
         "*",
         *[((F.col("close") / lag("close", p - 1) - 1.0) * 100.0).alias(f"_r{p}") for p in STRENGTH_PERIODS],
         frame_array(F.col("close"), 52).alias("_c52"),
     )
-    df = df.join(index_strength(index), "date", "left")
+    sessions = index_strength(index)
+    df = df.join(F.broadcast(sessions) if bounded else sessions, "date", "left")
     ex = {p: F.col(f"_r{p}") - F.col(f"_ix{p}") for p in STRENGTH_PERIODS}
     weights = {63: 0.4, 126: 0.2, 189: 0.2, 252: 0.2}
     total = sum(F.when(ex[p].isNotNull(), w).otherwise(0.0) for p, w in weights.items())

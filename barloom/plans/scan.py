@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions import market, scoring
+from barloom.functions.windows import lead
+from barloom.operators import quality
 from barloom.plans import tables
 
 
@@ -23,14 +25,14 @@ def with_fund_score(df: DataFrame) -> DataFrame:
     )
 
 
-def _looked_up(bars: DataFrame, index: DataFrame) -> DataFrame:
+def _looked_up(bars: DataFrame, index: DataFrame, bounded: bool) -> DataFrame:
     """Directions, strength and weekly trend: all that scans or joins, on narrow rows.
 
     A join loses the partitioning by symbol, so every join comes before the
     wide indicator layers; those then share one exchange and one sort.
     """
     df = scoring.with_directions(bars)
-    return market.with_weekly_trend(market.with_strength(df, index))
+    return market.with_weekly_trend(market.with_strength(df, index, bounded))
 
 
 def _technical(df: DataFrame) -> DataFrame:
@@ -38,9 +40,9 @@ def _technical(df: DataFrame) -> DataFrame:
     return scoring.with_trade_levels(scoring.with_indicator_points(df))
 
 
-def technical_rows(bars: DataFrame, index: DataFrame) -> DataFrame:
+def technical_rows(bars: DataFrame, index: DataFrame, bounded: bool = False) -> DataFrame:
     """Signals, levels, strength and weekly trend on every bar (causal: no later row is read)."""
-    return _technical(_looked_up(bars, index))
+    return _technical(_looked_up(bars, index, bounded))
 
 
 REFERENCE = (
@@ -49,18 +51,35 @@ REFERENCE = (
 )
 
 
-def scored_rows(bars: DataFrame, index: DataFrame, context: DataFrame, reference: DataFrame) -> DataFrame:
-    """Every bar scored with the context of its date and the reference data of its symbol."""
-    df = _looked_up(bars, index)
-    df = df.join(context.select("date", "regime", "above_200", "above_50", "vix_high"), "date", "left")
+def scored_rows(bars: DataFrame, index: DataFrame, context: DataFrame, reference: DataFrame, bounded: bool = False, last_only: bool = False) -> DataFrame:
+    """Bars scored with the context of their date and the reference data of their symbol.
+
+    ``bounded`` tells that the index tables may be broadcast, so that bars
+    never move by date.  With ``last_only`` the recursions run over all bars
+    and all that reads a single row over each symbol's newest one.
+    """
+    if last_only:
+        bars = bars.withColumn("_newest", lead("date").isNull())
+    df = _looked_up(bars, index, bounded)
+    sessions = context.select("date", "regime", "above_200", "above_50", "vix_high")
+    df = df.join(F.broadcast(sessions) if bounded else sessions, "date", "left")
     df = df.join(with_fund_score(reference).select(*REFERENCE), "symbol", "left")
-    return scoring.with_score(_technical(df))
+    df = _technical(df)
+    return scoring.with_score(df.where("_newest").drop("_newest") if last_only else df)
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_rows(
-        tables.bars(spark, sf_dir),
-        tables.index_series(spark, sf_dir),
-        tables.index_context(spark, sf_dir),
-        tables.fundamentals(spark, sf_dir),
-    )
+    """Every bar of the archive scored."""
+    t = tables.stored(spark, sf_dir)
+    return scored_rows(t.bars, t.index, t.context, tables.fundamentals(spark, sf_dir), t.bounded)
+
+
+def scan_newest(spark: SparkSession, sf_dir: str, now_local: str) -> DataFrame:
+    """The newest completed bar of each symbol scored; today counts from 16:15 local time."""
+    t = tables.stored(spark, sf_dir)
+    return scored_rows(quality.completed_sessions(t.bars, now_local), t.index, t.context, tables.fundamentals(spark, sf_dir), t.bounded, last_only=True)
+
+
+def technical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.stored(spark, sf_dir)
+    return technical_rows(t.bars, t.index, t.bounded)

@@ -13,11 +13,18 @@ before the shuffle.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.windows import with_row_number
+from barloom.operators.lineage import checkpoint_folder, materialize
+from barloom.sources.barstore import BarStore
 
 INDEX_SYMBOL = "^INDEX"
+#: An index of at most so many sessions (a row each) is broadcast; a longer one is joined by shuffle.
+SESSIONS = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +43,10 @@ def _daily_sums(items: DataFrame, symbol) -> DataFrame:
     )
 
 
-def _walk(sums: DataFrame, scale: float) -> DataFrame:
+SUMS = ("qty", "disc", "tax", "up", "down")
+
+
+def _walk(sums: DataFrame, scale: float, keep: tuple[str, ...] = ()) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     ret = (F.col("disc") / (F.col("qty") * 100.0) - 0.05) * scale
     gap = (F.col("tax") / (F.col("qty") * 100.0) - 0.04) * 0.15
@@ -48,8 +58,7 @@ def _walk(sums: DataFrame, scale: float) -> DataFrame:
         F.round(before * F.exp(gap), 2).alias("open"),
         F.round(level, 2).alias("close"),
         (F.col("qty") * 100.0).alias("volume"),
-        "up",
-        "down",
+        *SUMS,
     )
     return priced.select(
         "symbol",
@@ -59,6 +68,7 @@ def _walk(sums: DataFrame, scale: float) -> DataFrame:
         F.round(F.least("open", "close") * (1.0 - F.col("down") / 89.0 * 0.012), 2).alias("low"),
         "close",
         "volume",
+        *keep,
     )
 
 
@@ -119,8 +129,53 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regime, index position and volatility per session."""
+    return context_of(index_series(spark, sf_dir))
+
+
+def context_of(index: DataFrame) -> DataFrame:
     from barloom.functions.market import regime_series
 
-    df = regime_series(index_series(spark, sf_dir))
+    df = regime_series(index)
     vix = 10.0 + F.pmod((F.col("volume") / 100).cast("long"), F.lit(2000)) / 100.0
     return df.select("date", "regime", "above_200", "above_50", vix.alias("vix"), (vix > 25).alias("vix_high"))
+
+
+@dataclass
+class Stored:
+    """Bars in buckets of their symbol with the row-number layout, the index and what a session's scores read of it.
+
+    ``sessions`` is the number of index rows; ``bounded`` tells whether the index tables may be broadcast.
+    """
+
+    store: BarStore
+    bars: DataFrame
+    index: DataFrame
+    context: DataFrame
+    sessions: int
+
+    @property
+    def bounded(self) -> bool:
+        return self.sessions <= SESSIONS
+
+
+def fingerprint(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """What tells one state of a table's files from another."""
+    return tuple(read(spark, sf_dir, name).agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size"), F.count(F.lit(1))).first())
+
+
+_STORED: dict[tuple, Stored] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Stored:
+    """The bar archive of a table folder, built from one scan of the trades and kept for the application while the files are the same."""
+    key = spark.sparkContext.applicationId, sf_dir, *fingerprint(spark, sf_dir, "lineitem")
+    if key not in _STORED:
+        store = BarStore(spark, f"{checkpoint_folder(spark).rstrip('/')}/archive-{uuid.uuid4().hex}")
+        sums = _daily_sums(read(spark, sf_dir, "lineitem"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+        store.write(_walk(sums, 0.5, SUMS), unique=True)
+        whole = store.read().groupBy(F.lit(INDEX_SYMBOL).alias("symbol"), "date").agg(
+            *[F.sum(x).alias(x) for x in ("qty", "disc", "tax")], *[F.max(x).alias(x) for x in ("up", "down")])
+        index = materialize(with_row_number(_walk(whole, 1.5)))
+        rows = with_row_number(store.read().drop(*SUMS))
+        _STORED[key] = Stored(store, rows, index, materialize(context_of(index)), index.count())
+    return _STORED[key]
