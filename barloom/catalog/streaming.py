@@ -59,7 +59,7 @@ def _alerts(spark, sf):
         F.concat(F.lit("c"), c("o_custkey").cast("string"), F.lit(".NS")).alias("symbol"), c("o_orderkey").alias("id"),
         (c("o_orderdate") + F.make_dt_interval(F.lit(0), (c("o_orderkey") % 24).cast("int"))).cast("timestamp").alias("scanned_at"), (cents % 101).cast("double").alias("score"), (cents % 37).alias("_k"),
     ).where("_k <> 0").drop("_k")
-    return tidy(ticks.run_available(ticks.crossing_alerts(rd), "append").drop("batch"))
+    return tidy(ticks.run_available(ticks.crossing_alerts(ticks.closed(rd, "scanned_at", "symbol")), "append").drop("batch"))
 
 
 register(
@@ -74,8 +74,10 @@ register(
 
 
 def _triggers(spark, sf):
-    t = tick_stream(spark, sf).withColumns({"sl": F.lit(1.0), "t1": F.lit(300.0), "cost": F.lit(5.0)})
-    return tidy(ticks.run_available(ticks.position_triggers(t), "append").drop("batch").withColumn("ts", when(c("ts"))))
+    held = read(spark, sf, "events").select(c("event_type").alias("symbol")).union(spark.range(1).select(F.lit(""))).distinct()
+    positions = held.withColumns({"sl": F.lit(1.0), "t1": F.lit(300.0), "cost": F.lit(5.0)})
+    stream = ticks.closed(tick_stream(spark, sf), "ts", "symbol")
+    return tidy(ticks.run_available(ticks.position_triggers(stream, positions), "append").drop("batch").withColumn("ts", when(c("ts"))))
 
 
 register(

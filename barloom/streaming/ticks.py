@@ -1,20 +1,22 @@
 """Streams of ticks, readings and trades.
 
-Every function takes and returns a (streaming) DataFrame; the same code runs
-on a batch one.  Windowed and running results use built-in aggregations with
-a watermark; only the two rules that compare a reading with remembered state
-(:func:`crossing_alerts`, :func:`position_triggers`) keep state of their own.
+Every function takes and returns a (streaming) DataFrame.  Windowed and
+running results use built-in aggregations with a watermark; the rules that
+compare a reading with remembered state (:func:`crossing_alerts`,
+:func:`position_triggers`) keep named state variables with timers.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.operators.lineage import checkpoint_folder
 
@@ -85,69 +87,140 @@ def daily_results(trades: DataFrame) -> DataFrame:
     return g.agg(F.sum("pnl").alias("pnl")).select(F.to_date("w.start").alias("day"), "pnl")
 
 
-ALERT_SCHEMA = "symbol string, day date, prev_score double, score double, id long"
-ALERT_STATE = "day date, score double, prior double, alerted date"
+# --- rules with remembered state -------------------------------------------------
 
+HOUR = 3_600_000
 
-def crossing_alerts(readings: DataFrame, bar: float = 60.0) -> DataFrame:
-    """One alert per symbol and day when a reading reaches the bar from below the day before.
 
-    State per symbol is four scalars: the current day, its last score, the
-    last score of the day before and the day last alerted.  Readings of one
-    micro-batch arrive in bounded Arrow chunks.
+class _Slotted(StatefulProcessor):
+    """Rows of a key, put aside by slots of event time and handed over in order when the watermark has passed a slot.
+
+    A micro-batch of any size passes in Arrow chunks: a chunk is cut by slot
+    and each piece is one packed entry of the key's map state.  A timer at
+    the end of a slot reads that slot only, so memory is bounded by one
+    key's rows of one slot, not by its rows of a batch.  A slot's rows go
+    when it has been read.
     """
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, score, prior, alerted = state.get if state.exists else (None, None, None, None)
-        out = []
-        rows = sorted((r for c in chunks for r in zip(c["scanned_at"], c["id"], c["score"])))
+    #: Name of the event time, other columns kept, and their types in the state.
+    time, kept, types, width = "ts", (), (), HOUR
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        packed = ", ".join(f"{c} array<{t}>" for c, t in zip(self.kept, self.types))
+        self.rows = handle.getMapState("rows", "slot long, piece int", f"at array<timestamp>, {packed}")
+        self.pieces = handle.getMapState("pieces", "slot long", "n int")
+        self.last = handle.getValueState("last", self.state)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            chunk = chunk[chunk[self.kept[0]].notna()]
+            chunk = chunk.astype({c: "int64" for c, t in zip(self.kept, self.types) if t == "long"})  # a null beside them made them floats
+            slots = chunk[self.time].astype("datetime64[ms]").astype("int64") // self.width
+            for slot, piece in chunk.groupby(slots, sort=True):
+                slot = int(slot)
+                n = self.pieces.getValue((slot,))[0] if self.pieces.containsKey((slot,)) else 0
+                if not n:
+                    self.handle.registerTimer((slot + 1) * self.width)
+                self.rows.updateValue((slot, n), tuple(piece[c].tolist() for c in (self.time, *self.kept)))
+                self.pieces.updateValue((slot,), (n + 1,))
+        yield pd.DataFrame(columns=self.out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.width - 1
+        rows: list[tuple] = []
+        if not self.pieces.containsKey((slot,)):
+            return
+        for i in range(self.pieces.getValue((slot,))[0]):
+            rows += zip(*self.rows.getValue((slot, i)))
+            self.rows.removeKey((slot, i))
+        self.pieces.removeKey((slot,))
+        state = self.last.get() if self.last.exists() else None
+        out: list[tuple] = []
+        state = self.follow(key[0], state, sorted(rows), out)
+        if state is not None:
+            self.last.update(state)
+        yield pd.DataFrame(out, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+ALERT_SCHEMA = "symbol string, day date, prev_score double, score double, id long"
+
+
+class _Crossing(_Slotted):
+    time, kept, types = "scanned_at", ("id", "score"), ("long", "double")
+    state, out = "day date, score double, prior double, alerted date", ["symbol", "day", "prev_score", "score", "id"]
+
+    def __init__(self, bar: float) -> None:
+        self.bar = bar
+
+    def follow(self, symbol, state, rows, out):
+        day, score, prior, alerted = state or (None, None, None, None)
         for at, rid, value in rows:
             today = at.date()
-            if day is not None and today < day:
-                continue
             if today != day:
                 prior, day = score, today
             score = float(value)
-            if prior is not None and prior < bar <= score and alerted != today:
+            if prior is not None and prior < self.bar <= score and alerted != today:
                 alerted = today
-                out.append((key[0], today, prior, score, rid))
-        state.update((day, score, prior, alerted))
-        yield pd.DataFrame(out, columns=["symbol", "day", "prev_score", "score", "id"])
+                out.append((symbol, today, prior, score, rid))
+        return day, score, prior, alerted
+
 
-    return readings.groupBy("symbol").applyInPandasWithState(step, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+def crossing_alerts(readings: DataFrame, bar: float = 60.0) -> DataFrame:
+    """One alert per symbol and day when a reading reaches the bar from below the day before.
+
+    Readings are followed in the order of their event time, whatever the
+    batches they come in; those behind the watermark are dropped and counted
+    by the engine (``late_rows``).  State per symbol is four scalars and the
+    readings of hours that the watermark has not passed.
+    """
+    kept = readings.select("symbol", "scanned_at", "id", "score").withWatermark("scanned_at", LATE)
+    return kept.groupBy("symbol").transformWithStateInPandas(_Crossing(bar), ALERT_SCHEMA, "append", "EventTime")
 
 
 TRIGGER_SCHEMA = "symbol string, ts timestamp, action string, price double"
-TRIGGER_STATE = "stop double, open boolean, target_done boolean"
 
 
-def position_triggers(ticks: DataFrame) -> DataFrame:
-    """First price through stop or target per open position; after the target the stop moves to cost.
+class _Triggers(_Slotted):
+    kept, types = ("price",), ("double",)
+    state, out = "stop double, target double, cost double, live boolean, done boolean", ["symbol", "ts", "action", "price"]
 
-    ``ticks`` carry the position columns ``sl``, ``t1`` and ``cost`` from a
-    static join.
-    """
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.last.update((float(first["sl"]), float(first["t1"]), float(first["cost"]), True, False))
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stop, live, done = state.get if state.exists else (None, True, False)
-        out = []
-        rows = sorted(r for c in chunks for r in zip(c["ts"], c["price"], c["sl"], c["t1"], c["cost"]))
-        for ts, price, sl, t1, cost in rows:
+    def follow(self, symbol, state, rows, out):
+        if state is None:  # no position
+            return None
+        stop, target, cost, live, done = state
+        for ts, price in rows:
             if not live:
                 break
-            stop = sl if stop is None else stop
             if price <= stop:
                 live = False
-                out.append((key[0], ts, "SL_HIT", price))
-            elif not done and price >= t1:
+                out.append((symbol, ts, "SL_HIT", price))
+            elif not done and price >= target:
                 stop, done = cost, True
-                out.append((key[0], ts, "T1_HIT", price))
-        state.update((None if stop is None else float(stop), bool(live), bool(done)))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "action", "price"])
+                out.append((symbol, ts, "T1_HIT", price))
+        return stop, target, cost, live, done
+
+
+def position_triggers(ticks: DataFrame, positions: DataFrame) -> DataFrame:
+    """First price through stop or target per open position; after the target the stop moves to cost.
 
+    ``positions`` (symbol, sl, t1, cost), one row a symbol, are the state the
+    stream begins with.  Prices are followed in the order of their time; a
+    symbol without a position and a closed position leave no trace.
+    """
     # Prices that can trigger nothing never leave the JVM.
-    near = (F.col("price") <= F.greatest("sl", "cost")) | (F.col("price") >= F.col("t1"))
-    return ticks.where(near).groupBy("symbol").applyInPandasWithState(step, TRIGGER_SCHEMA, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
+    levels = positions.select("symbol", F.greatest("sl", "cost").alias("_low"), F.col("t1").alias("_high"))
+    near = ticks.join(levels, "symbol").where((F.col("price") <= F.col("_low")) | (F.col("price") >= F.col("_high")) | F.col("price").isNull())
+    kept = near.select("symbol", "ts", "price").withWatermark("ts", LATE)
+    first = positions.select("symbol", *[F.col(c).cast("double").alias(c) for c in ("sl", "t1", "cost")])
+    return kept.groupBy("symbol").transformWithStateInPandas(_Triggers(), TRIGGER_SCHEMA, "append", "EventTime", first.groupBy("symbol"))
 
 
 # --- running -----------------------------------------------------------------------
@@ -158,25 +231,58 @@ def work_folder(spark) -> str:
     return os.path.join(checkpoint_folder(spark), uuid.uuid4().hex)
 
 
-def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def _state_store(spark):
+    """Queries started inside keep their state in RocksDB, which named state variables and timers need."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
+def late_rows(progress: list[dict]) -> int:
+    """Rows that stateful operators dropped because the watermark had passed them."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def closed(stream: DataFrame, time: str, key: str, last: str = "2100-01-01") -> DataFrame:
+    """``stream`` with one more row, of an empty key far in the future, that moves the watermark past all others: the end of a replay."""
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+    spark.range(1).select(F.lit("").alias(key), F.lit(last).cast(dict(stream.dtypes)[time]).alias(time)).write.parquet(folder)
+    end = spark.readStream.schema(f"{key} string, {time} {dict(stream.dtypes)[time]}").parquet(folder)
+    return stream.unionByName(end, allowMissingColumns=True)
+
+
+def run_available(stream: DataFrame, mode: str, folder: str | None = None, progress: list[dict] | None = None) -> DataFrame:
     """Process what is there and return the emitted rows with their batch number.
 
     Batches are appended as parquet with the batch number; a batch that is
-    replayed after a failure overwrites its own part.
+    replayed after a failure overwrites its own part.  ``progress`` collects
+    the reports of the batches.
     """
     folder = folder or work_folder(stream.sparkSession)
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(sink)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _state_store(stream.sparkSession):
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(sink)
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
+    if progress is not None:
+        progress += [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
     return stream.sparkSession.read.schema(_with_batch(stream)).parquet(f"{folder}/out")
 
 
