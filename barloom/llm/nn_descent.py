@@ -263,7 +263,7 @@ def build(nodes: DataFrame, kind: str, dims: int, n: int, seed: int = 11) -> Dat
     for number in itertools.count():
         listed = lists.select(F.col("u").alias("m"), F.inline(F.arrays_zip(F.col("v").alias("v"), F.col("fresh").alias("fresh"))).alias("u", "fresh"))
         turn = F.row_number().over(Window.partitionBy("u").orderBy(~F.col("fresh"), F.xxhash64("m", F.lit(number)), "m"))
-        back = listed.withColumn("turn", turn).where(F.col("turn") <= REVERSE).groupBy("u").agg(F.collectlist_of(F.struct("m", "fresh")).alias("back"))
+        back = listed.withColumn("turn", turn).where(F.col("turn") <= REVERSE).groupBy("u").agg(F.collect_list(F.struct("m", "fresh")).alias("back"))
         ms, fr = F.concat("v", F.coalesce("back.m", F.array().cast("array<long>"))), F.concat("fresh", F.coalesce("back.fresh", F.array().cast("array<boolean>")))
         members = lists.select("u", "v", "fresh").join(back, "u", "left").select("u", ms.alias("ms"), fr.alias("fr"))
         # Lists without a new member have been compared.
@@ -316,7 +316,7 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, kind:
     of = lambda node: part(node, dims)
     turn = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("m"), "m"))
     back = graph.select(F.col("u").alias("m"), F.explode("v").alias("u")).withColumn("turn", turn).where(F.col("turn") <= 2 * NEIGHBOURS)
-    back = back.groupBy("u").agg(F.collectlist_of("m").alias("back"))
+    back = back.groupBy("u").agg(F.collect_list("m").alias("back"))
     links = graph.select("u", "v").join(back, "u", "left").select("u", F.array_union("v", F.coalesce("back", F.array().cast("array<long>"))).alias("near"))
     links = written(links, "links")
     chosen = nodes.orderBy(F.xxhash64(F.lit(seed), "u"), "u").limit(grown(ENTRIES, n)).toArrow()

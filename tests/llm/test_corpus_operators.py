@@ -150,6 +150,16 @@ def neighbour_hits(spark, x):
     return np.mean([len(got[q] & set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11].tolist())) for q in range(0, len(x), 100)])
 
 
+def test_scores_are_sums_in_the_order_of_the_components(spark):
+    x = np.random.default_rng(2).standard_normal((300, 33))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in nn_descent.nearest_rows(df, lambda i: i % 100 == 0).collect():
+        total = 0.0
+        for a, b in zip(x[r.query_id].tolist(), x[r.vec_id].tolist()):
+            total += (a - b) * (a - b)
+        assert r.score == total**0.5
+
+
 def test_recall_with_a_huge_vector(spark):
     x = np.random.default_rng(5).standard_normal((3000, 24))
     x[1] = 1e8
@@ -166,11 +176,16 @@ def test_recall_among_near_equal_vectors(spark):
 def test_rounds_until_lists_settle(spark, monkeypatch, caplog):
     """From a poor start, with no new entry allowed, more than four rounds are run and the last brings nothing new."""
     x = np.random.default_rng(8).standard_normal((2000, 8))
-    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node long, d array<double>")
-    for name, value in (("START_NEIGHBOURS", 2), ("STARTS", 3), ("BLOCK", 16), ("SETTLED", 0)):
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, d array<double>")
+    for name, value in (("START_NEIGHBOURS", 2), ("STARTS", 3), ("BLOCK", 16), ("SETTLED", 0), ("PART_BYTES", 1 << 17)):
         monkeypatch.setattr(nn_descent, name, value)
     with caplog.at_level("INFO", logger=nn_descent.__name__):
-        nn_descent.build(nn_descent.packed(nodes))
+        vectors, kind = nn_descent.packed(nodes)
+        lists = nn_descent.build(vectors.withColumnRenamed("id", "u"), kind, 8, 2000).select("u", "v", "d").collect()
+    assert kind == "<f8" and len(lists) == 2000
+    for r in lists[::97]:
+        assert len(set(r.v)) == nn_descent.NEIGHBOURS and r.u not in r.v and r.d == sorted(r.d)
+        assert r.d == pytest.approx(np.sqrt(((x[r.v] - x[r.u]) ** 2).sum(1)).tolist())
     rounds = [r.getMessage() for r in caplog.records if r.name == nn_descent.__name__]
     assert len(rounds) > 4 and ": 0 of " in rounds[-1]
 
