@@ -30,12 +30,13 @@ register("p48_intraday_scan", lambda spark, sf: tidy(evaluation.intraday_scan(ti
 
 
 def _trades(spark, sf):
-    return evaluation.expectancy_trades(bars(spark, sf), tables.index_context(spark, sf))
+    t = tables.stored(spark, sf)
+    return evaluation.expectancy_trades(t.bars, t.context, t.bounded)
 
 
 register("c07_regime_score_table", lambda spark, sf: tidy(evaluation.expectancy_table(materialize(_trades(spark, sf)))))
-register("x08_signal_capture", lambda spark, sf: tidy(evaluation.captured_signals(bars(spark, sf)).select("symbol", "date", "score", "entry", "atr", "sl", "t1", F.size("path").alias("path_bars"))))
+register("x08_signal_capture", lambda spark, sf: tidy(evaluation.captured_signals(tables.stored(spark, sf).bars).select("symbol", "date", "score", "entry", "atr", "sl", "t1", F.size("path").alias("path_bars"))))
 register(
     "v02_pluggable_exit",
-    lambda spark, sf: tidy(out.sweep(evaluation.captured_signals(bars(spark, sf)), [out.Exit("wide trail", "trail", 42, 5.0)]).select("symbol", "date", "variant", "ret")),
+    lambda spark, sf: tidy(out.sweep(evaluation.captured_signals(tables.stored(spark, sf).bars), [out.Exit("wide trail", "trail", 42, 5.0)]).select("symbol", "date", "variant", "ret")),
 )

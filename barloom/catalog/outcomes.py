@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.catalog.base import register, tidy
 from barloom.catalog.indicators import TECH
 from barloom.catalog.market import STOCK_REGIME
 from barloom.catalog.oracle import BARS, W, query, select
 from barloom.catalog.rules import LAB_SQL, hit, rule_source
-from barloom.catalog.scores import TECHNICAL, r
+from barloom.catalog.scores import SCAN, TECHNICAL, r
 from barloom.functions import indicators as ind, market, outcomes as out, rules, scoring
-from barloom.functions.windows import lag as wlag, lead
+from barloom.functions.windows import LEVELS, lag as wlag, lead, sampled
 from barloom.operators import reports
 from barloom.operators.lineage import materialize
-from barloom.plans.tables import bars, index_series
+from barloom.plans import scan, tables
+from barloom.plans.tables import bars
 
 c = F.col
 SLIP = f"{out.SLIPPAGE!r}::double"
@@ -45,22 +46,29 @@ def path_sql(name: str, source: str, stop: str, target: str, hold: int, gaps: bo
 ENTRY = f"(lead(open) OVER ({W})*(1+{SLIP}))"
 
 
-def _path_outcome(spark, sf):
-    df = levels(bars(spark, sf)).where("rn >= 49")
-    df = out.with_trade(df, "sl_buy", "target1", 21, True)
-    ok = (c("sl_buy") > 0) & (c("sl_buy") < c("entry")) & (c("entry") < c("target1"))
-    return tidy(df.where(ok).select("symbol", "date", "outcome", "ret", "mae", "mfe"))
+LOOKBACK, FORWARD_BARS, LEAST_SCORE = 60, 21, 55
 
 
+def backtest_trades(spark, sf) -> DataFrame:
+    """Trades of the bars with a score of at least 55 among the 60 before the last 21, by the levels of the bar itself."""
+    df = scan.scan(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "score100", "sl_buy", "target1")
+    ends = F.max("rn").over(Window.partitionBy("symbol")) + 1
+    df = df.withColumn("_n", ends)
+    span = (c("rn") >= c("_n") - LOOKBACK - FORWARD_BARS) & (c("rn") < c("_n") - FORWARD_BARS) & (c("_n") >= LOOKBACK + FORWARD_BARS + 52)
+    df = sampled(df.withColumn("_pick", span & (c("score100") >= LEAST_SCORE)).drop("_n"), "_pick", ahead=FORWARD_BARS)
+    df = out.with_path_trade(df, "path", "sl_buy", "target1", True)
+    return df.where((c("sl_buy") > 0) & (c("sl_buy") < c("entry")) & (c("entry") < c("target1")))
+
+
+BACKTEST = [
+    *SCAN, f"xs0 AS (SELECT symbol, rn, date, sl_buy, target1, score100, {ENTRY} AS entry, max(rn) OVER (PARTITION BY symbol)+1 AS n FROM z)",
+    f"xs AS (SELECT * FROM xs0 WHERE rn>=n-{LOOKBACK + FORWARD_BARS} AND rn<n-{FORWARD_BARS} AND n>={LOOKBACK + FORWARD_BARS + 52} AND score100>={LEAST_SCORE} AND sl_buy>0 AND sl_buy<entry AND entry<target1)",
+    path_sql("xo", "xs", "s.sl_buy", "s.target1", FORWARD_BARS, True),
+]
 register(
     "x01_path_outcome_gap_aware",
-    _path_outcome,
-    query(
-        [*TECHNICAL, f"xs0 AS (SELECT symbol, rn, date, sl_buy, target1, {ENTRY} AS entry FROM q8)", "xs AS (SELECT * FROM xs0 WHERE rn>=49 AND sl_buy>0 AND sl_buy<entry AND entry<target1)",
-         path_sql("xo", "xs", "s.sl_buy", "s.target1", 21, True)],
-        f"SELECT {select('symbol date@d outcome ret@4 mae@4 mfe@4')} FROM xo",
-        True,
-    ),
+    lambda spark, sf: tidy(backtest_trades(spark, sf).select("symbol", "date", "outcome", "ret", "mae", "mfe")),
+    query(BACKTEST, f"SELECT {select('symbol date@d outcome ret@4 mae@4 mfe@4')} FROM xo", True),
 )
 
 
@@ -133,13 +141,15 @@ register(
 
 
 def exit_signals(spark, sf) -> DataFrame:
-    df = levels(bars(spark, sf)).withColumn("path", out.path(63))
-    index = index_series(spark, sf).select("date", ((lead("close", 63) / c("close") - 1.0) * 100.0).alias("mkt_fwd"))
-    picked = (c("rn") >= 60) & ((c("rn") - 60) % 5 == 0) & (c("e9") > c("e21")) & (F.size("path") >= 10) & (c("r_atr") > 0)
-    df = df.where(picked).select(
+    t = tables.stored(spark, sf)
+    df = levels(t.bars)
+    index = t.index.select("date", ((lead("close", 63) / c("close") - 1.0) * 100.0).alias("mkt_fwd"))
+    picked = (c("rn") >= 60) & ((c("rn") - 60) % 5 == 0) & (c("e9") > c("e21")) & lead("close", 10).isNotNull() & (c("r_atr") > 0)
+    df = df.select("symbol", "date", "rn", "_b0", "open", "high", "low", "close", "r_atr", "sl_buy", "target1", picked.alias("_pick"))
+    df = sampled(df, "_pick", ahead=63).select(
         "symbol", "date", F.element_at("path", 1)["open"].alias("entry"), c("r_atr").alias("atr"), c("sl_buy").alias("sl"), c("target1").alias("t1"), "path"
     )
-    df = df.join(index, "date", "left")
+    df = df.join(F.broadcast(index) if t.bounded else index, "date", "left")
     return df.withColumn("direction", F.when(c("mkt_fwd") < 0, "fell").when(c("mkt_fwd") >= 0, "rose"))
 
 
@@ -237,9 +247,7 @@ register(
 
 
 def _backtest(spark, sf):
-    t = levels(bars(spark, sf)).where("rn >= 49")
-    t = out.with_trade(t, "sl_buy", "target1", 21, True)
-    t = t.where((c("sl_buy") > 0) & (c("sl_buy") < c("entry")) & (c("entry") < c("target1")))
+    t = materialize(backtest_trades(spark, sf).select("symbol", "rn", "outcome", "ret", "mae", "mfe"))
     cells = reports.trade_cells(t, ["symbol"], 1)
     streak = reports.losing_streak(t, ["symbol"], ["rn"])
     return tidy(cells.join(streak, "symbol").select("symbol", "sample_count", "win_rate", "t1_hit_rate", "profit_factor", "expectancy", "avg_mae", "avg_mfe", "max_consec_loss"))
@@ -247,13 +255,11 @@ def _backtest(spark, sf):
 
 STREAK = f"""rk AS (SELECT *, sum(CASE WHEN ret>0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn) AS run FROM xo),
 mx AS (SELECT symbol, max(n) AS m FROM (SELECT symbol, run, count(*) AS n FROM rk WHERE ret<=0 GROUP BY 1,2) GROUP BY 1)"""
-BACKTEST = [*TECHNICAL, f"xs0 AS (SELECT symbol, rn, date, sl_buy, target1, {ENTRY} AS entry FROM q8)", "xs AS (SELECT * FROM xs0 WHERE rn>=49 AND sl_buy>0 AND sl_buy<entry AND entry<target1)",
-            path_sql("xo", "xs", "s.sl_buy", "s.target1", 21, True), STREAK]
 register(
     "c08_backtest_metrics",
     _backtest,
     query(
-        BACKTEST,
+        [*BACKTEST, STREAK],
         "SELECT symbol, count(*) AS sample_count, " + ", ".join(f"round({_FIG[k]},4)+0.0::double AS {k}" for k in ("win_rate", "t1_hit_rate", "profit_factor", "expectancy", "avg_mae", "avg_mfe")) + ", coalesce(any_value(m),0) AS max_consec_loss FROM xo LEFT JOIN mx USING (symbol) GROUP BY 1",
         True,
     ),

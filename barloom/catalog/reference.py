@@ -11,12 +11,12 @@ from barloom.catalog.market import IX, REGIME
 from barloom.catalog.monitor import READ
 from barloom.catalog.oracle import BARS, INDEX, W, lag, query, select
 from barloom.catalog.outcomes import FORWARD, HORIZONS
-from barloom.catalog.scores import FUNDAMENTALS, r
+from barloom.catalog.scores import FUNDAMENTALS, SCAN, r
 from barloom.functions import indicators as ind, market, outcomes as out, rules, scoring
 from barloom.functions.scoring import rnd
-from barloom.functions.windows import lag as wlag, lead
+from barloom.functions.windows import LEVELS, lag as wlag, lead
 from barloom.operators import evaluation, monitor, ranking
-from barloom.plans import tables
+from barloom.plans import scan, tables
 from barloom.plans.tables import bars, daily_bars, index_bars, index_series, read
 from barloom.sources import archive, parsing
 
@@ -29,12 +29,18 @@ def part(spark, sf):
 
 
 # --- B: filters and routing -------------------------------------------------------
+def _candidates(spark, sf):
+    """What each session's scan offers to buy: score, stage, reward against risk, not banned, few pledged shares; strongest first."""
+    rows = scan.scan(spark, sf).join(tables.fundamentals(spark, sf).select("symbol", "banned"), "symbol", "left")
+    good = (c("score100") >= 65) & (c("stage") == 2) & (F.coalesce("rr_ratio", F.lit(0.0)) >= 1.8) & ~F.coalesce("banned", F.lit(False)) & (F.coalesce("promoter_pledged", F.lit(0.0)) < 30)
+    order = [c("date"), F.coalesce("composite_rs", F.lit(0.0)).desc(), c("score100").desc(), c("symbol")]
+    return tidy(rows.where(good).orderBy(*order).select("date", "symbol", "score100", "rr_ratio", "composite_rs"))
+
+
 register(
     "b01_candidate_filter",
-    lambda spark, sf: tidy(
-        tables.fundamentals(spark, sf).where((c("roe") >= 8) & (c("debt_equity") >= 1.8) & ~c("banned") & (c("promoter_pledged") < 30)).orderBy(c("roce").desc(), c("roe").desc(), "symbol").select("symbol", "roe", "roce")
-    ),
-    query(FUNDAMENTALS, f"SELECT symbol, {d('roe')} AS roe, {d('roce')} AS roce FROM fd WHERE roe>=8 AND debt_equity>=1.8 AND NOT banned AND promoter_pledged<30"),
+    _candidates,
+    query(SCAN, f"SELECT {select('date@d symbol score100@i rr_ratio@4 composite_rs@4')} FROM z WHERE score100>=65 AND stage=2 AND coalesce(rr_ratio,0)>=1.8 AND NOT coalesce(banned,false) AND coalesce(promoter_pledged,0)<30", True),
 )
 
 
@@ -361,45 +367,46 @@ register("c05_participant_interest", _interest, "SELECT o_orderpriority, net, CA
 
 
 def scored_forward(spark, sf):
-    """Every 21st bar with a 0-100 score (RSI) and its forward returns."""
-    df = ind.compose(bars(spark, sf), ind.rsi())
-    df = df.select("symbol", "date", "rn", rnd("rsi", 0).alias("score"), *[rnd(v, 6).alias(k) for k, v in out.forward_returns(HORIZONS).items()])
-    return df.where((c("rn") >= 60) & (c("rn") % 21 == 0))
+    """Every bar of at least 120 with its 0-100 score and its forward returns."""
+    df = scan.scan(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "close", c("score100").cast("double").alias("score"))
+    df = df.select("symbol", "date", "rn", "score", *[rnd(v, 6).alias(k) for k, v in out.forward_returns(HORIZONS).items()])
+    return df.where((c("rn") >= 119) & c("score").isNotNull())
 
 
-SCORED = [BARS, *__import__("barloom.catalog.indicators", fromlist=["TECH"]).TECH[1:5], FORWARD + " FROM t4)", f"sfw AS (SELECT symbol, date, {r('rsi', 0)} AS score, {r('d5', 6)} AS d5, {r('d21', 6)} AS d21, {r('d63', 6)} AS d63 FROM fw WHERE rn>=60 AND rn%21=0)"]
+SCORED = [*SCAN, FORWARD + " FROM z)", f"sfw AS (SELECT symbol, date, cast(score100 AS double) AS score, {r('d5', 6)} AS d5, {r('d21', 6)} AS d21, {r('d63', 6)} AS d63 FROM fw WHERE rn>=119 AND score100 IS NOT NULL)"]
 BUCKETS = ((70, 101, "70+"), (60, 70, "60-70"), (50, 60, "50-60"), (40, 50, "40-50"), (-1, 40, "<40"))
 LONGF = "lf AS (SELECT symbol, score, 'd5' AS horizon, d5 AS v FROM sfw UNION ALL SELECT symbol, score, 'd21', d21 FROM sfw UNION ALL SELECT symbol, score, 'd63', d63 FROM sfw)"
 register(
     "c13_forward_bucket_table",
     lambda spark, sf: tidy(evaluation.bucket_table(scored_forward(spark, sf).withColumn("bucket", scoring.score_bucket(c("score"), BUCKETS)), list(HORIZONS), "bucket")),
     query([*SCORED, LONGF, "lb AS (SELECT *, CASE WHEN score>=70 THEN '70+' WHEN score>=60 THEN '60-70' WHEN score>=50 THEN '50-60' WHEN score>=40 THEN '40-50' ELSE '<40' END AS bucket FROM lf WHERE v IS NOT NULL), bs AS (SELECT horizon, count(*) AS bn, avg(v) AS bm, var_samp(v) AS bv FROM lb GROUP BY 1)"],
-          f"SELECT bucket, horizon, count(*) AS n, {d('avg(v)')} AS mean_ret, {d('avg(v)-any_value(bm)')} AS edge, {d('(avg(v)-any_value(bm))/sqrt(var_samp(v)/count(*)+any_value(bv)/any_value(bn))')} AS t_stat FROM lb JOIN bs USING (horizon) GROUP BY 1,2 HAVING count(*)>=5"),
+          f"SELECT bucket, horizon, count(*) AS n, {d('avg(v)')} AS mean_ret, {d('avg(v)-any_value(bm)')} AS edge, {d('(avg(v)-any_value(bm))/sqrt(var_samp(v)/count(*)+any_value(bv)/any_value(bn))')} AS t_stat FROM lb JOIN bs USING (horizon) GROUP BY 1,2 HAVING count(*)>=5", True),
 )
 register(
     "c14_score_validation",
     lambda spark, sf: tidy(evaluation.validation_table(scored_forward(spark, sf), "score", list(HORIZONS))),
     query([*SCORED, LONGF, "rk AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY score)+(count(*) OVER (PARTITION BY horizon, score)-1)/2.0::double AS rx, rank() OVER (PARTITION BY horizon ORDER BY v)+(count(*) OVER (PARTITION BY horizon, v)-1)/2.0::double AS ry FROM lf WHERE v IS NOT NULL)", "ro AS (SELECT horizon, count(*) AS n, corr(rx,ry) AS rho FROM rk GROUP BY 1)"],
-          f"SELECT horizon, n, {d('rho')} AS rho, {d('rho*sqrt((n-2)/((1-rho)*(1+rho)))')} AS t_stat FROM ro"),
+          f"SELECT horizon, n, {d('rho')} AS rho, {d('rho*sqrt((n-2)/((1-rho)*(1+rho)))')} AS t_stat FROM ro", True),
 )
 register(
     "k06_decile_picks",
     lambda spark, sf: tidy(evaluation.decile_edges(scored_forward(spark, sf), "score", "d21")),
     query([*SCORED, "dk AS (SELECT *, count(*) OVER () AS n FROM sfw WHERE d21 IS NOT NULL), dr AS (SELECT *, greatest(floor(n*0.10::double),5) AS k, row_number() OVER (ORDER BY score DESC, symbol, date) AS rt, row_number() OVER (ORDER BY score, symbol, date) AS rl FROM dk)"],
-          f"SELECT count(*) AS n, {d('avg(d21)')} AS base, {d('avg(d21) FILTER (WHERE rt<=k)')} AS top_mean, {d('avg(d21) FILTER (WHERE rt<=k)-avg(d21)')} AS top_edge, {d('avg(d21) FILTER (WHERE rl<=k)')} AS bottom_mean, {d('avg(d21) FILTER (WHERE rl<=k)-avg(d21)')} AS bottom_edge FROM dr"),
+          f"SELECT count(*) AS n, {d('avg(d21)')} AS base, {d('avg(d21) FILTER (WHERE rt<=k)')} AS top_mean, {d('avg(d21) FILTER (WHERE rt<=k)-avg(d21)')} AS top_edge, {d('avg(d21) FILTER (WHERE rl<=k)')} AS bottom_mean, {d('avg(d21) FILTER (WHERE rl<=k)-avg(d21)')} AS bottom_edge FROM dr", True),
 )
 
 
 def observations(spark, sf):
-    """Every fifth bar after 260: next open to close 21 bars on, with the control masks."""
-    df = rules.with_rules(bars(spark, sf), rules.CONTROLS, "m_")
-    df = ind.compose(df, ind.rsi()).withColumn("score", rnd("rsi", 0))
+    """Every fifth bar after 260: next open to close 21 bars on, the score and the control masks; rows without a score leave all arms."""
+    df = scan.scan(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "volume", c("score100").cast("double").alias("score"))
+    df = rules.with_rules(df, rules.CONTROLS, "m_")
     df = df.withColumns({"fwd": (lead("close", 21) / lead("open", 1) - 1.0) * 100.0 - out.ROUND_TRIP_PCT, "prev_score": F.when(c("rn") >= 265, wlag("score", 5))})
-    return df.where((c("rn") >= 260) & ((c("rn") - 260) % 5 == 0) & c("fwd").isNotNull()).select("symbol", "date", "fwd", "score", "prev_score", "m_breakout_20d", "m_rsi_above_60")
+    picked = (c("rn") >= 260) & ((c("rn") - 260) % 5 == 0) & c("fwd").isNotNull() & c("score").isNotNull()
+    return df.where(picked).select("symbol", "date", "fwd", "score", "prev_score", "m_breakout_20d", "m_rsi_above_60")
 
 
-OBS = [BARS, *__import__("barloom.catalog.indicators", fromlist=["TECH"]).TECH[1:5], f"o0 AS (SELECT symbol, date, rn, (lead(close,21) OVER ({W})/lead(open,1) OVER ({W})-1)*100-0.5582::double AS fwd, {r('rsi', 0)} AS score, rsi>60 AS m2, coalesce(close>{lag('hh20')},false) AS m1 FROM t4)", f"o1 AS (SELECT *, CASE WHEN rn>=265 THEN {lag('score', 5)} END AS ps FROM o0)", "ob AS (SELECT * FROM o1 WHERE rn>=260 AND (rn-260)%5=0 AND fwd IS NOT NULL)"]
-register("x07_head_to_head", lambda spark, sf: tidy(observations(spark, sf).withColumn("fwd", rnd("fwd", 4))), query(OBS, f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, {r('fwd', 4)}+0.0::double AS fwd, {d('score')} AS score, {d('ps')} AS prev_score, cast(m1 AS bigint) AS m_breakout_20d, cast(m2 AS bigint) AS m_rsi_above_60 FROM ob"))
+OBS = [*SCAN, f"o0 AS (SELECT symbol, date, rn, (lead(close,21) OVER ({W})/lead(open,1) OVER ({W})-1)*100-0.5582::double AS fwd, cast(score100 AS double) AS score, rsi>60 AS m2, coalesce(close>{lag('hh20')},false) AS m1 FROM z)", f"o1 AS (SELECT *, CASE WHEN rn>=265 THEN {lag('score', 5)} END AS ps FROM o0)", "ob AS (SELECT * FROM o1 WHERE rn>=260 AND (rn-260)%5=0 AND fwd IS NOT NULL AND score IS NOT NULL)"]
+register("x07_head_to_head", lambda spark, sf: tidy(observations(spark, sf).withColumn("fwd", rnd("fwd", 4))), query(OBS, f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, {r('fwd', 4)}+0.0::double AS fwd, {d('score')} AS score, {d('ps')} AS prev_score, cast(m1 AS bigint) AS m_breakout_20d, cast(m2 AS bigint) AS m_rsi_above_60 FROM ob", True))
 
 
 def _arms():
@@ -410,9 +417,22 @@ def _arms():
 register(
     "c15_arm_comparison",
     lambda spark, sf: tidy(evaluation.arm_comparison(observations(spark, sf), _arms())),
-    query([*OBS, "ar AS (" + " UNION ALL ".join(f"SELECT '{n}' AS arm, count(fwd) FILTER (WHERE {e}) AS n, avg(fwd) FILTER (WHERE {e}) AS m, avg(CASE WHEN fwd>0 THEN 100.0::double ELSE 0 END) FILTER (WHERE {e}) AS w, avg(fwd) AS b FROM ob" for n, e in {"baseline": "true", "score_60": "score>=60", "score_70": "score>=70", "crosses_60": "ps<60 AND score>=60", "breakout": "m1", "rsi_60": "m2", "breakout_and_score": "m1 AND score>=60"}.items()) + ")"], f"SELECT arm, n, {d('m')} AS mean_ret, {d('m-b')} AS edge, {d('w')} AS win_rate FROM ar WHERE n>=20"),
+    query([*OBS, "ar AS (" + " UNION ALL ".join(f"SELECT '{n}' AS arm, count(fwd) FILTER (WHERE {e}) AS n, avg(fwd) FILTER (WHERE {e}) AS m, avg(CASE WHEN fwd>0 THEN 100.0::double ELSE 0 END) FILTER (WHERE {e}) AS w, avg(fwd) AS b FROM ob" for n, e in {"baseline": "true", "score_60": "score>=60", "score_70": "score>=70", "crosses_60": "ps<60 AND score>=60", "breakout": "m1", "rsi_60": "m2", "breakout_and_score": "m1 AND score>=60"}.items()) + ")"], f"SELECT arm, n, {d('m')} AS mean_ret, {d('m-b')} AS edge, {d('w')} AS win_rate FROM ar WHERE n>=20", True),
+)
+HEX = "list_reduce(list_prepend(0::bigint, list_transform(string_split(substr({h},1,8),''), lambda x: cast(instr('0123456789abcdef', x)-1 AS bigint))), lambda a, b: a*16+b)"
+register(
+    "c16_block_bootstrap",
+    lambda spark, sf: tidy(evaluation.block_bootstrap(observations(spark, sf), c("score") >= 60)),
+    query(
+        [*OBS, "dd AS (SELECT date, sum(fwd) AS t, count(fwd) AS n, coalesce(sum(fwd) FILTER (WHERE score>=60),0) AS s, count(fwd) FILTER (WHERE score>=60) AS k, row_number() OVER (ORDER BY date)-1 AS ix FROM ob GROUP BY date)",
+         "nn AS (SELECT count(*) AS d, sum(k) AS picks, cast(ceil(count(*)/21.0::double) AS bigint) AS m FROM dd)",
+         "pk AS (SELECT draw, i, sha256(draw||'|'||i||'|42') AS h, d, CASE WHEN i=m THEN d-(m-1)*21 ELSE 21 END AS len FROM (SELECT unnest(range(1000)) AS draw), (SELECT d, m, unnest(range(1, m+1)) AS i FROM nn))",
+         f"pj AS (SELECT draw, len, {HEX.format(h='h')} % (d-20) AS start FROM pk)",
+         "ed AS (SELECT draw, sum(s)/sum(k)-sum(t)/sum(n) AS edge FROM pj JOIN dd ON ix>=start AND ix<start+len GROUP BY draw HAVING sum(k)>0 AND sum(n)>0)"],
+        f"SELECT {d('quantile_cont(edge,0.025)')} AS lo, {d('quantile_cont(edge,0.975)')} AS hi, {d('avg(edge)')} AS mean_edge FROM ed WHERE (SELECT d>=42 AND picks>=20 FROM nn)",
+        True,
+    ),
 )
-register("c16_block_bootstrap", lambda spark, sf: tidy(evaluation.block_bootstrap(observations(spark, sf), c("score") >= 60)))
 
 
 def _regime_forward(spark, sf):
@@ -439,16 +459,16 @@ register("c19_survivorship", _survivors, query([BARS, FUNDAMENTALS, "sp AS (SELE
 
 def cohort(spark, sf):
     """Names picked on a date by score, bought at the next open, held to the end."""
-    b = ind.compose(bars(spark, sf), ind.rsi()).withColumn("score", rnd("rsi", 0))
+    b = scan.scan(spark, sf).select("symbol", "date", "rn", "open", "close", c("score100").cast("double").alias("score"))
     cut = F.lit("2001-01-31").cast("date")
     picks = last_rows(b.where(c("date") <= cut).select("symbol", "rn", "score")).where("score >= 50").select("symbol", "score")
     after = b.where(c("date") > cut).groupBy("symbol").agg(F.min_by("open", "rn").alias("entry"), F.max_by("close", "rn").alias("last"), F.count("*").alias("days")).where("days >= 5")
     return evaluation.hold_cohort(picks.join(after, "symbol"), 5000.0, out.ROUND_TRIP_PCT)
 
 
-COHORT = [BARS, *__import__("barloom.catalog.indicators", fromlist=["TECH"]).TECH[1:5], f"pk0 AS (SELECT symbol, arg_max({r('rsi', 0)}, rn) AS score FROM t4 WHERE date<='2001-01-31' GROUP BY 1), af AS (SELECT symbol, arg_min(open, rn) AS entry, arg_max(close, rn) AS last, count(*) AS days FROM b WHERE date>'2001-01-31' GROUP BY 1 HAVING count(*)>=5), pr AS (SELECT *, count(*) OVER () AS n FROM pk0 JOIN af USING (symbol) WHERE score>=50), pc AS (SELECT *, count(*) OVER () AS m FROM pr WHERE entry<=5000.0::double/n), pq AS (SELECT *, floor(5000.0::double/m/entry) AS qty FROM pc)",
+COHORT = [*SCAN, f"pk0 AS (SELECT symbol, max_by(cast(score100 AS double), rn) AS score FROM z WHERE date<='2001-01-31' AND rn=(SELECT max(y.rn) FROM z y WHERE y.symbol=z.symbol AND y.date<='2001-01-31') GROUP BY 1), af AS (SELECT symbol, arg_min(open, rn) AS entry, arg_max(close, rn) AS last, count(*) AS days FROM b WHERE date>'2001-01-31' GROUP BY 1 HAVING count(*)>=5), pr AS (SELECT *, count(*) OVER () AS n FROM pk0 JOIN af USING (symbol) WHERE score>=50), pc AS (SELECT *, count(*) OVER () AS m FROM pr WHERE entry<=5000.0::double/n), pq AS (SELECT *, floor(5000.0::double/m/entry) AS qty FROM pc)",
           "co AS (SELECT *, qty*entry AS invested, qty*last AS value, qty*last-qty*entry-qty*entry*0.5582::double/100 AS pnl, (qty*last-qty*entry-qty*entry*0.5582::double/100)/(qty*entry)*100 AS pnl_pct FROM pq WHERE qty>0)"]
-register("c20_hold_cohort", lambda spark, sf: tidy(cohort(spark, sf).agg(F.count("*").alias("positions"), F.sum("invested").alias("invested"), F.sum("value").alias("value"), F.sum("pnl").alias("pnl"), F.count_if(c("pnl") > 0).alias("winners"), F.count_if(c("pnl") <= 0).alias("losers")), 3), query(COHORT, f"SELECT count(*) AS positions, {d('sum(invested)', 3)} AS invested, {d('sum(value)', 3)} AS value, {d('sum(pnl)', 3)} AS pnl, count(*) FILTER (WHERE pnl>0) AS winners, count(*) FILTER (WHERE pnl<=0) AS losers FROM co"))
+register("c20_hold_cohort", lambda spark, sf: tidy(cohort(spark, sf).agg(F.count("*").alias("positions"), F.sum("invested").alias("invested"), F.sum("value").alias("value"), F.sum("pnl").alias("pnl"), F.count_if(c("pnl") > 0).alias("winners"), F.count_if(c("pnl") <= 0).alias("losers")), 3), query(COHORT, f"SELECT count(*) AS positions, {d('sum(invested)', 3)} AS invested, {d('sum(value)', 3)} AS value, {d('sum(pnl)', 3)} AS pnl, count(*) FILTER (WHERE pnl>0) AS winners, count(*) FILTER (WHERE pnl<=0) AS losers FROM co", True))
 
 
 def _best_worst(spark, sf):
@@ -457,7 +477,7 @@ def _best_worst(spark, sf):
     return tidy(best.unionByName(x.orderBy("pnl_pct", "symbol").limit(5).withColumn("side", F.lit("worst"))))
 
 
-register("k05_best_worst_five", _best_worst, query([*COHORT, f"cx AS (SELECT symbol, {r('pnl_pct', 4)}+0.0::double AS pnl_pct FROM co)"], "SELECT *, 'best' AS side FROM (SELECT * FROM cx ORDER BY pnl_pct DESC, symbol LIMIT 5) UNION ALL SELECT *, 'worst' FROM (SELECT * FROM cx ORDER BY pnl_pct, symbol LIMIT 5)"))
+register("k05_best_worst_five", _best_worst, query([*COHORT, f"cx AS (SELECT symbol, {r('pnl_pct', 4)}+0.0::double AS pnl_pct FROM co)"], "SELECT *, 'best' AS side FROM (SELECT * FROM cx ORDER BY pnl_pct DESC, symbol LIMIT 5) UNION ALL SELECT *, 'worst' FROM (SELECT * FROM cx ORDER BY pnl_pct, symbol LIMIT 5)", True))
 
 
 def _scenarios(spark, sf):
@@ -501,7 +521,7 @@ register("k01_result_ordering", lambda spark, sf: tidy(scan_log(spark, sf).where
 register("k02_intraday_ordering", lambda spark, sf: tidy(scan_log(spark, sf).where("scan_type = 'intraday'").orderBy(F.coalesce("score100", F.lit(0)).desc(), "id").select("id", F.coalesce("score100", F.lit(0)).alias("rank_score"))), query(LOG, "SELECT id, coalesce(score100,0) AS rank_score FROM slog WHERE scan_type='intraday' ORDER BY 2 DESC, 1"))
 register("k03_analysed_first", lambda spark, sf: tidy(scan_log(spark, sf).orderBy(c("score100").isNull(), F.coalesce("score100", F.lit(0)).desc(), "id").select("id", c("score100").isNotNull().alias("analysed"))), query(LOG, "SELECT id, cast(score100 IS NOT NULL AS bigint) AS analysed FROM slog"))
 register("k04_history_limit", lambda spark, sf: tidy(scan_log(spark, sf).orderBy(c("scanned_at").desc(), c("score100").desc(), "id").limit(100).select("id", "score100")), query(LOG, "SELECT id, score100 FROM slog ORDER BY scanned_at DESC, score100 DESC NULLS LAST, id LIMIT 100"))
-register("k07_seeded_sample", lambda spark, sf: tidy(daily_bars(spark, sf).select("symbol").distinct().orderBy(F.xxhash64("symbol", F.lit(42)), "symbol").limit(40)))
+register("k07_seeded_sample", lambda spark, sf: tidy(daily_bars(spark, sf).select("symbol").distinct().orderBy(F.sha2(F.concat("symbol", F.lit("|42")), 256), "symbol").limit(40)), query(BARS, "SELECT symbol FROM (SELECT DISTINCT symbol FROM b) ORDER BY sha256(symbol||'|42'), symbol LIMIT 40"))
 register("k08_union_dedup", lambda spark, sf: tidy(read(spark, sf, "customer").select(F.lit("c").alias("k"), c("c_nationkey").alias("n"), c("c_custkey").alias("pos")).unionByName(read(spark, sf, "supplier").select(F.lit("s").alias("k"), c("s_nationkey").alias("n"), c("s_suppkey").alias("pos"))).groupBy("n").agg(F.min("pos").alias("pos"))), "SELECT n, min(pos) AS pos FROM (SELECT c_nationkey AS n, c_custkey AS pos FROM customer UNION ALL SELECT s_nationkey, s_suppkey FROM supplier) GROUP BY 1")
 register("k09_difference", lambda spark, sf: tidy(read(spark, sf, "part").select("p_partkey").subtract(read(spark, sf, "lineitem").where("l_quantity > 49").select(c("l_partkey").alias("p_partkey")))), "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity>49")
 register("k10_intersection", lambda spark, sf: tidy(read(spark, sf, "customer").select(c("c_nationkey").alias("n"), c("c_mktsegment").alias("s")).intersect(read(spark, sf, "customer").where("c_acctbal > 9000").select(c("c_nationkey").alias("n"), c("c_mktsegment").alias("s")))), "SELECT c_nationkey AS n, c_mktsegment AS s FROM customer INTERSECT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal>9000")

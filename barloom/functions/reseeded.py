@@ -1,10 +1,11 @@
 """Indicators as if each bar's history began a fixed number of bars ago.
 
 Recursive series depend on where they start, so a replay that cuts the
-history to a trailing window needs its own values for every bar.  Spark takes
-the bounded frame of each bar (151 or 201 values) and partitions the work;
-a vectorised kernel then runs the recursions for all bars of an Arrow batch
-at once.  Everything that is not recursive stays in the window layers.
+history to a trailing window needs its own values for every bar.  Spark cuts
+the bounded frame of each sampled bar (151 or 201 values) out of blocks of
+bars and partitions the work; a vectorised kernel then runs the recursions
+for all bars of an Arrow batch at once.  Everything that is not recursive
+stays in the window layers.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from barloom.functions import indicators as ind, scoring
-from barloom.functions.windows import frame_array
+from barloom.functions.windows import sampled
 
 FIELDS = (
     "e9", "e21", "e50", "e150", "e150_base", "e21_5", "e50_5", "days_above_ema21", "rsi", "macd_hist", "macd_prev",
@@ -104,19 +105,21 @@ def _window_values(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Data
         yield kernel(*(np.stack(p.to_numpy()).astype(float) for p in parts))
 
 
-def replay_inputs(bars: DataFrame, back: int, start: int, step: int, tail: int) -> DataFrame:
-    """Score inputs on every ``step``-th bar from ``start``, seeded ``back`` bars earlier.
+def replay_inputs(bars: DataFrame, back: int, start: int, step: int, tail: int, path: str | None = None, ahead: int = 0) -> DataFrame:
+    """Score inputs on every ``step``-th bar from ``start``, seeded ``back`` bars earlier, and the next ``ahead`` bars as ``path``.
 
-    Only sampled bars with a full window reach Python.  ``tail`` bars at the
-    end of a series are left out (their outcome is not known yet).
+    Only sampled bars with a full window get frames and reach Python.
+    ``tail`` bars at the end of a series are left out (their outcome is not
+    known yet).
     """
     c = F.col
     df = ind.compose(bars, ind.ichimoku(), ind.volume_average(), ind.pivots(), {"a": {"v5": ind.roll(F.avg, "volume", 5)}})
-    ahead = F.lead("close", tail).over(ind.by_symbol())
-    frames = {f"_w_{x}": frame_array(c(x), back + 1) for x in ("high", "low", "close", "volume")}
-    df = df.select("*", ahead.alias("_ahead"), *[v.alias(k) for k, v in frames.items()])
-    df = df.where((c("rn") >= max(start, back)) & ((c("rn") - max(start, back)) % step == 0) & c("_ahead").isNotNull())
-    df = df.withColumn("_x", _window_values("_w_high", "_w_low", "_w_close", "_w_volume")).drop(*frames, "_ahead")
+    df = df.withColumn("_ahead", F.lead("close", tail).over(ind.by_symbol()))
+    first = max(start, back)
+    df = df.withColumn("_pick", (c("rn") >= first) & ((c("rn") - first) % step == 0) & c("_ahead").isNotNull()).drop("_ahead")
+    values = ("high", "low", "close", "volume")
+    df = sampled(df, "_pick", values, back, ahead, path or "path")
+    df = df.withColumn("_x", _window_values("_w_high", "_w_low", "_w_close", "_w_volume")).drop(*[f"_w_{v}" for v in values])
     x = lambda name: c(f"_x.{name}")
     rnd = scoring.rnd
     df = df.select(

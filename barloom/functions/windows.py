@@ -89,6 +89,56 @@ def frame_array(x: Column, n: int) -> Column:
     return F.collect_list(x).over(by_symbol().rowsBetween(-(n - 1), 0))
 
 
+HALO = LEVELS["_b0"]
+
+
+def sampled(df: DataFrame, picked: str, values: Sequence[str] = (), back: int = 0, ahead: int = 0, path: str = "path") -> DataFrame:
+    """The rows of ``df`` where ``picked`` is true, with the frames around them.
+
+    Adds ``_w_{x}`` for each of ``values``, the last ``back`` + 1 values up to
+    the row, and ``path``, the next ``ahead`` bars (structs of open, high, low,
+    close); both are shorter at the ends of a series.
+
+    Each symbol's rows are put together in blocks of ``HALO`` and a block sees
+    the arrays of the one before and the one after.  Frames are cut out of
+    those three for the picked rows only, so a row that is not picked never
+    carries one.  Neither frame may be longer than a block.
+    """
+    if max(back, ahead) > HALO:
+        raise ValueError(f"frames reach at most {HALO} rows")
+    rest = [c for c in df.columns if c not in ("symbol", "_b0", picked)]
+    bar = ("open", "high", "low", "close")
+    needed = [x for x in dict.fromkeys([*(values if back else ()), *(bar if ahead else ())]) if x != "rn"]
+    own = F.array_sort(F.collect_list(F.struct("rn", *needed)))
+    rows = F.collect_list(F.when(F.col(picked), F.struct(*rest)))
+    blocks = df.groupBy("symbol", "_b0").agg(own.alias("_own"), rows.alias("_rows"))
+    near = Window.partitionBy("symbol").orderBy("_b0")
+    of = lambda x: lambda b: b[x]
+    cols = {f"_a_{x}": F.transform("_own", of(x)) for x in (values if back else ())}
+    if ahead:
+        cols["_a_path"] = F.transform("_own", lambda b: F.struct(*[b[x].alias(x) for x in bar]))
+    blocks = blocks.select("symbol", "_b0", "_rows", F.size("_own").alias("_n"), *[v.alias(k) for k, v in cols.items()])
+    before = [F.coalesce(F.lag(f"_a_{x}").over(near), F.array()).alias(f"_p_{x}") for x in (values if back else ())]
+    after = [F.coalesce(F.lead("_a_path").over(near), F.array()).alias("_q_path")] if ahead else []
+    blocks = blocks.select("*", *before, *after).where(F.size("_rows") > 0)
+    if back:  # one array a column: the end of the block before, then the block
+        blocks = blocks.select("symbol", "_b0", "_rows", *(["_a_path", "_q_path"] if ahead else []), F.size(f"_p_{values[0]}").alias("_off"), *[F.concat(f"_p_{x}", f"_a_{x}").alias(f"_h_{x}") for x in values])
+    if ahead:
+        blocks = blocks.withColumn("_h_path", F.concat("_a_path", "_q_path")).drop("_a_path", "_q_path")
+
+    def framed(row: Column) -> Column:
+        at = (row["rn"] - F.col("_b0") * HALO).cast("int")
+        fields = [row[c].alias(c) for c in rest]
+        if back:
+            first = F.col("_off") + at - back
+            fields += [F.slice(f"_h_{x}", F.greatest(first, F.lit(0)) + 1, F.lit(back + 1) + F.least(first, F.lit(0))).alias(f"_w_{x}") for x in values]
+        if ahead:
+            fields.append(F.slice("_h_path", at + 2, F.lit(ahead)).alias(path))
+        return F.struct(*fields)
+
+    return blocks.select("symbol", "_b0", F.inline(F.transform("_rows", framed)))
+
+
 def running(fn: Callable[[Column], Column], x: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return fn(x).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.operators.lineage import materialize
 from barloom.operators.ranking import spearman, value_ranks
+from barloom.operators.segmented import Scan, scan
 
 c = F.col
 
@@ -26,22 +28,27 @@ def bucket_table(scored: DataFrame, horizons: Sequence[str], bucket: str, min_n:
 def decile_edges(scored: DataFrame, score: str, ret: str, share: float = 0.10, least: int = 5) -> DataFrame:
     """Mean return of the k highest and k lowest scores against all, k = max(share, least).
 
-    Ranks come from counted distinct scores.  The score group that straddles
-    k is resolved by return and symbol, inside that one score value.
+    Counted distinct scores tell the value at which each side ends.  Rows
+    above it are taken, rows of that value are put in order of symbol and
+    date by a distributed sort and taken up to k, so a score shared by any
+    number of rows is never in one task.
     """
-    df = scored.where(c(score).isNotNull() & c(ret).isNotNull())
-    ranks = value_ranks(df, [], score).select(score, "below", "n_equal")
-    total = ranks.agg(F.sum("n_equal").alias("n"))
-    n = total.select("n").scalar()
-    k = F.greatest(F.floor(n * share), F.lit(least))
-    r = ranks.select(score, "below", "n_equal", (n - c("below") - c("n_equal")).alias("above"))
-    df = df.join(r, score)
-    tie = Window.partitionBy(score).orderBy("symbol", "date")
-    df = df.withColumns({"_top": c("above") + F.row_number().over(tie) <= k, "_low": c("below") + F.row_number().over(tie) <= k})
-    return df.agg(
-        F.count("*").alias("n"), F.avg(ret).alias("base"),
-        F.avg(F.when(c("_top"), c(ret))).alias("top_mean"), F.avg(F.when(c("_low"), c(ret))).alias("bottom_mean"),
-    ).select("n", "base", "top_mean", (c("top_mean") - c("base")).alias("top_edge"), "bottom_mean", (c("bottom_mean") - c("base")).alias("bottom_edge"))
+    df = scored.where(c(score).isNotNull() & c(ret).isNotNull()).select("symbol", "date", score, ret)
+    ranks = materialize(value_ranks(df, [], score).select(score, "below", "n_equal"))
+    n = ranks.agg(F.sum("n_equal")).first()[0] or 0
+    k = max(int(n * share), least)
+    sums = [df.agg(F.count("*").alias("n"), F.avg(ret).alias("base"))]
+    for side, before in (("top", n - c("below") - c("n_equal")), ("bottom", c("below"))):
+        at = ranks.withColumn("_before", before)
+        whole = at.where(c("_before") + c("n_equal") <= k).select(score)
+        border = at.where((c("_before") < k) & (c("_before") + c("n_equal") > k)).first()
+        taken = df.join(whole, score, "left_semi").agg(F.sum(ret).alias("s"), F.count(ret).alias("m"))
+        if border is not None:
+            tied = scan(df.where(c(score) == border[score]), [], [c("symbol"), c("date")], [Scan("_place", "count", F.lit(1))])
+            taken = taken.union(tied.where(c("_place") <= k - border["_before"]).agg(F.sum(ret), F.count(ret)))
+        sums.append(taken.agg((F.sum("s") / F.sum("m")).alias(f"{side}_mean")))
+    df = sums[0].select("n", "base", *[x.select(x.columns[0]).scalar().alias(x.columns[0]) for x in sums[1:]])
+    return df.select("n", "base", "top_mean", (c("top_mean") - c("base")).alias("top_edge"), "bottom_mean", (c("bottom_mean") - c("base")).alias("bottom_edge"))
 
 
 def validation_table(scored: DataFrame, score: str, horizons: Sequence[str]) -> DataFrame:
@@ -85,7 +92,7 @@ def block_bootstrap(obs: DataFrame, chosen: Column, draws: int = 1000, width: in
     spark = obs.sparkSession
     picks = spark.range(draws).select(c("id").alias("draw"), F.explode(F.sequence(F.lit(1), per_draw)).alias("i"))
     span = days - width + 1
-    picks = picks.withColumn("start", F.pmod(F.xxhash64("draw", "i", F.lit(seed)), span.cast("long")).cast("int"))
+    picks = picks.withColumn("start", F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", "draw", "i", F.lit(seed)), 256), 1, 8), 16, 10).cast("long"), span.cast("long")).cast("int"))
     rest = days - (per_draw - 1) * width  # dates of the last block
     picks = picks.withColumns({"rest": rest.cast("int"), "final": c("i") == per_draw})
     cut = lambda x: F.aggregate(F.slice(f"l{x}", F.lit(1), c("rest")), F.lit(0.0), lambda a, v: a + v)

@@ -12,12 +12,12 @@ from barloom.operators import reports
 BUCKETS = ("BASELINE", "50-60", "60-70", "70-80", "80+")
 
 
-def expectancy_trades(bars: DataFrame, context: DataFrame) -> DataFrame:
+def expectancy_trades(bars: DataFrame, context: DataFrame, bounded: bool = False) -> DataFrame:
     """Sampled bars with the regime of their date, a five-bar trade and a score bucket."""
     c = F.col
-    paths = bars.withColumn("_fwd", outcomes.path(5))
-    df = replay_inputs(paths, back=150, start=150, step=3, tail=5)
-    df = df.join(context.select("date", "regime", "above_200", "above_50"), "date")
+    df = replay_inputs(bars, back=150, start=150, step=3, tail=5, path="_fwd", ahead=5)
+    sessions = context.select("date", "regime", "above_200", "above_50")
+    df = df.join(F.broadcast(sessions) if bounded else sessions, "date")
     df = scoring.with_trade_levels(df)
     df = scoring.with_score(df).where((c("sl_buy") < c("close")) & (c("close") > 0))
     df = outcomes.with_path_trade(df, "_fwd", "sl_buy", "target1", False).where(c("entry").isNotNull())
@@ -44,7 +44,7 @@ def expectancy_table(trades: DataFrame) -> DataFrame:
 def captured_signals(bars: DataFrame, min_score: int = 50) -> DataFrame:
     """Every fifth bar scoring at least ``min_score`` on a 201-bar history, with its forward path."""
     c = F.col
-    df = replay_inputs(bars.withColumn("path", outcomes.path(63)), back=200, start=200, step=5, tail=64)
+    df = replay_inputs(bars, back=200, start=200, step=5, tail=64, path="path", ahead=63)
     df = scoring.with_score(scoring.with_trade_levels(df))
     return df.where((c("score100") >= min_score) & (c("r_atr") > 0)).select(
         "symbol", "date", c("score100").alias("score"), F.element_at("path", 1)["open"].alias("entry"), c("r_atr").alias("atr"),

@@ -96,3 +96,21 @@ def test_score_ignores_reward_risk(spark, sf):
     again = scoring.with_score(df.drop("score100", "score_verdict").withColumns({"rr_ratio": F.lit(10.0), "sl_buy": F.lit(91.0)}).drop(*[c for c in df.columns if c.startswith(("p_", "b_", "cap_"))], "trend_mod", "mom_mod", "regime_cap", "trend_max", "mom_max", "base_max", "score_coverage_pct", "scaled_base", "bonus", "score_cap"))
     same = again.select("symbol", "rn", F.col("score100").alias("s2")).join(df.select("symbol", "rn", "score100"), ["symbol", "rn"])
     assert same.where("NOT (s2 <=> score100)").count() == 0
+
+
+def test_frames_of_sampled_rows_equal_window_frames(spark):
+    from pyspark.sql import Window
+
+    from barloom.functions.windows import frame_array, sampled
+
+    rows = [r for s, n in (("A", 700), ("B", 40), ("C", 257)) for r in wave(n, s)]
+    df = with_row_number(spark.createDataFrame(rows, BAR_SCHEMA))
+    df = df.withColumn("pick", F.col("rn") % 7 == 3)
+    cut = sampled(df, "pick", ("close", "volume"), 200, 63)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "ROWS BETWEEN 200" not in plan.upper() and "specifiedwindowframe(RowFrame, 1, 63)" not in plan
+    whole = df.select("symbol", "rn", "pick", frame_array(F.col("close"), 201).alias("c"), frame_array(F.col("volume"), 201).alias("v"), out.path(63).alias("p")).where("pick")
+    both = cut.join(whole.drop("pick"), ["symbol", "rn"])
+    assert both.where("_w_close = c AND _w_volume = v AND path = p").count() == whole.count() == both.count() > 100
+    with pytest.raises(ValueError):
+        sampled(df, "pick", ("close",), 300)
