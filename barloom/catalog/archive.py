@@ -311,14 +311,23 @@ register(
 
 
 def _answers(spark, sf):
-    """Conversation turns with their event-like payload wrapped in prose, then extracted again."""
+    """Every conversation turn with an answer fenced in prose, and with one nested up to thirty levels inside a broken object, both read back."""
     conv = read(spark, sf, "conversations")
-    wrapped = F.concat(c("text"), F.lit(" ```json {\"turn\": "), c("turn").cast("string"), F.lit(", \"role\": \""), c("role"), F.lit("\"} ``` {broken"))
-    j = parsing.first_json(wrapped)
-    return tidy(conv.select("conv_id", "turn", F.get_json_object(j, "$.turn").cast("long").alias("found_turn"), F.get_json_object(j, "$.role").alias("found_role")))
+    role, turn = c("role"), c("turn").cast("string")
+    fenced = F.concat(c("text"), F.lit(" ```json {\"turn\": "), turn, F.lit(", \"role\": \""), role, F.lit("\"} ``` {broken"))
+    depth = F.pmod(c("conv_id") + c("turn"), F.lit(30)).cast("int")
+    nested = F.concat(F.lit("{broken "), F.repeat(F.lit('{"n": '), depth), F.lit('{"brace": "}{", "role": "'), role, F.lit('"}'), F.repeat(F.lit("}"), depth), F.lit(" {"))
+    j, deep = parsing.first_json(fenced), parsing.first_json(nested)
+    return tidy(conv.select(
+        "conv_id", "turn", F.get_json_object(j, "$.turn").cast("long").alias("found_turn"), F.get_json_object(j, "$.role").alias("found_role"), deep.alias("nested")))
 
 
-register("a25_json_in_text", _answers, "SELECT conv_id, cast(turn AS bigint) AS turn, cast(turn AS bigint) AS found_turn, role AS found_role FROM conversations")
+register(
+    "a25_json_in_text",
+    _answers,
+    """SELECT conv_id, cast(turn AS bigint) AS turn, cast(turn AS bigint) AS found_turn, role AS found_role,
+  repeat('{"n": ', cast((conv_id+turn)%30 AS integer))||'{"brace": "}{", "role": "'||role||'"}'||repeat('}', cast((conv_id+turn)%30 AS integer)) AS nested FROM conversations""",
+)
 
 
 def instruments(spark, sf):

@@ -119,15 +119,85 @@ def _value(spark, sf):
 register("x28_valuation_snapshot", _value, query([BARS, LAST], "SELECT account, count(*) FILTER (WHERE close IS NULL) AS missing, CASE WHEN count(*) FILTER (WHERE close IS NULL)=0 THEN round(1000+sum(qty*close),4)+0.0::double END AS nav FROM (SELECT o_custkey AS account, 'S'||cast(o_orderkey%110 AS varchar) AS symbol, floor(o_totalprice/10000) AS qty FROM orders) o LEFT JOIN lc USING (symbol) GROUP BY 1"))
 
 
+_d = lambda x: f"round({x},4)+0.0::double"
+
+
+def corporate_actions(spark, sf):
+    """Actions of every order that names one, some repeated and some repeated with other values."""
+    k = c("o_orderkey")
+    kind = F.when(c("o_orderpriority") == "1-URGENT", "split").when(c("o_orderpriority").isin("2-HIGH", "4-NOT SPECIFIED"), "dividend_payment").when(c("o_orderpriority") == "3-MEDIUM", "demerger")
+    a = read(spark, sf, "orders").select(
+        k.alias("id"), F.concat(F.lit("S"), F.pmod("o_custkey", F.lit(120)).cast("string")).alias("symbol"), kind.alias("type"),
+        F.when(kind == "split", F.when(k % 11 == 0, -1.0).when(k % 2 == 0, 2.0).otherwise(0.5)).alias("ratio"),
+        F.when(kind == "dividend_payment", F.when(k % 13 == 0, -1.0).otherwise(k % 9 / 10.0)).alias("cash_per_share"), F.to_date("o_orderdate").alias("day"),
+    ).where(c("type").isNotNull())
+    other = a.where("id % 19 = 0").withColumns({"ratio": c("ratio") + 1, "cash_per_share": c("cash_per_share") + 1})
+    return a.unionByName(a.where("id % 17 = 0")).unionByName(other)
+
+
+def share_changes(spark, sf):
+    o = read(spark, sf, "orders")
+    return o.select(F.pmod("o_custkey", F.lit(40)).alias("account"), F.concat(F.lit("S"), F.pmod("o_orderkey", F.lit(120)).cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("day"), (1 + c("o_orderkey") % 5).alias("qty"))
+
+
+SNAPSHOT = "1997-06-01"
+ACTIONS = [
+    """aa AS (SELECT o_orderkey AS id, 'S'||cast(o_custkey%120 AS varchar) AS symbol, CASE WHEN o_orderpriority='1-URGENT' THEN 'split' WHEN o_orderpriority IN ('2-HIGH','4-NOT SPECIFIED') THEN 'dividend_payment' WHEN o_orderpriority='3-MEDIUM' THEN 'demerger' END AS type, cast(o_orderdate AS date) AS day FROM orders)""",
+    """an AS (SELECT *, CASE WHEN id%19=0 AND type<>'demerger' THEN 'conflicting_action' WHEN type='split' AND id%11=0 THEN 'invalid_ratio' WHEN type='dividend_payment' AND id%13=0 THEN 'invalid_dividend' WHEN type='demerger' THEN 'needs_review' WHEN id%17=0 OR id%19=0 THEN 'duplicate_action' END AS reason FROM aa WHERE type IS NOT NULL)""",
+    "ch AS (SELECT o_custkey%40 AS account, 'S'||cast(o_orderkey%120 AS varchar) AS symbol, cast(o_orderdate AS date) AS day, sum(1+o_orderkey%5) AS d FROM orders GROUP BY 1,2,3)",
+    "iv AS (SELECT account, symbol, cast(sum(d) OVER (PARTITION BY account, symbol ORDER BY day) AS bigint) AS qty, day AS f, lead(day) OVER (PARTITION BY account, symbol ORDER BY day) AS t FROM ch)",
+]
+
+
+def _holdings(spark, sf):
+    iv = portfolio.entitlements(share_changes(spark, sf))
+    at = F.lit(SNAPSHOT).cast("date")
+    return iv.where((c("valid_from") <= at) & (c("valid_to").isNull() | (at < c("valid_to")))).select("account", "symbol", "qty", F.lit(100.0).alias("mark"), at.alias("held_since"))
+
+
 def _splits(spark, sf):
-    f = tables.fundamentals(spark, sf)
-    k = F.substring("symbol", 2, 10).cast("long")
-    actions = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(c("o_orderkey").alias("id"), F.concat(F.lit("S"), F.pmod("o_custkey", F.lit(500)).cast("string")).alias("symbol"), F.lit("split").alias("type"), F.lit(2.0).alias("ratio"), F.to_date("o_orderdate").alias("day"))
-    hold = f.select("symbol", F.lit(10.0).alias("qty"), F.lit(100.0).alias("mark"), F.lit("2000-06-01").cast("date").alias("held_since"))
-    return tidy(portfolio.apply_splits(hold, actions.unionByName(actions)).select("symbol", "factor", "qty", "mark"))
+    sound, _ = portfolio.reviewed_actions(corporate_actions(spark, sf))
+    return tidy(portfolio.apply_splits(_holdings(spark, sf), sound).select("account", "symbol", "factor", "qty", "mark", "unresolved"))
+
+
+def _dividends(spark, sf):
+    sound, _ = portfolio.reviewed_actions(corporate_actions(spark, sf))
+    return tidy(portfolio.dividend_cash(portfolio.entitlements(share_changes(spark, sf)), sound))
+
 
+def _quarantine(spark, sf):
+    _, refused = portfolio.reviewed_actions(corporate_actions(spark, sf))
+    return tidy(portfolio.quarantine(portfolio.entitlements(share_changes(spark, sf)), refused))
 
-register("x29_split_application", _splits, query([FUNDAMENTALS, "ac AS (SELECT 'S'||cast(o_custkey%500 AS varchar) AS symbol, count(*) AS n FROM orders WHERE o_orderpriority='1-URGENT' AND o_orderdate>'2000-06-01' GROUP BY 1)"], "SELECT symbol, round(pow(2,coalesce(n,0)),4)+0.0::double AS factor, round(10*pow(2,coalesce(n,0)),4)+0.0::double AS qty, round(100/pow(2,coalesce(n,0)),4)+0.0::double AS mark FROM fd LEFT JOIN ac USING (symbol)"))
+
+register(
+    "x29_split_application",
+    _splits,
+    query(
+        [*ACTIONS, f"hd AS (SELECT account, symbol, qty FROM iv WHERE f<='{SNAPSHOT}' AND (t IS NULL OR t>'{SNAPSHOT}'))",
+         f"sx AS (SELECT h.account, h.symbol, h.qty, CASE WHEN a.id%2=0 THEN 1 ELSE -1 END AS e, a.day, a.id FROM hd h JOIN an a ON a.symbol=h.symbol AND a.type='split' AND coalesce(a.reason,'duplicate_action')='duplicate_action' AND a.day>'{SNAPSHOT}')",
+         "sy AS (SELECT *, sum(e) OVER (PARTITION BY account, symbol ORDER BY day, id ROWS UNBOUNDED PRECEDING) AS p FROM sx)",
+         "sz AS (SELECT account, symbol, sum(e) AS e, min(p) AS low FROM sy GROUP BY 1,2)"],
+        f"""SELECT account, symbol, {_d('pow(2,coalesce(e,0))')} AS factor, {_d('qty*pow(2,coalesce(e,0))')} AS qty, {_d('100/pow(2,coalesce(e,0))')} AS mark,
+  cast(coalesce(CASE WHEN low<0 THEN qty % cast(greatest(1,pow(2,-low)) AS bigint)<>0 END, false) AS bigint) AS unresolved FROM hd LEFT JOIN sz USING (account, symbol)""",
+    ),
+)
+register(
+    "x29_dividends",
+    _dividends,
+    query(
+        ACTIONS,
+        f"SELECT account, {_d('sum(qty*(id%9))/10.0::double')} AS dividend_cash, count(*) AS payments FROM iv JOIN an ON an.symbol=iv.symbol AND f<=day AND (t IS NULL OR day<t) WHERE type='dividend_payment' AND coalesce(reason,'duplicate_action')='duplicate_action' GROUP BY 1",
+    ),
+)
+register(
+    "x29_quarantine",
+    _quarantine,
+    query(
+        ACTIONS,
+        "SELECT id, an.symbol, type, reason, account FROM an JOIN iv ON an.symbol=iv.symbol AND f<=day AND (t IS NULL OR day<t) WHERE reason='needs_review' UNION ALL SELECT id, symbol, type, reason, NULL FROM an WHERE reason IS NOT NULL AND reason<>'needs_review'",
+    ),
+)
 
 
 def _exits(spark, sf):

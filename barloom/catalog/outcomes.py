@@ -51,7 +51,7 @@ LOOKBACK, FORWARD_BARS, LEAST_SCORE = 60, 21, 55
 
 def backtest_trades(spark, sf) -> DataFrame:
     """Trades of the bars with a score of at least 55 among the 60 before the last 21, by the levels of the bar itself."""
-    df = scan.scan(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "score100", "sl_buy", "target1")
+    df = scan.score_log(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "score100", "sl_buy", "target1")
     ends = F.max("rn").over(Window.partitionBy("symbol")) + 1
     df = df.withColumn("_n", ends)
     span = (c("rn") >= c("_n") - LOOKBACK - FORWARD_BARS) & (c("rn") < c("_n") - FORWARD_BARS) & (c("_n") >= LOOKBACK + FORWARD_BARS + 52)
@@ -388,13 +388,13 @@ register(
 register(
     "x15_point_in_time_replay",
     lambda spark, sf: tidy(
-        ind.compose(bars(spark, sf), ind.emas(9, 50), ind.atr(14), ind.highs(20)).where((c("rn") >= 150) & (c("rn") % 21 == 0)).select("symbol", "date", "e9", "e50", "atr14", "hh20")
+        ind.compose(bars(spark, sf), ind.emas(9, 50), ind.atr(14), ind.highs(20)).where(c("rn") >= 150).select("symbol", "date", "e9", "e50", "atr14", "hh20")
     ),
     query(
         [
             *TECH[:2],
-            # Each sampled bar recomputed from its own prefix only.
-            """pr AS (SELECT a.symbol, a.rn, a.date, x.rn AS xr, x.close, x.tr, x.high FROM t1 a JOIN t1 x ON x.symbol=a.symbol AND x.rn<=a.rn WHERE a.rn>=150 AND a.rn%21=0)""",
+            # Each bar recomputed from its own prefix only.
+            """pr AS (SELECT a.symbol, a.rn, a.date, x.rn AS xr, x.close, x.tr, x.high FROM t1 a JOIN t1 x ON x.symbol=a.symbol AND x.rn<=a.rn WHERE a.rn>=150)""",
             "pv AS (SELECT symbol, rn, any_value(date) AS date, sum(close*pow(0.8::double, rn-xr)*CASE WHEN xr=0 THEN 1 ELSE 0.2::double END) AS e9, sum(close*pow(1-2.0::double/51, rn-xr)*CASE WHEN xr=0 THEN 1 ELSE 2.0::double/51 END) AS e50, sum(tr*pow(1-1.0::double/14, rn-xr)*CASE WHEN xr=0 THEN 1 ELSE 1.0::double/14 END) AS atr14, max(CASE WHEN xr>rn-20 THEN high END) AS hh20 FROM pr GROUP BY 1,2)",
         ],
         f"SELECT {select('symbol date@d e9@4 e50@4 atr14@4 hh20@4')} FROM pv",

@@ -31,7 +31,7 @@ def part(spark, sf):
 # --- B: filters and routing -------------------------------------------------------
 def _candidates(spark, sf):
     """What each session's scan offers to buy: score, stage, reward against risk, not banned, few pledged shares; strongest first."""
-    rows = scan.scan(spark, sf).join(tables.fundamentals(spark, sf).select("symbol", "banned"), "symbol", "left")
+    rows = scan.score_log(spark, sf).join(tables.fundamentals(spark, sf).select("symbol", "banned"), "symbol", "left")
     good = (c("score100") >= 65) & (c("stage") == 2) & (F.coalesce("rr_ratio", F.lit(0.0)) >= 1.8) & ~F.coalesce("banned", F.lit(False)) & (F.coalesce("promoter_pledged", F.lit(0.0)) < 30)
     order = [c("date"), F.coalesce("composite_rs", F.lit(0.0)).desc(), c("score100").desc(), c("symbol")]
     return tidy(rows.where(good).orderBy(*order).select("date", "symbol", "score100", "rr_ratio", "composite_rs"))
@@ -368,7 +368,7 @@ register("c05_participant_interest", _interest, "SELECT o_orderpriority, net, CA
 
 def scored_forward(spark, sf):
     """Every bar of at least 120 with its 0-100 score and its forward returns."""
-    df = scan.scan(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "close", c("score100").cast("double").alias("score"))
+    df = scan.score_log(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "close", c("score100").cast("double").alias("score"))
     df = df.select("symbol", "date", "rn", "score", *[rnd(v, 6).alias(k) for k, v in out.forward_returns(HORIZONS).items()])
     return df.where((c("rn") >= 119) & c("score").isNotNull())
 
@@ -398,7 +398,7 @@ register(
 
 def observations(spark, sf):
     """Every fifth bar after 260: next open to close 21 bars on, the score and the control masks; rows without a score leave all arms."""
-    df = scan.scan(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "volume", c("score100").cast("double").alias("score"))
+    df = scan.score_log(spark, sf).select("symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "volume", c("score100").cast("double").alias("score"))
     df = rules.with_rules(df, rules.CONTROLS, "m_")
     df = df.withColumns({"fwd": (lead("close", 21) / lead("open", 1) - 1.0) * 100.0 - out.ROUND_TRIP_PCT, "prev_score": F.when(c("rn") >= 265, wlag("score", 5))})
     picked = (c("rn") >= 260) & ((c("rn") - 260) % 5 == 0) & c("fwd").isNotNull() & c("score").isNotNull()
@@ -459,7 +459,7 @@ register("c19_survivorship", _survivors, query([BARS, FUNDAMENTALS, "sp AS (SELE
 
 def cohort(spark, sf):
     """Names picked on a date by score, bought at the next open, held to the end."""
-    b = scan.scan(spark, sf).select("symbol", "date", "rn", "open", "close", c("score100").cast("double").alias("score"))
+    b = scan.score_log(spark, sf).select("symbol", "date", "rn", "open", "close", c("score100").cast("double").alias("score"))
     cut = F.lit("2001-01-31").cast("date")
     picks = last_rows(b.where(c("date") <= cut).select("symbol", "rn", "score")).where("score >= 50").select("symbol", "score")
     after = b.where(c("date") > cut).groupBy("symbol").agg(F.min_by("open", "rn").alias("entry"), F.max_by("close", "rn").alias("last"), F.count("*").alias("days")).where("days >= 5")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.operators.lineage import materialize
+from barloom.operators.segmented import Scan, affine, scan
+
 ARMS = ("stable_control", "momentum", "momentum_trend", "year_high")
 
 
@@ -63,72 +65,32 @@ def allocate(
     return df.withColumn("quantity", F.least("want", F.greatest(F.lit(0), left))).where(c("quantity") > 0).drop("want")
 
 
-#: Parts of a day end where the cost has shrunk by this power of e.
-PART_DECAY = 300.0
-
-
-def _carry_costs(parts: pd.DataFrame) -> pd.DataFrame:
-    """Cost carried into each part of one symbol, in order; one row per day or e^300 of shrinking."""
-    parts = parts.sort_values(["day", "_part"])
-    carry, carries = 0.0, []
-    for keep, add in zip(parts["_k"], parts["_a"]):
-        carries.append(carry)
-        carry = keep * carry + add
-    return parts.assign(_carry=carries)[["symbol", "day", "_part", "_first", "_opens", "_carry"]]
-
-
 def positions(fills: DataFrame) -> DataFrame:
     """Quantity, average cost and realised result after each fill of a symbol.
 
-    ``fills(symbol, day, seq, side, qty, price)``.  Sells beyond the held
-    quantity fill only what is held.  Quantity is a reflected running sum and
-    cost a linear recursion, so both combine over parts: windows run inside
-    (symbol, day) and over one summary row per part, never over all fills of a
-    symbol at once.  A day is cut into parts wherever its sells have shrunk
-    the cost by another e^300, so the weights of the recursion stay finite.
+    ``fills(symbol, day, seq, side, qty, price)``, (day, seq) unique in a
+    symbol.  Sells beyond the held quantity fill only what is held.  Quantity
+    is a running sum less its own lowest dip, cost the affine recursion
+    cost = keep * cost + add; both are scanned over blocks of fills, so a
+    symbol may hold nearly all of them, and a full close (keep = 0) starts anew.
     """
     c = F.col
+    order = [c("day"), c("seq")]
     signed = F.when(c("side") == "BUY", c("qty")).otherwise(-c("qty"))
-    inside = Window.partitionBy("symbol", "day").orderBy("seq")
-    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
-    df = fills.withColumn("_d", signed).withColumn("_s", F.sum("_d").over(upto)).withColumn("_low", F.min("_s").over(upto))
-    days = df.groupBy("symbol", "day").agg(F.sum("_d").alias("_total"), F.min("_s").alias("_dip"))
-    over_days = Window.partitionBy("symbol").orderBy("day")
-    prior = over_days.rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_base", F.coalesce(F.sum("_total").over(prior), F.lit(0)))
-    days = days.withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(c("_base") + c("_dip")).over(prior), F.lit(0))))
-    days = days.select("symbol", "day", (c("_base") - c("_floor")).alias("_open"))
-    df = df.join(days, ["symbol", "day"])
-    held = F.greatest(c("_open") + c("_s"), c("_s") - c("_low"))
-    df = df.withColumn("held", held).withColumn("_prev", F.coalesce(F.lag("held").over(inside), c("_open")))
-    done = F.when(c("side") == "BUY", c("qty")).otherwise(F.least(c("qty"), c("_prev")))
-    df = df.withColumn("filled", done)
-    # cost_t = keep_t * cost_{t-1} + add_t; a full close (keep = 0) starts a new run.
-    df = df.withColumns(
-        {
-            "_keep": F.when(c("side") == "BUY", 1.0).when(c("_prev") == 0, 1.0).otherwise(1.0 - c("filled") / c("_prev")),
-            "_add": F.when(c("side") == "BUY", c("qty") * c("price")).otherwise(0.0),
-            "_reset": F.when((c("side") != "BUY") & (c("_prev") > 0) & (c("filled") == c("_prev")), 1).otherwise(0),
-        }
-    )
-    df = df.withColumn("_run", F.sum("_reset").over(upto))
-    df = df.withColumn("_shrink", F.when(c("_reset") == 1, 0.0).otherwise(F.ln("_keep")))
-    df = df.withColumn("_part", F.floor(-F.sum("_shrink").over(upto) / PART_DECAY))
-    run_upto = Window.partitionBy("symbol", "day", "_part", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_ln", F.sum("_shrink").over(run_upto))
-    df = df.withColumn("_local", F.exp("_ln") * F.sum(c("_add") * F.exp(-c("_ln"))).over(run_upto))
-    # Within the first run of a part the cost carried into it still counts.
-    last = df.groupBy("symbol", "day", "_part").agg(F.min("_run").alias("_first"), F.max_by(F.struct("_run", "_ln", "_local"), "seq").alias("e"), F.min_by("_reset", "seq").alias("_opens"))
-    carries_on = (c("e._run") == c("_first")) & (c("_opens") == 0)
-    last = last.select("symbol", "day", "_part", "_first", "_opens", F.when(carries_on, F.exp("e._ln")).otherwise(0.0).alias("_k"), c("e._local").alias("_a"))
-    opening = last.groupBy("symbol").applyInPandas(_carry_costs, "symbol string, day " + dict(df.dtypes)["day"] + ", _part long, _first long, _opens int, _carry double")
-    df = df.join(opening, ["symbol", "day", "_part"])
-    df = df.withColumn("_live", F.when((c("_run") == c("_first")) & (c("_opens") == 0), F.exp("_ln") * c("_carry")).otherwise(0.0))
-    df = df.withColumn("cost", F.when(c("held") == 0, 0.0).otherwise(c("_local") + c("_live")))
-    df = df.withColumn("_pc", F.coalesce(F.lag("cost").over(inside), c("_carry")))
-    realised = F.when((c("side") != "BUY") & (c("_prev") > 0), c("filled") * (c("price") - c("_pc") / c("_prev"))).otherwise(0.0)
+    df = scan(fills.withColumn("_d", signed), ["symbol"], order, [Scan("_s", "sum", c("_d"))])
+    df = scan(df, ["symbol"], order, [Scan("_low", "min", c("_s")), Scan("_low0", "min", c("_s"), False)])
+    zero = F.lit(0)
+    df = df.withColumns({
+        "held": c("_s") - F.least(zero, c("_low")),
+        "_prev": c("_s") - c("_d") - F.least(zero, F.coalesce("_low0", zero)),
+    })
+    df = df.withColumn("filled", F.when(c("side") == "BUY", c("qty")).otherwise(F.least(c("qty"), c("_prev"))))
+    keep = F.when((c("side") == "BUY") | (c("_prev") == 0), 1.0).otherwise(1.0 - c("filled") / c("_prev"))
+    add = F.when(c("side") == "BUY", c("qty") * c("price")).otherwise(0.0)
+    df = affine(df, ["symbol"], order, keep, add, "_cost", "_before")
+    realised = F.when((c("side") != "BUY") & (c("_prev") > 0), c("filled") * (c("price") - c("_before") / c("_prev"))).otherwise(0.0)
     return df.select(
-        "symbol", "day", "seq", "side", "filled", "held", F.when(c("held") > 0, c("cost") / c("held")).alias("avg_price"), realised.alias("realised")
+        "symbol", "day", "seq", "side", "filled", "held", F.when(c("held") > 0, c("_cost") / c("held")).alias("avg_price"), realised.alias("realised")
     )
 
 
@@ -140,27 +102,88 @@ def valuation(holdings: DataFrame, marks: DataFrame, cash: Column) -> DataFrame:
     ).select("account", "missing", F.when(F.col("missing") == 0, F.col("cash") + F.col("held_value")).alias("nav"))
 
 
-def apply_splits(holdings: DataFrame, actions: DataFrame) -> DataFrame:
-    """Quantity times, and mark divided by, all later split ratios of a symbol; each action once.
+def reviewed_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Corporate actions that may be applied, one row an id, and those that may not, with the reason.
 
-    An action that is repeated with other values, or a ratio that is not
-    finite and positive, is an error.
+    ``actions(id, symbol, type, ratio, cash_per_share, day)``.  An id that is
+    repeated counts once and the repetition is refused; one that is repeated
+    with other values is refused altogether.  Ratios must be finite and
+    positive, dividends finite and not negative; every other type needs review.
     """
+    c = F.col
+    fields = ("symbol", "type", "ratio", "cash_per_share", "day")
+    said = F.struct(*fields)
+    once = actions.groupBy("id").agg(F.min(said).alias("a"), F.max(said).alias("b"), F.count(F.lit(1)).alias("n"))
+    once = once.select("id", *[c(f"a.{f}").alias(f) for f in fields], "n", (~c("a").eqNullSafe(c("b"))).alias("differs"))
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    fault = (
+        F.when(c("differs"), "conflicting_action")
+        .when((c("type") == "split") & ~(finite(c("ratio")) & (c("ratio") > 0)), "invalid_ratio")
+        .when((c("type") == "dividend_payment") & ~(finite(c("cash_per_share")) & (c("cash_per_share") >= 0)), "invalid_dividend")
+        .when(~F.coalesce(c("type").isin("split", "dividend_payment"), F.lit(False)), "needs_review")
+    )
+    judged = materialize(once.withColumn("reason", fault))
+    refused = judged.where(c("reason").isNotNull()).select("id", "symbol", "type", "day", "reason")
+    repeated = judged.where(c("reason").isNull() & (c("n") > 1)).select("id", "symbol", "type", "day", F.lit("duplicate_action").alias("reason"))
+    return judged.where(c("reason").isNull()).select("id", *fields), refused.unionByName(repeated)
+
+
+def entitlements(changes: DataFrame) -> DataFrame:
+    """Quantities as intervals: (account, symbol, qty, valid_from, valid_to), the end open while null.
+
+    ``changes(account, symbol, day, qty)`` are signed; the quantity of an
+    interval is what was held after its first day's changes.
+    """
+    daily = changes.groupBy("account", "symbol", "day").agg(F.sum("qty").alias("_d"))
+    w = Window.partitionBy("account", "symbol").orderBy("day")
+    held = F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return daily.select("account", "symbol", held.alias("qty"), F.col("day").alias("valid_from"), F.lead("day").over(w).alias("valid_to"))
+
+
+def entitled(intervals: DataFrame, actions: DataFrame) -> DataFrame:
+    """Each action with the accounts that hold its symbol on its day and what they hold then, never what they hold later."""
+    a = actions.withColumnRenamed("symbol", "_symbol")
+    inside = (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
+    return intervals.where("qty > 0").join(a, (F.col("symbol") == F.col("_symbol")) & inside).drop("_symbol", "valid_from", "valid_to")
+
+
+def dividend_cash(intervals: DataFrame, sound: DataFrame) -> DataFrame:
+    """Dividends per account on the quantity held at each entitlement."""
+    paid = entitled(intervals, sound.where("type = 'dividend_payment'"))
+    return paid.groupBy("account").agg(F.sum(F.col("qty") * F.col("cash_per_share")).alias("dividend_cash"), F.count(F.lit(1)).alias("payments"))
+
+
+def apply_splits(holdings: DataFrame, sound: DataFrame) -> DataFrame:
+    """Quantity times, and mark divided by, all split ratios of a symbol after ``held_since``, in the order of their days; each action once.
+
+    ``sound`` are reviewed actions: one that is repeated with other values, or
+    a ratio that is not finite and positive, is an error here.  ``unresolved`` tells a holding that some split left with a fraction of a
+    share: what becomes of it needs evidence, so its value is not known.
+    """
+    c = F.col
     said = F.struct("symbol", "ratio", "day")
-    once = actions.where("type = 'split'").groupBy("id").agg(F.min(said).alias("a"), F.max(said).alias("b"))
-    sound = F.col("a").eqNullSafe(F.col("b")) & (F.col("a.ratio") > 0) & (F.col("a.ratio") < float("inf"))
-    ratio = F.when(sound, F.col("a.ratio")).otherwise(F.raise_error(F.concat(F.lit("conflicting or unsound action "), F.col("id").cast("string"))).cast("double"))
-    once = once.select("id", "a.symbol", ratio.alias("ratio"), "a.day")
-    later = holdings.join(once, "symbol", "left").where(F.col("day").isNull() | (F.col("day") > F.col("held_since")))
-    factor = later.groupBy("symbol", "held_since").agg(F.exp(F.sum(F.ln("ratio"))).alias("factor"))
-    df = holdings.join(factor, ["symbol", "held_since"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
-    return df.withColumns({"qty": F.col("qty") * F.col("factor"), "mark": F.col("mark") / F.col("factor")})
-
-
-def dividends(actions: DataFrame) -> DataFrame:
-    """Cash of dividend payments on entitled quantities."""
-    d = actions.where("type = 'dividend_payment'").dropDuplicates(["id"])
-    return d.groupBy("account").agg(F.sum(F.col("entitled_quantity") * F.col("cash_per_share")).alias("dividend_cash"))
+    once = sound.where("type = 'split'").groupBy("id").agg(F.min(said).alias("a"), F.max(said).alias("b"))
+    good = c("a").eqNullSafe(c("b")) & (c("a.ratio") > 0) & (c("a.ratio") < float("inf"))
+    ratio = F.when(good, c("a.ratio")).otherwise(F.raise_error(F.concat(F.lit("conflicting or unsound action "), c("id").cast("string"))).cast("double"))
+    splits = once.select(c("a.symbol").alias("_symbol"), c("a.day").alias("day"), "id", ratio.alias("ratio"))
+    met = holdings.join(splits, (c("symbol") == c("_symbol")) & (c("day") > c("held_since")), "left")
+    keys = holdings.columns
+    grouped = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(c("id").isNotNull(), F.struct("day", "id", "ratio")))).alias("_s"))
+    start = F.struct(c("qty").cast("double").alias("q"), F.lit(1.0).alias("f"), F.lit(False).alias("odd"))
+
+    def step(acc: Column, s: Column) -> Column:
+        q = acc["q"] * s["ratio"]
+        return F.struct(q.alias("q"), (acc["f"] * s["ratio"]).alias("f"), (acc["odd"] | (F.abs(q - F.rint(q)) > 1e-9)).alias("odd"))
+
+    done = grouped.withColumn("_e", F.aggregate("_s", start, step))
+    rest = [k for k in keys if k not in ("qty", "mark")]
+    return done.select(*rest, c("_e.f").alias("factor"), c("_e.q").alias("qty"), (c("mark") / c("_e.f")).alias("mark"), c("_e.odd").alias("unresolved"))
+
+
+def quarantine(intervals: DataFrame, refused: DataFrame) -> DataFrame:
+    """Refused actions: those that need review for each account that holds the symbol on the day, all others once, without an account."""
+    review = entitled(intervals, refused.where("reason = 'needs_review'")).select("id", "symbol", "type", "reason", "account")
+    return review.unionByName(refused.where("reason <> 'needs_review'").select("id", "symbol", "type", "reason", F.lit(None).cast(dict(intervals.dtypes)["account"]).alias("account")))
 
 
 def exit_action(price: Column, sl: Column, t1: Column, qty: Column, age_days: Column, cost: Column, max_age: int = 10) -> dict[str, Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.operators.segmented import Scan, scan
 from barloom.sources.archive import keep_last
 
 PRICES = ("open", "high", "low", "close")
@@ -186,15 +187,14 @@ def verify_chain(journal: DataFrame, key: str = "journal") -> DataFrame:
 
 
 def admission(journal: DataFrame, key: str = "journal") -> DataFrame:
-    """Why a record may not be appended, or null: kinds, one registration, order in time."""
+    """Why a record may not be appended, or null: kinds, one registration, order in time.
+
+    What came before a record is scanned over blocks of rows, so one journal
+    may hold nearly all of them.
+    """
     c = F.col
-    w = Window.partitionBy(key).orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    df = journal.withColumns(
-        {
-            "_first": F.first("recorded_at").over(before), "_n": F.count("*").over(before), "_last": F.max("recorded_at").over(before),
-        }
-    )
+    at = c("recorded_at")
+    df = scan(journal, [key], [c("seq")], [Scan("_first", "first", at, False), Scan("_n", "count", F.lit(1), False), Scan("_last", "max", at, False)])
     reason = (
         F.when(~c("kind").isin("registration", "observation", "intent", "skip"), "kind_not_allowed")
         .when((c("kind") == "registration") & (c("_n") > 0), "already_registered")

@@ -8,6 +8,7 @@ from barloom.functions import market, outcomes, scoring
 from barloom.functions.reseeded import replay_inputs
 from barloom.functions.windows import with_row_number
 from barloom.operators import reports
+from barloom.operators.segmented import Scan, scan
 
 BUCKETS = ("BASELINE", "50-60", "60-70", "70-80", "80+")
 
@@ -53,21 +54,12 @@ def captured_signals(bars: DataFrame, min_score: int = 50) -> DataFrame:
 
 
 def session_vwap(ticks: DataFrame) -> DataFrame:
-    """Volume-weighted price at every tick, restarted each day.
-
-    Running sums inside an hour plus the totals of the hours before: a symbol
-    with a third of all ticks is spread over its hours instead of filling one
-    task.
-    """
+    """Volume-weighted price at every tick, restarted each day; the sums are scanned over blocks of ticks."""
     c = F.col
-    df = ticks.withColumns({"_day": F.to_date("ts"), "_hour": F.date_trunc("hour", "ts"), "_pv": c("price") * c("volume")})
-    inside = Window.partitionBy("symbol", "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    hours = df.groupBy("symbol", "_day", "_hour").agg(F.sum("_pv").alias("_hp"), F.sum("volume").alias("_hv"))
-    before = Window.partitionBy("symbol", "_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select("symbol", "_hour", *[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(x) for x in ("_hp", "_hv")])
-    df = df.select("*", F.sum("_pv").over(inside).alias("_cp"), F.sum("volume").over(inside).alias("_cv")).join(hours, ["symbol", "_hour"])
-    total = c("_cv") + c("_hv")
-    return df.withColumn("vwap", F.when(total != 0, F.try_divide(c("_cp") + c("_hp"), total))).drop("_day", "_hour", "_pv", "_cp", "_cv", "_hp", "_hv")
+    df = ticks.withColumn("_day", F.to_date("ts"))
+    sums = [Scan("_pv", "sum", c("price") * c("volume")), Scan("_v", "sum", c("volume"))]
+    df = scan(df, ["symbol", "_day"], [c("ts"), c("event_id")], sums)
+    return df.withColumn("vwap", F.when(c("_v") != 0, F.try_divide("_pv", "_v"))).drop("_day", "_pv", "_v")
 
 
 def intraday_bars(ticks: DataFrame, width: str = "15 minutes") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions import market, scoring
-from barloom.functions.windows import lead
+from barloom.functions.windows import LEVELS, lead
 from barloom.operators import quality
 from barloom.plans import tables
+from barloom.sources.barstore import BarStore
 
 
 def with_fund_score(df: DataFrame) -> DataFrame:
@@ -74,6 +75,23 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_rows(t.bars, t.index, t.context, tables.fundamentals(spark, sf_dir), t.bounded)
 
 
+#: What evaluations read of a scored bar.
+LOGGED = (
+    "symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "volume", "score100", "stage", "rr_ratio", "composite_rs", "promoter_pledged", "sl_buy", "target1",
+)
+_LOGS: dict[int, DataFrame] = {}
+
+
+def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every bar as a written log in buckets of the symbol, made once for each archive; evaluations read it instead of scoring anew."""
+    t = tables.stored(spark, sf_dir)
+    if id(t) not in _LOGS:
+        log = BarStore(spark, f"{t.store.folder}-scores", t.store.buckets)
+        log.write(scan(spark, sf_dir).select(*LOGGED), unique=True)
+        _LOGS[id(t)] = log.read()
+    return _LOGS[id(t)]
+
+
 def scan_newest(spark: SparkSession, sf_dir: str, now_local: str) -> DataFrame:
     """The newest completed bar of each symbol scored; today counts from 16:15 local time."""
     t = tables.stored(spark, sf_dir)

@@ -9,9 +9,10 @@ been written never changes.
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from barloom.sources.archive import assert_unique
 
@@ -42,15 +43,14 @@ class BarStore:
         """Bars of a snapshot, the newest by default, in buckets of their symbol."""
         entry = self._entry(version)
         name = "bars_" + entry["path"].rsplit("-", 1)[-1]
-        columns = ", ".join(f"`{f.split(':')[0]}` {f.split(':')[1]}" for f in entry["schema"].split(","))
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(entry["schema"])))
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (symbol) SORTED BY (date) INTO {entry['buckets']} BUCKETS LOCATION '{entry['path']}'")
         return self.spark.table(name)
 
     def _commit(self, bars: DataFrame, parent: int | None, path: str) -> int:
         version = 0 if parent is None else parent + 1
         n = bars.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"))
-        schema = ",".join(f"{c}:{t}" for c, t in bars.dtypes)
-        entry = n.select(F.lit(version).alias("version"), F.lit(parent).cast("int").alias("parent"), F.lit(path).alias("path"), F.lit(self.buckets).alias("buckets"), "n", "symbols", F.lit(schema).alias("schema"))
+        entry = n.select(F.lit(version).alias("version"), F.lit(parent).cast("int").alias("parent"), F.lit(path).alias("path"), F.lit(self.buckets).alias("buckets"), "n", "symbols", F.lit(bars.schema.json()).alias("schema"))
         entry.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
         return version
 

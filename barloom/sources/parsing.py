@@ -92,26 +92,44 @@ def page_metrics(pages: DataFrame) -> DataFrame:
     )
 
 
-def _object_pattern(depth: int) -> str:
-    """A brace-balanced object nested up to ``depth`` levels; braces inside strings don't count."""
-    string, inner = r'"(?:[^"\\]|\\.)*+"', ""
-    for _ in range(depth):
-        inner = r"\{(?:" + string + r'|[^{}"]' + (f"|{inner}" if inner else "") + r")*+\}"
-    return inner
+def _objects(text: Column, strings: bool) -> Column:
+    """(s, n): beginning and length of every balanced object in ``text``, in the order of their beginnings, longer ones first.
 
+    A pushdown scan over tokens: an opening brace is pushed, a closing one
+    pops the brace it answers, whatever the depth.  With ``strings``, braces
+    inside a quoted string of an object don't count.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'(?s)\\.|["{}]|[^"{}\\]+|\\'), 0)
+    spans = F.array().cast("array<struct<s:int,n:int>>")
+    start = F.struct(F.lit(1).alias("at"), F.lit(False).alias("quoted"), F.array().cast("array<int>").alias("open"), spans.alias("found"))
+
+    def step(acc: Column, t: Column) -> Column:
+        inside = F.size(acc["open"]) > 0
+        free = ~acc["quoted"]
+        opens, closes = (t == "{") & free, (t == "}") & free & inside
+        quoted = F.when(F.lit(strings) & (t == '"') & inside, ~acc["quoted"]).otherwise(acc["quoted"])
+        at = F.element_at(acc["open"], -1)
+        stack = F.when(opens, F.concat(acc["open"], F.array(acc["at"]))).when(closes, F.slice(acc["open"], 1, F.size(acc["open"]) - 1)).otherwise(acc["open"])
+        span = F.struct(F.when(closes, at).alias("s"), F.when(closes, acc["at"] - at + 1).alias("n"))
+        found = F.when(closes, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+        return F.struct((acc["at"] + F.char_length(t)).alias("at"), quoted.alias("quoted"), stack.alias("open"), found.alias("found"))
 
-JSON_DEPTH = 8
+    return F.array_sort(F.aggregate(tokens, start, step)["found"])
 
 
 def first_json(text: Column) -> Column:
-    """First JSON object in free text, fenced or embedded, nested up to ``JSON_DEPTH`` levels; null when none parses.
+    """First JSON object in free text, fenced or embedded, of any depth; null when none parses.
 
-    Fenced blocks come first, then balanced objects from the left.
+    Fenced blocks come first, then balanced objects from the left, outer ones
+    before what they hold; where quotes outside of objects hide the braces, a
+    scan by braces alone follows.  Cost grows with the tokens of a text times
+    the depth of its open braces.
     """
     parses = lambda x: F.get_json_object(x, "$").isNotNull() & x.startswith("{")
     fenced = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), 1), F.trim)
-    embedded = F.regexp_extract_all(text, F.lit(_object_pattern(JSON_DEPTH)), 0)
-    return F.try_element_at(F.filter(F.concat(fenced, embedded), parses), F.lit(1))
+    cut = lambda o: F.substr(text, o["s"], o["n"])
+    first = lambda found: F.try_element_at(F.filter(found, parses), F.lit(1))
+    return F.coalesce(first(fenced), first(F.transform(_objects(text, True), cut)), first(F.transform(_objects(text, False), cut)))
 
 
 def instrument_master(rows: DataFrame) -> DataFrame:

@@ -205,3 +205,47 @@ def test_names_resolve_by_their_only_part(spark):
     asked = [("steel", "I1"), ("alpha", None), ("a bank", "I2"), ("ast", "I1"), ("i3", "I3"), ("2", "I2"), ("k", "I2"), ("", None), ("zzz", None)]
     got = {r.q: r.isin for r in resolve(spark.createDataFrame([(q,) for q, _ in asked], "q string"), master).collect()}
     assert got == dict(asked)
+
+
+def test_actions_are_reviewed_and_dividends_follow_entitlement(spark):
+    from barloom.operators import portfolio
+
+    a = [
+        ("d1", "A", "dividend_payment", None, 3.0, D(2020, 2, 1)), ("d1", "A", "dividend_payment", None, 3.0, D(2020, 2, 1)), ("d2", "A", "dividend_payment", None, -1.0, D(2020, 2, 1)),
+        ("s1", "A", "split", 0.5, None, D(2020, 3, 1)), ("s2", "A", "split", float("nan"), None, D(2020, 3, 1)), ("m1", "A", "demerger", None, None, D(2020, 1, 15)),
+        ("c1", "A", "split", 2.0, None, D(2020, 3, 1)), ("c1", "A", "split", 3.0, None, D(2020, 3, 1)), ("m2", "B", "merger", None, None, D(2020, 1, 15)),
+    ]
+    actions = spark.createDataFrame(a, "id string, symbol string, type string, ratio double, cash_per_share double, day date")
+    sound, refused = portfolio.reviewed_actions(actions)
+    assert {r.id for r in sound.collect()} == {"d1", "s1"}
+    changes = spark.createDataFrame([(1, "A", D(2020, 1, 1), 10), (1, "A", D(2020, 2, 2), -8), (2, "A", D(2020, 2, 1), 3), (3, "A", D(2020, 2, 2), 5)], "account int, symbol string, day date, qty long")
+    iv = portfolio.entitlements(changes)
+    assert {(r.account, r.dividend_cash) for r in portfolio.dividend_cash(iv, sound).collect()} == {(1, 30.0), (2, 9.0)}
+    got = {(r.id, r.reason, r.account) for r in portfolio.quarantine(iv, refused).collect()}
+    assert got == {("d1", "duplicate_action", None), ("d2", "invalid_dividend", None), ("s2", "invalid_ratio", None), ("c1", "conflicting_action", None), ("m1", "needs_review", 1)}
+    hold = spark.createDataFrame([("A", 3.0, 200.0, D(2020, 1, 1)), ("B", 4.0, 200.0, D(2020, 1, 1))], "symbol string, qty double, mark double, held_since date")
+    assert {(r.symbol, r.qty, r.mark, r.unresolved) for r in portfolio.apply_splits(hold, sound).collect()} == {("A", 1.5, 400.0, True), ("B", 4.0, 200.0, False)}
+
+
+def test_json_of_any_depth(spark):
+    rng = random.Random(11)
+    import json
+
+    def value(depth):
+        kind = rng.randrange(4 if depth else 2)
+        if kind == 0:
+            return rng.choice(["a}b", "{", '"', "\\", "x y", "}{"])
+        if kind == 1:
+            return rng.randrange(100)
+        if kind == 2:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return {f"k{i}": value(depth - 1) for i in range(rng.randrange(1, 4))}
+
+    objects = [{"top": value(d % 14)} for d in range(120)]
+    deep = "x"
+    for i in range(200):
+        deep = {f"n{i}": deep}
+    texts = [(i, f"He said: it's {{ broken. Answer: {json.dumps(o)} end {{") for i, o in enumerate([*objects, deep])]
+    df = spark.createDataFrame(texts, "i int, t string")
+    got = [r.j for r in df.select("i", parsing.first_json(F.col("t")).alias("j")).orderBy("i").collect()]
+    assert [None if g is None else json.loads(g) for g in got] == [*objects, deep]
