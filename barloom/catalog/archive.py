@@ -13,7 +13,7 @@ from barloom.operators import quality
 from barloom.operators.lineage import materialize
 from barloom.plans import tables
 from barloom.plans.tables import daily_bars, index_bars, read
-from barloom.sources import archive, parsing
+from barloom.sources import archive, pages, parsing
 from barloom.sources.barstore import BarStore
 from barloom.streaming.ticks import work_folder
 
@@ -310,6 +310,46 @@ register(
 )
 
 
+def company_pages(spark, sf):
+    """Every page with a company's figures planted by its id: a ratio list, a holdings table with a spanning head, remarks."""
+    k, f1 = c("page_id"), lambda x: F.format_string("%.1f", x.cast("double"))
+    text = lambda x: F.lit(x)
+    li = lambda name, mark, value: F.concat(text(f'<li class="flex"><span class="name">\n {name} </span><span class="{mark}">'), value, text("</span></li>"))
+    ratios = F.concat(
+        text('<ul id="top-ratios">'), li("Stock P/E", "number", f1(k % 400 / 10 + 1)), li("Book Value", "nowrap value", F.concat(text("₹&nbsp;"), F.format_number(k * 37 % 90000 / 10.0, 1))),
+        li("ROCE", "number", F.concat((k % 45).cast("string"), text(" %"))), li("ROE", "number", F.concat((k * 7 % 40).cast("string"), text(" %"))), li("Debt to equity", "number", f1(k % 50 / 10)),
+        li("Dividend Yield", "number", F.concat(f1(k % 30 / 10), text("%"))), li("Market Cap", "nowrap", F.concat(F.format_number(k * 11 % 99999, 0), text(" Cr."))), text("</ul>"))
+    tr = lambda label, *values: F.concat(text(f"<tr><td class=t>{label}</td>"), *[F.concat(text("<td>"), v, text("</td>")) for v in values], text("</tr>"))
+    shares = lambda base, move: (f1(base), text(""), f1(base + 1), f1(base + 1 + move))
+    table = F.concat(
+        text('<section id="shareholding"><table><tr><th></th><th colspan="3">2023</th><th>2024</th></tr>'),
+        tr("Promoters&nbsp;+", *shares(40 + k % 30, (k % 13 - 6) / 2)), tr("FIIs +", *shares(10 + k % 9, (k % 15 - 7) / 2)), tr("DIIs +", *shares(5 + k % 7, (k % 5 - 2) * 1.0)), text("</table>"),
+        F.when(k % 3 == 0, F.concat(text("<table>"), tr("Pledged percentage", f1(k % 61), f1(k % 71)), text("</table>"))).otherwise(text("")), text("</section>"))
+    remarks = F.concat(text('<section id="analysis"><ul><li>Stock is trading at '), (k % 9).cast("string"), text(" times</li><li>short</li>"), F.when(k % 5 == 0, text("<li>Company has <b>low ROE</b> of late</li>")).otherwise(text("")), text("</ul></section>"))
+    book = F.concat(text("<p>The order book stands at Rs "), F.format_number(k * 3 % 7000, 0), text(" Cr now</p>"))
+    return read(spark, sf, "pages").select("page_id", F.when(k % 10 != 9, F.concat(F.coalesce("html", F.lit("")), ratios, table, remarks, book)).otherwise(c("html")).alias("html"))
+
+
+register(
+    "a24_company_figures",
+    lambda spark, sf: tidy(pages.with_company_figures(company_pages(spark, sf)).select(
+        "page_id", "pe", "book_value", "roce", "roe", "debt_to_equity", "dividend_yield", "market_cap", "promoter_holding", "promoter_change", "fii_holding", "fii_change", "dii_holding", "dii_change",
+        "promoter_pledged", F.size("remarks").alias("n_remarks"), "order_book", "quality_score", "red_flags", "green_flags")),
+    """WITH p AS (SELECT page_id AS k, page_id%10<>9 AS has FROM pages),
+v AS (SELECT k, has, (k%400)/10.0::double+1 AS pe, (k*37%90000)/10.0::double AS bv, k%45 AS roce, k*7%40 AS roe, (k%50)/10.0::double AS de, (k%30)/10.0::double AS dy, format('{:,}', k*11%99999)||' Cr.' AS cap,
+  40+k%30+1+(k%13-6)/2.0::double AS ph, (k%13-6)/2.0::double AS pc, 10+k%9+1+(k%15-7)/2.0::double AS fh, (k%15-7)/2.0::double AS fc, 5+k%7+1+(k%5-2) AS dh, (k%5-2)::double AS dc,
+  CASE WHEN k%3=0 THEN (k%71)::double END AS pl, CASE WHEN k%5=0 THEN 2 ELSE 1 END AS n, format('{:,}', k*3%7000)||' Cr' AS ob FROM p)
+SELECT k AS page_id, CASE WHEN has THEN round(pe,4)+0.0::double END AS pe, CASE WHEN has THEN round(bv,4)+0.0::double END AS book_value, CASE WHEN has THEN roce+0.0::double END AS roce, CASE WHEN has THEN roe+0.0::double END AS roe,
+  CASE WHEN has THEN round(de,4)+0.0::double END AS debt_to_equity, CASE WHEN has THEN round(dy,4)+0.0::double END AS dividend_yield, CASE WHEN has THEN cap END AS market_cap,
+  CASE WHEN has THEN round(ph,4)+0.0::double END AS promoter_holding, CASE WHEN has THEN round(pc,4)+0.0::double END AS promoter_change, CASE WHEN has THEN round(fh,4)+0.0::double END AS fii_holding, CASE WHEN has THEN round(fc,4)+0.0::double END AS fii_change,
+  CASE WHEN has THEN dh+0.0::double END AS dii_holding, CASE WHEN has THEN dc+0.0::double END AS dii_change, CASE WHEN has THEN pl+0.0::double END AS promoter_pledged, cast(CASE WHEN has THEN n ELSE 0 END AS bigint) AS n_remarks,
+  CASE WHEN has THEN ob END AS order_book,
+  cast(CASE WHEN has THEN CASE WHEN roce>15 THEN 2 WHEN roce>10 THEN 1 ELSE 0 END+CASE WHEN roe>15 THEN 2 WHEN roe>10 THEN 1 ELSE 0 END+CASE WHEN de<0.5 THEN 2 WHEN de<1 THEN 1 ELSE 0 END+CASE WHEN fc>0 THEN 1 ELSE 0 END+CASE WHEN dc>0 THEN 1 ELSE 0 END ELSE 0 END+CASE WHEN NOT has OR coalesce(pl,0)<10 THEN 1 ELSE 0 END AS bigint) AS quality_score,
+  CASE WHEN has THEN concat_ws('|', CASE WHEN pl>50 THEN 'high_pledge' END, CASE WHEN pl>20 THEN 'pledge' END, CASE WHEN pc< -2 THEN 'promoter_sold' END, CASE WHEN fc< -3 THEN 'fii_sold' END, CASE WHEN de>3 THEN 'high_debt' END, CASE WHEN n=2 AND NOT coalesce(pl>50 AND pc< -2 AND fc< -3 AND de>3,false) THEN 'remark' END) ELSE '' END AS red_flags,
+  CASE WHEN has THEN concat_ws('|', CASE WHEN fc>1 THEN 'fii_buying' END, CASE WHEN dc>1 THEN 'dii_buying' END, CASE WHEN pc>0.5 THEN 'promoter_bought' END, CASE WHEN roce>20 THEN 'high_roce' END, CASE WHEN coalesce(pl,0)=0 THEN 'no_pledge' END) ELSE 'no_pledge' END AS green_flags FROM v""",
+)
+
+
 def _answers(spark, sf):
     """Every conversation turn with an answer fenced in prose, and with one nested up to thirty levels inside a broken object, both read back."""
     conv = read(spark, sf, "conversations")
