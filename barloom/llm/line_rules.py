@@ -51,15 +51,21 @@ def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
 
 def line_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    line_limit: int = LINE_LIMIT, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
+    line_limit: int = LINE_LIMIT, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE, unit: str = "text",
 ) -> DataFrame:
     """One row per document: ``id_col``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``n_removed_words`` (in boiler-plate lines) and ``kept``.
 
+    ``unit`` tells what counts for a line: each different text of the host
+    that holds it ("text"), or each row ("row"), in which case the lines of a
+    page that stands unchanged in many documents are boiler-plate too.
+
     A null text has no words and fails.  A null host is a host of its own.
     Null or repeated ids give one row per input row; repeated rows are equal
     texts and count once per line.  Lines without a word are not counted.  An
-    empty table gives an empty one.  Further columns are dropped.
+    empty table gives an empty one.  Texts of any length are measured whole, in
+    memory that grows with the text; there are no ties, as a line is either
+    above the limit or not.  Further columns are dropped.
     """
     own = narrow(docs, **{id_col: "long", text_col: "string", host_col: "string"}).toDF("id", "text", "host")
     own = own.withColumn("text", F.coalesce("text", F.lit("")))
@@ -76,7 +82,7 @@ def line_rules(
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n"))).alias("lines"),
     )
-    own = written(own, "measures")
+    own = written(own.withColumn("of", F.col("row")) if unit == "row" else own, "measures")
     lines = own.select("row", "host", "of", F.explode("lines").alias("x")).select("row", "host", "of", "x.line", "x.n")
     common = lines.groupBy("host", "line").agg(F.count_distinct("of").alias("texts")).where(F.col("texts") > line_limit).drop("texts")
     removed = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("n").alias("n_removed_words"))

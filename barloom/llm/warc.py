@@ -22,6 +22,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from typing import Any
 
 import pyarrow as pa
@@ -37,6 +38,10 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 REVISIT_BYTES = 1000
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
 LEVEL = 3
+#: Bytes of records that one task reads back.
+READ_BYTES = 64 << 20
+#: Pages come without the head of their response; a record gets this one.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_offset long, record_bytes long, record_type string"
 READ = "page_id long, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -47,12 +52,17 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest if page_id is None else ""}')}"
 
 
-def pack_record(row: dict[str, Any]) -> bytes:
-    """One WARC/1.1 record; a revisit has no block, its payload is that of the record it refers to."""
+def pack_record(row: dict[str, Any], date: str) -> bytes:
+    """One WARC/1.1 record.
+
+    Its block is an HTTP response whose body is the payload; a revisit's has
+    the head alone, its payload being that of the record it refers to.
+    """
     revisit = row["record_type"] == "revisit"
-    payload = b"" if revisit else row["payload"]
+    payload = HTTP_HEAD + (b"" if revisit else row["payload"])
     head = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{row['record_id']}>",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{row['record_id']}>", f"WARC-Date: {date}",
+        "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}", f"WARC-Payload-Length: {row['payload_bytes']}",
     ]
     if row["page_id"] is not None:
@@ -68,7 +78,16 @@ def pack_record(row: dict[str, Any]) -> bytes:
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def info_record(name: str, date: str) -> bytes:
+    """The record that opens a bundle: what wrote it and in which format."""
+    body = b"software: barloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}",
+            f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Head fields and payload of a record; of an HTTP response, its body."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8").split("\r\n")
     if first != "WARC/1.1":
@@ -77,7 +96,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     size = int(fields["Content-Length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("record length and Content-Length differ")
-    return fields, rest[:size]
+    block = rest[:size]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields.get("Content-Type", "").startswith("application/http") else block
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -103,13 +123,14 @@ def read_seek_table(f: Any, size: int) -> list[tuple[int, int]]:
 class BundleWriter:
     """Packs records into frames and frames into bundles of bounded size below ``folder``."""
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str, date: str) -> None:
         self.store, self.base = fs.FileSystem.from_uri(folder)
+        self.date, self.opening = date, b""
         self.out, self.frames, self.records, self.held = None, [], [], 0
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
 
     def add(self, row: dict[str, Any]) -> Iterator[tuple]:
-        data = pack_record(row)
+        data = pack_record(row, self.date)
         self.records.append((row, data))
         self.held += len(data)
         if self.held >= FRAME_BYTES:
@@ -122,12 +143,13 @@ class BundleWriter:
             self.name = f"bundle-{uuid.uuid4().hex}.warc.zst"
             self.store.create_dir(self.base, recursive=True)
             self.out, self.frames, self.size = self.store.open_output_stream(f"{self.base}/{self.name}", compression=None), [], 0
-        raw = b"".join(d for _, d in self.records)
+            self.opening = info_record(self.name, self.date)
+        raw = self.opening + b"".join(d for _, d in self.records)
         packed = self.packer.compress(raw)
         self.out.write(packed)
         self.frames.append((len(packed), len(raw)))
         self.size += len(packed)
-        at = 0
+        at, self.opening = len(self.opening), b""
         for row, data in self.records:
             yield row["page_id"], row["record_id"], self.name, len(self.frames) - 1, at, len(data), row["record_type"]
             at += len(data)
@@ -144,10 +166,10 @@ class BundleWriter:
 
 def write_bundles(records: DataFrame, folder: str) -> DataFrame:
     """Write ``records`` (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) and return their index, lazily."""
-    schema = records.schema.names
+    schema, date = records.schema.names, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = BundleWriter(folder)
+        writer = BundleWriter(folder, date)
         for batch in batches:
             found: list[tuple] = []
             columns = [batch.column(schema.index(c)) for c in schema]
@@ -171,7 +193,9 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Read every record of the index back from its bundle; payload length and digest are computed anew for stored payloads."""
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "frame_offset", "record_bytes")).alias("records"))
+    # Tasks follow the bytes they will read, not those of the index.
+    size = index.agg(F.sum("record_bytes")).first()[0] or 0
+    frames = index.repartition(max(1, -(-size // READ_BYTES), min(64, -(-size // FRAME_BYTES))), "bundle", "frame").groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "frame_offset", "record_bytes")).alias("records"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -180,6 +204,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             found: list[tuple] = []
             for bundle, frame, records in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if bundle not in opened:
+                    for old, _ in opened.values():
+                        old.close()
                     opened.clear()
                     f = store.open_input_file(f"{base}/{bundle}")
                     opened[bundle] = f, read_seek_table(f, f.size())
@@ -200,6 +226,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             cols = list(zip(*found)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split(" ")[0] for c in READ.split(", ")])
+        for old, _ in opened.values():
+            old.close()
 
     return frames.mapInArrow(run, READ)
 

@@ -1,5 +1,6 @@
 """Near-duplicates, neighbours, surrogates, mixing, archives and the pipeline: against brute force and exact round trips."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -329,7 +330,21 @@ def test_bundles_are_plain_zstandard(spark):
     path = f"{folder.removeprefix('file:')}/{rows[0].bundle}"
     data = open(path, "rb").read()
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
-    assert whole.count(b"WARC/1.1\r\n") == 6 and b"page 5 page 5" in whole
+    assert whole.count(b"WARC/1.1\r\n") == 7 and b"page 5 page 5" in whole
+    at, kinds = 0, []
+    while at < len(whole):  # record by record, by its own length: the fields that every record must have
+        head, _, rest = whole[at:].partition(b"\r\n\r\n")
+        first, *lines = head.decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        assert first == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length"} <= set(fields)
+        size = int(fields["Content-Length"])
+        assert rest[size : size + 4] == b"\r\n\r\n"
+        if fields["WARC-Type"] == "response":
+            http, _, body = rest[:size].partition(b"\r\n\r\n")
+            assert http.startswith(b"HTTP/1.1 200") and fields["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(body).hexdigest()
+        kinds.append(fields["WARC-Type"])
+        at += len(head) + 4 + size + 4
+    assert kinds == ["warcinfo", *["response"] * 6]
     with open(path, "rb") as f:
         starts = warc.read_seek_table(f, len(data))
     for r in rows:  # each frame stands alone

@@ -170,3 +170,15 @@ def test_licenses_equal_sql(spark):
     assert by_id[303]["n_base"] == 0 and by_id[304]["n_base"] == 2 and by_id[305]["n_base"] == 1
     assert by_id[306]["labels"] == "gpl-3" and by_id[306]["base_labels"] == ""
     assert licenses.labels(empty(df)).count() == 0
+
+
+def test_lines_counted_by_text_or_by_row(spark):
+    from barloom.llm import line_rules
+
+    page = "\n".join(f"line {i} of a page with some words in it" for i in range(6))
+    rows = [(i, page, "en", "host", 1) for i in range(40)] + [(100 + i, f"own words of document {i} " * 9 + "\nshared footer line\n" + page.replace("page", f"p{i}"), "en", "host", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    by_text = {r.doc_id: r for r in line_rules.line_rules(docs).collect()}
+    by_row = {r.doc_id: r for r in line_rules.line_rules(docs, unit="row").collect()}
+    assert by_text[0].n_removed_words == 0 and by_row[0].n_removed_words == by_row[0].n_words and not by_row[0].kept
+    assert by_text[100].n_removed_words == by_row[100].n_removed_words == 3
