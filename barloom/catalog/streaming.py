@@ -36,6 +36,12 @@ register(
     lambda spark, sf: tidy(ticks.newest(ticks.run_available(ticks.sliding_activity(tick_stream(spark, sf)), "update"), ["symbol", "start"]).withColumn("start", when(c("start")))),
     query([TK, "sw AS (SELECT symbol, price, time_bucket(INTERVAL 10 MINUTE, ts)-to_minutes(10*unnest(range(5))::int) AS start FROM tk)"], f"SELECT symbol, {stamp('start')} AS start, count(*) AS n, round(max(price),4)+0.0::double AS hi, round(min(price),4)+0.0::double AS lo FROM sw GROUP BY symbol, sw.start"),
 )
+def _rescored(spark, sf):
+    stream = ticks.closed(tick_stream(spark, sf), "ts", "symbol")
+    return tidy(ticks.run_available(ticks.rescored_candles(stream), "append").drop("batch").withColumn("ts", when(c("ts"))))
+
+
+register("u02_rescored_candles", _rescored)
 register(
     "u03_last_prices",
     lambda spark, sf: tidy(ticks.newest(ticks.run_available(ticks.last_prices(tick_stream(spark, sf)), "update"), ["symbol"]).withColumn("ltp_at", when(c("ltp_at")))),

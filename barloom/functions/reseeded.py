@@ -95,6 +95,36 @@ def kernel(h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray) -> pd.Dat
     )[list(FIELDS)]
 
 
+#: Bars that a live signal is seeded with, and its verdicts from the least points down.
+LIVE_BARS = 50
+VERDICTS = ((4, "STRONG BUY"), (2, "BUY"), (-1, "NEUTRAL / WAIT"), (-3, "SELL / AVOID"))
+
+
+def live_points(h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Base points of the last bar of each row of ``LIVE_BARS`` bars, as if the series had begun with the row's first."""
+    k = kernel(h, l, c, v)
+    e9, e21, e50, rsi, hist, before = (k[x].to_numpy() for x in ("e9", "e21", "e50", "rsi", "macd_hist", "macd_prev"))
+    m9, m21 = _mean(c, 2 / 10)[:, -2], _mean(c, 2 / 22)[:, -2]
+    macd = (_mean(c, 2 / 13) - _mean(c, 2 / 27))
+    signal = _mean(macd, 2 / 10)[:, -1]
+    macd = macd[:, -1]
+    last = c[:, -20:]
+    mid, sd = last.mean(axis=1), last.std(axis=1, ddof=1)
+    v20 = v[:, -20:].mean(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        heavy = np.where(v20 != 0, v[:, -1] / v20, np.nan) > 1.5
+    points = (
+        2 * ((e9 > e21) & (e21 > e50)) - 2 * ((e9 < e21) & (e21 < e50)) + 3 * ((m9 < m21) & (e9 > e21)) - 3 * ((m9 > m21) & (e9 < e21))
+        + 2 * ((before < 0) & (hist > 0)) - 2 * ((before > 0) & (hist < 0)) + ((macd > signal) & (macd > 0))
+        + 2 * (rsi < 35) - 2 * (rsi > 65) + ((rsi > 45) & (rsi < 60))
+    )
+    return points + (heavy & (points > 0)) - (heavy & (points < 0)) + (c[:, -1] < mid - 2 * sd)
+
+
+def live_verdict(points: int) -> str:
+    return next((name for least, name in VERDICTS if points >= least), "STRONG SELL / SHORT")
+
+
 # Ship the kernel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

@@ -14,10 +14,12 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from barloom.functions.reseeded import LIVE_BARS, live_points, live_verdict
 from barloom.operators.lineage import checkpoint_folder
 
 LATE = "10 minutes"
@@ -223,6 +225,47 @@ def position_triggers(ticks: DataFrame, positions: DataFrame) -> DataFrame:
     return kept.groupBy("symbol").transformWithStateInPandas(_Triggers(), TRIGGER_SCHEMA, "append", "EventTime", first.groupBy("symbol"))
 
 
+CANDLE_SCHEMA = "symbol string, ts timestamp, close double, points long, verdict string"
+
+
+def candles(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Finished bars per symbol and window, emitted once the watermark has passed them; ``ts`` is the last moment of the window."""
+    at = moment(ticks)
+    g = ticks.withWatermark("ts", LATE).groupBy("symbol", F.window("ts", width).alias("w"))
+    bars = g.agg(
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"),
+    )
+    return bars.select("symbol", F.window_time("w").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+class _Rescored(_Slotted):
+    kept, types = ("open", "high", "low", "close", "volume"), ("double",) * 5
+    state, out = "high array<double>, low array<double>, close array<double>, volume array<double>", ["symbol", "ts", "close", "points", "verdict"]
+
+    def follow(self, symbol, state, rows, out):
+        past = [list(x) for x in state] if state else [[], [], [], []]
+        have = len(past[2])
+        for series, place in zip(past, (2, 3, 4, 5)):  # a row is (ts, open, high, low, close, volume)
+            series += [r[place] for r in rows]
+        whole = np.array(past, float)
+        ends = [i for i in range(have, whole.shape[1]) if i + 1 >= LIVE_BARS]
+        if ends:
+            windows = np.lib.stride_tricks.sliding_window_view(whole, LIVE_BARS, axis=1)[:, [i + 1 - LIVE_BARS for i in ends]]
+            points = live_points(*windows)
+            out += [(symbol, rows[i - have][0], float(whole[2, i]), int(p), live_verdict(int(p))) for i, p in zip(ends, points)]
+        return tuple(series[-LIVE_BARS:] for series in past)
+
+
+def rescored_candles(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Signal points of each finished candle over the last fifty candles of its symbol, as a poll of the live market would score them.
+
+    Two stateful steps: candles by window, then a ring of fifty candles a
+    symbol, advanced in the order of time.  The recursions of a signal begin
+    with the first candle of the ring.
+    """
+    return candles(ticks, width).groupBy("symbol").transformWithStateInPandas(_Rescored(), CANDLE_SCHEMA, "append", "EventTime")
+
+
 # --- running -----------------------------------------------------------------------
 
 

@@ -80,3 +80,35 @@ def test_triggers_begin_with_positions(spark, tmp_path):
     stream = ticks.closed(feed(spark, str(tmp_path), schema, rows), "ts", "symbol")
     got = ticks.run_available(ticks.position_triggers(stream, positions), "append").drop("batch").orderBy("symbol", "ts").collect()
     assert [(r.symbol, r.action, r.price) for r in got] == [("A", "T1_HIT", 111.0), ("A", "SL_HIT", 99.0), ("B", "SL_HIT", 80.0)]
+
+
+def test_candles_are_scored_like_the_batch_on_the_same_fifty(spark, tmp_path):
+    import random
+
+    from barloom.functions import scoring
+    from barloom.functions.windows import with_row_number
+
+    draw, rows, price = random.Random(4), [], {"A": 100.0, "B": 50.0}
+    for i in range(140):
+        for s in ("A", "B") if i % 3 else ("A",):
+            for j in range(3):
+                price[s] *= 1 + draw.gauss(0.001 if i % 40 < 20 else -0.001, 0.004)
+                rows.append((s, AT + dt.timedelta(minutes=i, seconds=10 * j), price[s], float(draw.randint(1, 50)), len(rows)))
+    schema = "symbol string, ts timestamp, price double, volume double, event_id long"
+    half = len(rows) // 2
+    stream = ticks.closed(feed(spark, str(tmp_path), schema, rows[:half], rows[half:]), "ts", "symbol")
+    got = ticks.run_available(ticks.rescored_candles(stream), "append").drop("batch").collect()
+    bars = spark.createDataFrame(rows, schema).groupBy("symbol", F.window("ts", "1 minute").alias("w")).agg(
+        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"))
+    bars = bars.select("symbol", F.col("w.start").alias("date"), "open", "high", "low", "close", "volume").orderBy("symbol", "date").collect()
+    want = {}
+    windows = []
+    for s in ("A", "B"):
+        own = [b for b in bars if b.symbol == s]
+        for end in range(49, len(own)):
+            windows += [(f"{s}{end}", *b[1:]) for b in own[end - 49 : end + 1]]
+            want[f"{s}{end}"] = (s, own[end].date)
+    scored = scoring.with_base_signal(with_row_number(spark.createDataFrame(windows, "symbol string, date timestamp, open double, high double, low double, close double, volume double"))).where("rn = 49")
+    want = {(*want[r.symbol], r.base_points, r.base_verdict) for r in scored.select("symbol", "base_points", "base_verdict").collect()}
+    second = lambda t: t.replace(second=0, microsecond=0)
+    assert {(r.symbol, second(r.ts), r.points, r.verdict) for r in got} == want and len(got) == len(want) > 120
