@@ -137,14 +137,15 @@ register(
     query([BARS, FORWARD + " FROM b)"], f"SELECT symbol, strftime(date,'%Y-%m-%d') AS date, {r('d5', 4)}+0.0::double AS d5, {r('d21', 4)}+0.0::double AS d21, {r('d63', 4)}+0.0::double AS d63 FROM fw"),
 )
 
-# --- exits over a signal set: every fifth bar with a short-over-long mean ---------
+# --- exits over a signal set: every fifth bar with a score of at least 50 ---------
 
 
 def exit_signals(spark, sf) -> DataFrame:
+    """Every fifth bar from 200 with a score of at least 50 and a whole path after it, with its levels and what the index did meanwhile."""
     t = tables.stored(spark, sf)
-    df = levels(t.bars)
+    df = scan.score_log(spark, sf)
     index = t.index.select("date", ((lead("close", 63) / c("close") - 1.0) * 100.0).alias("mkt_fwd"))
-    picked = (c("rn") >= 60) & ((c("rn") - 60) % 5 == 0) & (c("e9") > c("e21")) & lead("close", 10).isNotNull() & (c("r_atr") > 0)
+    picked = (c("rn") >= 200) & ((c("rn") - 200) % 5 == 0) & (c("score100") >= 50) & lead("close", 64).isNotNull() & (c("r_atr") > 0)
     df = df.select("symbol", "date", "rn", "_b0", "open", "high", "low", "close", "r_atr", "sl_buy", "target1", picked.alias("_pick"))
     df = sampled(df, "_pick", ahead=63).select(
         "symbol", "date", F.element_at("path", 1)["open"].alias("entry"), c("r_atr").alias("atr"), c("sl_buy").alias("sl"), c("target1").alias("t1"), "path"
@@ -154,10 +155,10 @@ def exit_signals(spark, sf) -> DataFrame:
 
 
 EXIT_BASE = [
-    *TECHNICAL,
+    *SCAN,
     f"im AS (SELECT date, (lead(close,63) OVER (ORDER BY rn)/close-1)*100 AS mkt_fwd FROM ix)",
-    f"es0 AS (SELECT symbol, rn, date, lead(open) OVER ({W}) AS entry, r_atr AS atr, sl_buy AS sl, target1 AS t1, e9>e21 AS sig, lead(close,10) OVER ({W}) AS c10 FROM q8)",
-    "es AS (SELECT es0.*, CASE WHEN mkt_fwd<0 THEN 'fell' WHEN mkt_fwd>=0 THEN 'rose' END AS direction FROM es0 LEFT JOIN im USING (date) WHERE rn>=60 AND (rn-60)%5=0 AND sig AND c10 IS NOT NULL AND atr>0)",
+    f"es0 AS (SELECT symbol, rn, date, lead(open) OVER ({W}) AS entry, r_atr AS atr, sl_buy AS sl, target1 AS t1, score100>=50 AS sig, lead(close,64) OVER ({W}) AS c64 FROM z)",
+    "es AS (SELECT es0.*, CASE WHEN mkt_fwd<0 THEN 'fell' WHEN mkt_fwd>=0 THEN 'rose' END AS direction FROM es0 LEFT JOIN im USING (date) WHERE rn>=200 AND (rn-200)%5=0 AND sig AND c64 IS NOT NULL AND atr>0)",
     "ep AS (SELECT s.*, f.rn-s.rn AS j, f.high, f.low, f.close, max(f.high) OVER (PARTITION BY s.symbol, s.rn ORDER BY f.rn) AS hh FROM es s JOIN b f ON f.symbol=s.symbol AND f.rn BETWEEN s.rn+1 AND s.rn+63)",
     "eq AS (SELECT *, greatest(entry, hh) AS peak, greatest(entry, coalesce(lag(hh) OVER (PARTITION BY symbol, rn ORDER BY j), entry)) AS peak0 FROM ep)",
 ]

@@ -77,7 +77,7 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What evaluations read of a scored bar.
 LOGGED = (
-    "symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "volume", "score100", "stage", "rr_ratio", "composite_rs", "promoter_pledged", "sl_buy", "target1",
+    "symbol", "date", "rn", *LEVELS, "open", "high", "low", "close", "volume", "score100", "stage", "rr_ratio", "composite_rs", "promoter_pledged", "sl_buy", "target1", "r_atr",
 )
 _LOGS: dict[int, DataFrame] = {}
 
