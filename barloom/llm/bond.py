@@ -25,8 +25,8 @@ from barloom.llm.groups import binary, column, groups, matrix
 
 #: Rows of a block, anchors of a group; blocks of long vectors are smaller.
 ROWS, ANCHORS, BLOCK_BYTES = 8192, 512, 8 << 20
-#: Dimensions read between two cuts of the bitmap.
-STEP = 8
+#: Dimensions read between two cuts of the bitmap; share of a block's rows from which columns are summed whole.
+STEP, DENSE = 16, 4
 #: Sums below this are exact in double precision.
 EXACT = float(1 << 53)
 
@@ -44,21 +44,27 @@ class Block:
         """Rows left of ``alive`` (places) and their exact scores; ``keep`` tells from lower and upper bounds which rows may matter."""
         columns, low, high, kind = self.columns, self.low, self.high, np.float64
         if (np.abs(anchor) * np.maximum(np.abs(low), np.abs(high))).sum() >= EXACT:  # whole numbers of any size
-            whole = np.frompyfunc(int, 1, 1)
-            columns, anchor, low, high, kind = whole(columns), whole(anchor), whole(low), whole(high), object
+            as_int = np.frompyfunc(int, 1, 1)
+            columns, anchor, low, high, kind = as_int(columns), as_int(anchor), as_int(low), as_int(high), object
         order = np.argsort(-np.abs(anchor), kind="stable")
         ends = np.stack([anchor * low, anchor * high])[:, order]
         least, most = (np.concatenate([np.cumsum(e[::-1])[::-1], [0]]) for e in (ends.min(axis=0), ends.max(axis=0)))
-        total, everyone = np.zeros(len(alive), kind), len(alive) == columns.shape[1]
+        # While many rows are left a column is summed whole, later only at the rows that are left.
+        whole = len(alive) >= columns.shape[1] // DENSE
+        total = np.zeros(columns.shape[1] if whole else len(alive), kind)
         for i in range(0, len(order), STEP):
             dims = order[i : i + STEP]
-            part = columns[dims] if everyone else columns[dims[:, None], alive]
-            total = total + anchor[dims] @ part
-            left = keep(total + least[min(i + STEP, len(order))], total + most[min(i + STEP, len(order))])
+            total = total + anchor[dims] @ (columns[dims] if whole else columns[dims[:, None], alive])
+            own = total[alive] if whole else total
+            left = keep(own + least[min(i + STEP, len(order))], own + most[min(i + STEP, len(order))])
             if not left.all():
-                alive, total, everyone = alive[left], total[left], False
+                alive, own = alive[left], own[left]
+            if not whole or len(alive) < columns.shape[1] // DENSE:
+                whole, total = False, own
             if not len(alive):
                 break
+        if whole:
+            total = total[alive]
         return alive, total
 
 
@@ -85,11 +91,21 @@ def top_same(block: Block, row: int, label: int, anchor: np.ndarray, k: int) ->
 def top_in_windows(block: Block, label: int, anchor: np.ndarray, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each window of scores (both ends included) the ``k`` first rows of other labels inside it."""
 
+    open_ = [w for w in set(windows) if w[0] <= w[1]]
+    bottom, top = (min(w[0] for w in open_), max(w[1] for w in open_)) if open_ else (1, 0)
+    widest = max((most - least for least, most in open_), default=-1)
+
     def keep(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        wanted = np.zeros(len(low), bool)
-        for least, most in windows:
+        wanted = (low <= top) & (high >= bottom)
+        # All rows have bounds equally far apart: farther than a window is wide, none is surely inside one.
+        if not open_ or not len(low) or high[0] - low[0] > widest:
+            return wanted & bool(open_)
+        at = np.flatnonzero(wanted)
+        low, high, inside = low[at], high[at], np.zeros(len(at), bool)
+        for least, most in open_:
             sure = low[(low >= least) & (high <= most)]
-            wanted |= (low <= most) & (high >= max(least, _kth(sure, k)))
+            inside |= (low <= most) & (high >= max(least, _kth(sure, k)))
+        wanted[at] = inside
         return wanted
 
     at, score = block.scan(anchor, np.flatnonzero(block.labels != label), keep)
