@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of the text operators: runs of anything but ASCII white space.
@@ -52,3 +57,22 @@ def narrow(df: DataFrame, **types: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+
+
+def tidy_worker(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, giving freed memory back to the machine when a task ends.
+
+    Spark keeps a task's Python process for the next one; without this it
+    keeps the largest amount that any task has used, beside the executor's own.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied

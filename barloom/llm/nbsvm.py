@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from barloom.llm.common import narrow
+from barloom.llm.common import narrow, tidy_worker
 from barloom.llm.textblocks import Block, blocks, mix
 
 log = logging.getLogger(__name__)
@@ -209,14 +209,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     if (n := marks.count()) <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
     rows = own.join(marks, "doc_id")
-    counted = rows.select("text", "label").mapInArrow(_counts, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = rows.select("text", "label").mapInArrow(tidy_worker(_counts), "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = counted.toArrow()
     table = np.zeros((FEATURES + 1, 2))
     table[found["feature"].to_numpy()] = np.column_stack([found["n0"].to_numpy(), found["n1"].to_numpy()])
     del found
     share = min(1.0, sample / max(n, 1))
     chosen = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    picked = rows.where(chosen).dropDuplicates(["doc_id", "text"]).select("doc_id", "label", "text").mapInArrow(_rows, "doc_id long, label int, features array<int>")
+    picked = rows.where(chosen).dropDuplicates(["doc_id", "text"]).select("doc_id", "label", "text").mapInArrow(tidy_worker(_rows), "doc_id long, label int, features array<int>")
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(2 * sample).toArrow()
     sets = [part for chunk in picked["features"].chunks if len(chunk) for part in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
     order = np.lexsort((picked["label"].to_numpy(), picked["doc_id"].to_numpy()))
@@ -239,4 +239,4 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             found = [shared.value.scores(b) for b in blocks(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*batch.schema.names, name])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(tidy_worker(run), T.StructType([*keep, T.StructField(name, T.DoubleType())]))
