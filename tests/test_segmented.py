@@ -60,3 +60,27 @@ def test_no_keys_and_no_rows(spark):
     assert {r.i: r.n for r in out} == {i: 100 - i for i in range(100)}
     assert scan(df.limit(0), ["x"], [F.col("i")], [Scan("n", "sum", F.col("x"))]).count() == 0
     assert affine(df.limit(0), ["x"], [F.col("i")], F.lit(1.0), F.lit(1.0), "y").count() == 0
+
+
+def test_more_keys_than_a_block_holds(spark):
+    """The levels end however many keys there are, and where a key's two rows lie on both sides of a border of blocks."""
+    data = [(k, i, k + i) for k in range(40) for i in range(2 if k == 7 else 1)]
+    df = spark.createDataFrame(data, "k int, i int, x int")
+    got = {(r.k, r.i): (r.s, r.n) for r in scan(df, ["k"], [F.col("i")], [Scan("s", "sum", F.col("x")), Scan("n", "count", F.lit(1), False)], 8).collect()}
+    assert got == {(k, i): (15 if (k, i) == (7, 1) else k, i) for k, i, _ in data}
+    maps = {(r.k, r.i): (r.y, r.y0) for r in affine(df, ["k"], [F.col("i")], F.lit(0.5), F.col("x"), "y", "y0", 8).collect()}
+    assert maps == {(k, i): ((11.5, 7.0) if (k, i) == (7, 1) else (float(k), 0.0)) for k, i, _ in data}
+
+
+def test_sort_with_more_partitions_than_rows_of_a_key(spark):
+    """A level that leaves as many summaries as it got is the last one."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        df = spark.range(60).select(F.lit("a").alias("k"), F.col("id").alias("i"))
+        assert {r.i: r.s for r in scan(df, ["k"], [F.col("i")], [Scan("s", "sum", F.col("i"))], 2).collect()} == {i: i * (i + 1) // 2 for i in range(60)}
+        assert {r.i: r.y for r in affine(df, ["k"], [F.col("i")], F.lit(1.0), F.col("i"), "y", block=2).collect()} == {i: i * (i + 1) / 2 for i in range(60)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
