@@ -249,3 +249,19 @@ def test_json_of_any_depth(spark):
     df = spark.createDataFrame(texts, "i int, t string")
     got = [r.j for r in df.select("i", parsing.first_json(F.col("t")).alias("j")).orderBy("i").collect()]
     assert [None if g is None else json.loads(g) for g in got] == [*objects, deep]
+
+
+def test_entitlement_work_follows_the_answers(spark):
+    """No pair of an interval and an action of the same symbol is formed outside the interval; gaps, ends and null keys hold."""
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    iv = [(1, "A", 10, day(0), day(5)), (1, "A", 0, day(5), day(8)), (1, "A", 4, day(8), None), (2, "A", 7, day(3), day(4)), (None, "A", 5, day(0), None), (3, None, 9, day(0), None), (4, "B", 2, None, day(9))]
+    iv = spark.createDataFrame(iv, "account long, symbol string, qty long, valid_from date, valid_to date")
+    actions = spark.createDataFrame([(i, "A", day(n)) for i, n in enumerate((0, 3, 4, 5, 8, 8, 40))] + [(9, "A", None), (10, None, day(1)), (11, "B", day(3))], "id long, symbol string, day date")
+    got = portfolio.entitled(iv, actions)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("valid_from" not in line and "valid_to" not in line for line in plan.splitlines() if line.strip(" :+-").startswith("Join"))
+    one = {(1, i, 10) for i in (0, 1, 2)} | {(1, i, 4) for i in (4, 5, 6)}
+    assert sorted((r.account or 0, r.id, r.qty) for r in got.collect()) == sorted(one | {(2, 1, 7)} | {(0, i, 5) for i in range(7)})
+    sound = actions.withColumns({"type": F.lit("dividend_payment"), "cash_per_share": F.lit(0.5)})
+    paid = {r.account: (r.dividend_cash, r.payments) for r in portfolio.dividend_cash(iv, sound).collect()}
+    assert paid == {1: (21.0, 6), 2: (3.5, 1), None: (17.5, 7)}
