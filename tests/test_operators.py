@@ -265,3 +265,22 @@ def test_entitlement_work_follows_the_answers(spark):
     sound = actions.withColumns({"type": F.lit("dividend_payment"), "cash_per_share": F.lit(0.5)})
     paid = {r.account: (r.dividend_cash, r.payments) for r in portfolio.dividend_cash(iv, sound).collect()}
     assert paid == {1: (21.0, 6), 2: (3.5, 1), None: (17.5, 7)}
+
+
+def test_evaluations_read_their_input_once(spark):
+    """Ranks, sums and ties come from rows written once, however often they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.createDataFrame([(f"s{i}", D(2020, 1, 1), float(i % 7), float(i)) for i in range(60)], "symbol string, date date, score double, raw double")
+    df = df.withColumn("ret", counted.asNondeterministic()("raw"))
+    r = evaluation.decile_edges(df, "score", "ret").first()
+    assert r.n == 60 and seen.value == 60
+    assert r.top_mean == pytest.approx(np.mean([i for i in sorted(range(60), key=lambda i: (-(i % 7), f"s{i}"))[:6]]))
+    assert evaluation.validation_table(df, "score", ["ret"]).first().n == 60 and seen.value == 120
+    priced = df.select("symbol", "score", F.lit(1.0).alias("entry"), F.col("ret").alias("last"), F.lit(9).alias("days"))
+    assert evaluation.hold_cohort(priced, 5000.0, 0.5).count() == 60 and seen.value == 180
