@@ -129,10 +129,20 @@ def live_verdict(points: int) -> str:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Windows that go through the kernel at once: it holds some dozens of tables of their size.
+WINDOWS = 1 << 9
+
+
+def in_slices(parts: tuple[pd.Series, ...]) -> pd.DataFrame:
+    """The kernel's values of a batch of windows, a slice at a time; a window's values do not depend on the others."""
+    slices = ((p.to_numpy()[i : i + WINDOWS] for p in parts) for i in range(0, len(parts[0]), WINDOWS))
+    return pd.concat([kernel(*(np.stack(x).astype(float) for x in own)) for own in slices], ignore_index=True)
+
+
 @F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in FIELDS]))
 def _window_values(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     for parts in batches:
-        yield kernel(*(np.stack(p.to_numpy()).astype(float) for p in parts))
+        yield in_slices(parts)
 
 
 def replay_inputs(bars: DataFrame, back: int, start: int, step: int, tail: int, path: str | None = None, ahead: int = 0) -> DataFrame:

@@ -114,3 +114,17 @@ def test_frames_of_sampled_rows_equal_window_frames(spark):
     assert both.where("_w_close = c AND _w_volume = v AND path = p").count() == whole.count() == both.count() > 100
     with pytest.raises(ValueError):
         sampled(df, "pick", ("close",), 300)
+
+
+def test_kernel_sees_few_windows_at_once(monkeypatch):
+    """A batch of windows goes through the kernel in slices, with the same values."""
+    import pandas as pd
+
+    draw = np.random.default_rng(5)
+    close = 100 + draw.normal(0, 1, (1300, 151)).cumsum(axis=1)
+    x = close + 1, close - 1, close, draw.uniform(1, 9, close.shape)
+    whole, plain, sizes = reseeded.kernel(*x), reseeded.kernel, []
+    monkeypatch.setattr(reseeded, "kernel", lambda *a: sizes.append(len(a[0])) or plain(*a))
+    got = reseeded.in_slices(tuple(pd.Series(list(v)) for v in x))
+    assert max(sizes) <= reseeded.WINDOWS and sum(sizes) == 1300
+    pd.testing.assert_frame_equal(got, whole, check_exact=True)
