@@ -112,3 +112,30 @@ def test_candles_are_scored_like_the_batch_on_the_same_fifty(spark, tmp_path):
     want = {(*want[r.symbol], r.base_points, r.base_verdict) for r in scored.select("symbol", "base_points", "base_verdict").collect()}
     second = lambda t: t.replace(second=0, microsecond=0)
     assert {(r.symbol, second(r.ts), r.points, r.verdict) for r in got} == want and len(got) == len(want) > 120
+
+
+def test_few_waiting_rows_need_one_call_whatever_their_slots(spark, tmp_path):
+    rows = [reading("A", i, 0, i, 70 if i % 3 else 30) for i in range(300)]
+    calls = spark.sparkContext.accumulator(0)
+    expired = ticks._Crossing.handleExpiredTimer
+
+    def counted(self, key, timerValues, info):
+        calls.add(1)
+        yield from expired(self, key, timerValues, info)
+
+    ticks._Crossing.handleExpiredTimer = counted
+    try:
+        got = ticks.run_available(ticks.crossing_alerts(ticks.closed(feed(spark, str(tmp_path), READINGS, rows), "scanned_at", "symbol")), "append").collect()
+    finally:
+        ticks._Crossing.handleExpiredTimer = expired
+    assert calls.value <= 2
+    assert sorted(r.id for r in got) == [i for i in range(300) if i % 3 == 1]
+
+
+def test_few_waiting_rows_become_many(spark, tmp_path):
+    before = [reading("A", 0, 0, 0, 30)]
+    second = [reading("A", 1, i % 40, 1 + i, 30) for i in range(400)]  # one hour, not over after this batch
+    third = [reading("A", 1, 39 + i % 15, 1000 + i, 30 if i else 65) for i in range(400)] + [reading("A", 2, 0, 5000, 75)]
+    stream = feed(spark, str(tmp_path), READINGS, before, second, third, [reading("A", 3, 0, 6000, 80)], [reading("A", 9, 0, 7000, 1)])
+    got = ticks.run_available(ticks.crossing_alerts(stream), "append").collect()
+    assert [(r.day.day, r.prev_score, r.score, r.id) for r in sorted(got, key=lambda r: r.id)] == [(3, 30.0, 65.0, 1000), (4, 30.0, 75.0, 5000)]  # the last two readings wait for the watermark
