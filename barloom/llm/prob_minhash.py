@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.llm.common import narrow, tidy_worker, written
+from barloom.llm.common import batches_of, narrow, tidy_worker, written
 from barloom.llm.textblocks import Block, blocks, mix, shingles
 
 WORDS = 5
@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 6
 #: Pivots of a bucket in the rounds that join large classes, and members of a block after them.
 PIVOTS = (1, 4)
 BLOCK = 64
+#: Rows handed to Python at a time: texts, pairs of texts, pairs of blocks (up to 2 * BLOCK texts each).
+TEXTS_AT_ONCE, PAIRS_AT_ONCE, BLOCKS_AT_ONCE = 1024, 256, 8
 #: Standard deviations by which two signatures may fall short of the threshold before a pair is passed over (3e-6).
 SLACK = 4.5
 
@@ -223,7 +225,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     nodes = reps.join(firsts, "rep").select("of", "rep", F.when(F.col("of") == F.col("first"), F.col("rep")).otherwise(-1 - F.abs(F.xxhash64("of") / 2).cast("long")).alias("node"))
     nodes = written(nodes, "nodes")
 
-    signed = written(named.select("id", "of", "text").mapInArrow(tidy_worker(_sign), "id long, of string, buckets array<long>, sign binary"), "signatures")
+    spark = docs.sparkSession
+    with batches_of(spark, TEXTS_AT_ONCE):
+        signed = written(named.select("id", "of", "text").mapInArrow(tidy_worker(_sign), "id long, of string, buckets array<long>, sign binary"), "signatures")
     members = signed.join(nodes, "of").where("id = rep").select("node", F.explode("buckets").alias("key")).distinct()
     members = written(members, "members")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -256,7 +260,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        fresh = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy_worker(_verify), "a long, b long, similarity double"), "tested")
+        with batches_of(spark, PAIRS_AT_ONCE):
+            fresh = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy_worker(_verify), "a long, b long, similarity double"), "tested")
         tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
         links = fresh.where(F.col("similarity") >= threshold).join(called("a", "ca"), "a").join(called("b", "cb"), "b").where("ca <> cb")
         join_classes(written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links"))
@@ -272,7 +277,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
         foreign = placed.where("own <> main").groupBy("key", "block").agg(F.collect_list(member).alias("x"))
         blocks_ = written(foreign.select("key", "x"), "foreign").join(written(whole.select("key", "y"), "blocks"), "key").select("x", "y")
         links = blocks_.mapInArrow(tidy_worker(_compare_blocks(threshold)), "a long, b long")
-        join_classes(written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"))
+        with batches_of(spark, BLOCKS_AT_ONCE):
+            links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        join_classes(links)
 
     found = nodes.join(classes.select(F.col("id").alias("node"), "class"), "node", "left").select("of", "rep", F.coalesce("class", "node").alias("class"))
     smallest = found.groupBy("class").agg(F.min(F.struct("rep", "of")).alias("least"))

@@ -387,3 +387,17 @@ def test_pipeline_of_empty_tables(spark):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
     assert "pipeline" not in queries.QUERIES
+
+
+def test_batches_are_bounded_inside_only(spark):
+    from barloom.llm.common import batches_of
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual, df = spark.conf.get(key), spark.range(100, numPartitions=1).mapInArrow(sizes, "n long")
+    with batches_of(spark, 8):
+        assert max(r.n for r in df.collect()) == 8
+    assert spark.conf.get(key) == usual and max(r.n for r in spark.range(100, numPartitions=1).mapInArrow(sizes, "n long").collect()) == 100
