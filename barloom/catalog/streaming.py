@@ -65,7 +65,8 @@ def _alerts(spark, sf):
         F.concat(F.lit("c"), c("o_custkey").cast("string"), F.lit(".NS")).alias("symbol"), c("o_orderkey").alias("id"),
         (c("o_orderdate") + F.make_dt_interval(F.lit(0), (c("o_orderkey") % 24).cast("int"))).cast("timestamp").alias("scanned_at"), (cents % 101).cast("double").alias("score"), (cents % 37).alias("_k"),
     ).where("_k <> 0").drop("_k")
-    return tidy(ticks.run_available(ticks.crossing_alerts(ticks.closed(rd, "scanned_at", "symbol")), "append").drop("batch"))
+    buckets = max(1 << 8, read(spark, sf, "orders").count() >> 11)  # about 2,000 readings each, however many there are
+    return tidy(ticks.run_available(ticks.crossing_alerts(ticks.closed(rd, "scanned_at", "symbol"), buckets=buckets), "append").drop("batch"))
 
 
 register(
