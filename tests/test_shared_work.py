@@ -96,3 +96,27 @@ def test_path_trades_equal_a_loop(spark):
             highs = [(x[1] - entry) / entry * 100 for x in path[:held] if x[1] is not None]
             assert r.mae == min([0.0, *lows, *([gap] if gap is not None else [])])
             assert r.mfe == max([0.0, *highs, *([gap] if gap is not None else [])])
+
+
+def test_positions_sort_their_fills_once(spark, monkeypatch):
+    from barloom.operators import portfolio, segmented
+
+    rows = [(s, i // 3, i % 3, "SELL" if i % 4 == 3 else "BUY", 5 + i % 7, 10.0 + i) for s in ("A", "B", None) for i in range(200)]
+    fills = spark.createDataFrame(rows, "symbol string, day int, seq int, side string, qty long, price double")
+    sorts, plain = [], segmented.placed
+
+    def counted(df, keys, order, name="_at"):
+        sorts.append(df.columns)
+        return plain(df, keys, order, name)
+
+    monkeypatch.setattr(segmented, "placed", counted)
+    if hasattr(portfolio, "placed"):
+        monkeypatch.setattr(portfolio, "placed", counted)
+    got = portfolio.positions(fills).where("symbol IS NULL").orderBy("day", "seq").collect()
+    assert sum("price" in columns for columns in sorts) == 1
+    held, cost = 0, 0.0
+    for r, (_, _, _, side, qty, price) in zip(got, rows[-200:], strict=True):
+        sold = min(qty, held)
+        cost = cost + qty * price if side == "BUY" else cost * (1 - sold / held) if held else cost
+        held += qty if side == "BUY" else -sold
+        assert r.held == held and (r.avg_price is None if not held else math.isclose(r.avg_price, cost / held, rel_tol=1e-9))
