@@ -120,3 +120,10 @@ def test_positions_sort_their_fills_once(spark, monkeypatch):
         cost = cost + qty * price if side == "BUY" else cost * (1 - sold / held) if held else cost
         held += qty if side == "BUY" else -sold
         assert r.held == held and (r.avg_price is None if not held else math.isclose(r.avg_price, cost / held, rel_tol=1e-9))
+
+
+def test_arrays_of_readings_do_not_pass_the_windows_of_the_means(spark):
+    df = with_row_number(spark.createDataFrame(wave(30), BAR_SCHEMA))
+    out = ind.compose(df, ind.cci(), ind.swing_levels(), ind.emas(9, 50)).select("cci", "breakout_level", "key_support", "e9", "e50")
+    means = [cols for cols, _ in windows(out) if cols & {"_p_e9", "_p_e50", "_c_e9"}]
+    assert means and not any(cols & {"tp20", "swing_highs", "swing_lows"} for cols in means)
