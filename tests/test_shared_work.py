@@ -34,6 +34,12 @@ def test_reference_and_index_columns_are_not_carried_through_the_windows_of_the_
     assert found and not any(cols & {"fund_score", "quality_score", "fii_signal", "regime", "above_200"} for cols, _ in found)
 
 
+def test_repeated_reference_rows_are_found(spark):
+    rows = [("A", 1.0), ("B", 2.0), (None, 3.0)]
+    assert scan._single(spark.createDataFrame(rows, "symbol string, roe double"))
+    assert not scan._single(spark.createDataFrame([*rows, ("B", 2.0)], "symbol string, roe double"))
+
+
 def test_the_screening_result_is_derived_once_before_it_is_ordered(spark, sf):
     df = factors.swing_scan(spark, sf)
     assert not windows(df) and not nodes(df._jdf.queryExecution().optimizedPlan(), "ArrowEvalPython")
